@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.runtime import broadcast_if_small, checkpointed
+from ripplegraph.runtime import broadcast_if_small, checkpointed, stored
 
 #: Order of the events of one moment: parents come and go before references are looked at.
 PARENT_LEAVES, PARENT_ARRIVES, REFERENCE_CLOSES, REFERENCE_OPENS = range(4)
@@ -85,10 +85,10 @@ def orphan_spans(events: DataFrame) -> DataFrame:
     ``events`` has key, seq, op and ident (the reference; null for parents). Events of a moment are ordered by op; repeats
     change nothing. Rows with a null key or seq are no events; other columns are ignored; no events give no spans.
 
-    Scale: one shuffle by key. The references of a hot key are spread over salts by their ident, and the parent's events,
+    Scale: one shuffle by key. The events are written once, as they are read to count and to follow them. The references of a hot key are spread over salts by their ident, and the parent's events,
     few as they are, are copied to each salt. There are at most 1 / HOT_SHARE hot keys, so their list may be broadcast.
     """
-    e = events.where("key is not null and seq is not null").select("key", "seq", "op", "ident")
+    e = stored(events.where("key is not null and seq is not null").select("key", "seq", "op", "ident"))
     per = e.where(F.col("op") >= REFERENCE_CLOSES).groupBy("key").agg(F.count("*").alias("n"))
     total = e.where(F.col("op") >= REFERENCE_CLOSES).agg(F.count("*").alias("all"))
     hot = per.join(F.broadcast(total), F.col("n") > F.greatest(F.col("all") * HOT_SHARE, F.lit(100_000)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     The count is an action, so ``df`` should be cheap to read (a checkpoint or a small file).
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a compressed table in the checkpoint folder; for results too wide for a checkpoint.
+
+    The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
