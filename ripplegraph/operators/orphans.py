@@ -17,8 +17,8 @@ from ripplegraph.runtime import broadcast_if_small, checkpointed, stored
 
 #: Order of the events of one moment: parents come and go before references are looked at.
 PARENT_LEAVES, PARENT_ARRIVES, REFERENCE_CLOSES, REFERENCE_OPENS = range(4)
-#: References to one key beyond this share of all are spread over salts, each with the parent's few events.
-HOT_SHARE = 0.01
+#: References to one key beyond this share of all, and this number, are spread over salts, each with the parent's few events.
+HOT_SHARE, HOT_ROWS = 0.01, 100_000
 
 EVENT_SCHEMA = "key string, salt int, seq long, op int, ident string"
 SPAN_SCHEMA = "ident string, since long, until long"
@@ -90,9 +90,9 @@ def orphan_spans(events: DataFrame) -> DataFrame:
     """
     e = stored(events.where("key is not null and seq is not null").select("key", "seq", "op", "ident"))
     per = e.where(F.col("op") >= REFERENCE_CLOSES).groupBy("key").agg(F.count("*").alias("n"))
-    total = e.where(F.col("op") >= REFERENCE_CLOSES).agg(F.count("*").alias("all"))
-    hot = per.join(F.broadcast(total), F.col("n") > F.greatest(F.col("all") * HOT_SHARE, F.lit(100_000)))
-    hot = checkpointed(hot.select("key", F.ceil(F.col("n") / F.greatest(F.col("all") * HOT_SHARE, F.lit(100_000))).cast("int").alias("salts")))
+    total = e.where(F.col("op") >= REFERENCE_CLOSES).count()
+    most = max(total * HOT_SHARE, HOT_ROWS)
+    hot = checkpointed(per.where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("salts")))
     e = e.join(F.broadcast(hot), "key", "left")
     salts = F.coalesce("salts", F.lit(1))
     mine = F.array(F.pmod(F.xxhash64("ident"), salts.cast("long")).cast("int"))
