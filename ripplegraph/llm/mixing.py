@@ -89,7 +89,7 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, n_tokens, n_docs, most_copies) of every source with a target."""
     own = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count("*").alias("n_docs"), F.max("copies").alias("most_copies"))
     total = mixture.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("total"))
-    x = targets.join(own, "source", "left").crossJoin(F.broadcast(total))
+    x = targets.join(own, "source", "left").withColumn("total", total.scalar())
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     actual = F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0))
     return x.select("source", "target_share", actual.alias("actual_share"), zero("n_tokens").alias("n_tokens"), zero("n_docs").alias("n_docs"), zero("most_copies").alias("most_copies"))
