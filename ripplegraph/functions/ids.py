@@ -8,18 +8,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplegraph.functions.paths import normalize_path
 
 _FNV_START, _FNV_PRIME, _MASK = 2166136261, 16777619, 0xFFFFFFFF
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKD", x.lower()).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fnv_units(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         if x is None:
