@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ripplegraph.llm.lookalike import consistent_form, lookalike_pairs
 from ripplegraph.llm.mixing import mix, shares
 from ripplegraph.llm.pairs import commit_baskets, pair_counts
-from ripplegraph.llm.tokens import encode
+from ripplegraph.llm.tokens import encode, token_counts
 from ripplegraph.llm.topn import co_change_top
 from ripplegraph.runtime import checkpointed, read
 
@@ -57,7 +57,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    sized = encode(docs).select("doc_id", F.size("ids").alias("n_tokens"))
+    sized = token_counts(docs)
     named = docs.select("doc_id", F.lower(F.trim("source")).alias("source")).where("source is not null")
     sized = checkpointed(named.join(sized, "doc_id"))
     return mix(sized, read(spark, d, "mix_targets"))

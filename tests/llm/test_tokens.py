@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from ripplegraph.llm.tokens import _ids, boundaries, decode, encode, token_bytes, tokenizer_path
+from ripplegraph.llm.tokens import _ids, _tokenizer, boundaries, decode, encode, token_bytes, token_counts, tokenizer_path
 
 PATH = tokenizer_path()
 TEXTS = [
@@ -20,8 +20,19 @@ def test_chunks_give_what_whole_texts_give(spark, chunk, overlap):
     r = random.Random(chunk)
     alphabet = [*"abcdefgh'stlrvem", " ", "  ", "\n", "\t", "é", "日", "🎉", "12", "3", "!?", " ", " we'll", "\r\n"]
     texts = TEXTS + ["".join(r.choice(alphabet) for _ in range(r.randrange(900))) for _ in range(60)]
+    want = {i: _tokenizer(PATH).encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
     got = {x.doc_id: list(x.ids) for x in run(spark, texts, chunk=chunk, overlap=overlap).collect()}
-    assert got == {i: _ids(PATH, [t or ""])[0] for i, t in enumerate(texts)}
+    assert got == want
+    sizes = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, chunk, overlap)
+    assert {x.doc_id: x.n_tokens for x in sizes.collect()} == {i: len(v) for i, v in want.items()}
+
+
+def test_ranks_and_tokenizer_agree_on_every_character():
+    """Each code point between letters, digits, blanks and signs."""
+    texts = [f"a{c}1{c} {c}  {c}'s{c}{c}!" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        assert _ids(PATH, part) == [e.ids for e in _tokenizer(PATH).encode_batch_fast(part, add_special_tokens=False)]
 
 
 def test_round_trip(spark):
