@@ -10,9 +10,11 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.ids import SEMANTIC_KINDS, is_semantic_id, link_of, semantic_kind
+from ripplegraph.operators.refinement import relation_spans
 from ripplegraph.runtime import checkpointed
 
 #: Vocabularies of the block language.
@@ -42,8 +44,12 @@ def parse_text(file: str, text: str) -> Iterator[tuple]:
     def say(level: str, line: int, col: int, message: str) -> tuple:
         return (file, level, line, col, block if name else None, kind, name, None, message)
 
-    for line, raw in enumerate(text.replace("\r\n", "\n").split("\n"), 1):
+    lines = text.replace("\r\n", "\n").split("\n")
+    taken = {k for a, b in relation_spans(lines) for k in range(a, b)}  # relations are another parser's
+    for line, raw in enumerate(lines, 1):
         body = raw.strip()
+        if line - 1 in taken:
+            continue
         if not body or body[0] == "#":
             list_key = None
             continue
@@ -242,8 +248,6 @@ def slice_model(m: dict[str, DataFrame], seeds: DataFrame, max_nodes: int = 60)
         x = front if picked is None else front.join(picked.select("seed_set", "id"), ["seed_set", "id"], "left_anti")
         x = x.join(ids, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
         x = x.withColumn("n", F.lit(0)) if size is None else x.join(size, "seed_set", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        from pyspark.sql import Window as W
-
         before = F.coalesce(F.sum(F.col("known").cast("int")).over(W.partitionBy("seed_set").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("n")
         x = checkpointed(x.withColumn("room", before < max_nodes).withColumn("hop", F.lit(hop)))
         new = x.where("room and known").select("seed_set", "id", "hop")
@@ -303,3 +307,22 @@ def change_verdicts(changes: DataFrame, findings: DataFrame) -> DataFrame:
         F.when(any_of("block"), "BLOCKED").when(any_of("stale"), "STALE").when(any_of("warn"), "PARTIAL").otherwise("VERIFIED").alias("verdict"), F.count("severity").alias("n_findings")
     )
     return g.select("change_id", "verdict", F.lower("verdict").alias("lifecycle"), "n_findings")
+
+
+def apply_patches(changes: DataFrame, patches: DataFrame, fields: tuple[str, ...] = ("serves", "preserves", "requires_evidence", "unknowns")) -> DataFrame:
+    """Changes with lists united with what their patch adds, less what it removes; a change without a patch stays as it is.
+
+    ``patches`` has id and, for each field, add_{field} and remove_{field} arrays, null meaning nothing.
+    """
+    x = changes.join(patches, "id", "left")
+    none = F.array().cast("array<string>")
+    some = lambda c: F.coalesce(F.col(c), none)
+    return x.select(*(F.array_except(F.array_union(some(c), some(f"add_{c}")), some(f"remove_{c}")).alias(c) if c in fields else F.col(c) for c in changes.columns))
+
+
+def capability_wiring(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(capability, invariants, contexts): what binds, and where live, the nodes that implement a capability."""
+    i = edges.where("kind = 'implements_capability'").select(F.col("to_id").alias("capability"), F.col("from_id").alias("id"))
+    bound = edges.where("kind = 'constrained_by'").select(F.col("from_id").alias("id"), F.col("to_id").alias("inv"))
+    x = i.join(bound, "id", "left").join(nodes.select("id", "bounded_context"), "id", "left")
+    return x.groupBy("capability").agg(F.array_sort(F.collect_set("inv")).alias("invariants"), F.array_sort(F.collect_set("bounded_context")).alias("contexts"))

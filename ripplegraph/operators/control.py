@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.hashing import canonical_json, canonical_map, json_text
+from ripplegraph.functions.hashing import canonical_json, canonical_map, fingerprint, json_text
 from ripplegraph.runtime import checkpointed
 
 #: Relations that carry impact, relations that refine, relations that carry a rationale.
@@ -147,6 +147,36 @@ def impact_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 8, per_d
     return found.select("source_set", "id", "path")
 
 
+def explain_why(coords: DataFrame, edges: DataFrame, sources: DataFrame, max_depth: int = 8) -> DataFrame:
+    """(source, rationale, path array): authored goals, invariants, decisions, policies and strategies that a coordinate
+    serves, justifies or preserves, directly or through others. A path ends at the first of them."""
+    why = coords.where((F.col("plane") == "B") & F.col("category").isin("goal", "invariant", "decision", "policy", "strategy")).select(F.col("id").alias("tail"), F.lit(True).alias("why"))
+    e = checkpointed(edges.where(F.col("relation").isin(*RATIONALE)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct())
+    at = checkpointed(sources.select(F.col("id").alias("source"), F.col("id").alias("tail"), F.array("id").alias("path")).join(why, "tail", "left"))
+    found, seen = at.where("why"), at.select("source", "tail")
+    for _ in range(max_depth):
+        at = at.where("why is null").join(e, F.col("tail") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        at = at.select("source", F.col("dst").alias("tail"), F.concat("path", F.array("dst")).alias("path")).join(seen, ["source", "tail"], "left_anti")
+        at = checkpointed(at.join(why, "tail", "left"))
+        if at.isEmpty():
+            break
+        found = found.unionByName(at.where("why"))
+        seen = checkpointed(seen.unionByName(at.where("why is null").select("source", "tail").distinct()))
+    return found.select("source", F.col("tail").alias("rationale"), "path")
+
+
+def decorations(relations: DataFrame, visited: DataFrame, kind: str) -> DataFrame:
+    """Certifying relations of a kind that start at a visited coordinate."""
+    return relations.where(F.col("kind") == kind).join(visited.select(F.col("id").alias("source")), "source", "left_semi")
+
+
+def graph_fingerprint(coords: DataFrame, edges: DataFrame, domain: str = "coordinates:v1") -> DataFrame:
+    """One fingerprint of all coordinates and edges, whatever order they come in."""
+    c = coords.select(F.col("id").alias("k"), F.to_json(F.struct(*sorted(coords.columns))).alias("p"))
+    e = edges.select(F.concat_ws("\0", "from_id", "to_id", "relation").alias("k"), F.lit("edge").alias("p"))
+    return fingerprint(c.unionByName(e), [], F.col("k"), F.col("p"), domain)
+
+
 def architecture(coords: DataFrame, edges: DataFrame, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Elements (id, level, category, fingerprint) with a level, and relations (from_id, to_id, relation, fingerprint) between them."""
     c = coords if metadata is None else coords.join(metadata, "id", "left")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import control as c
+from ripplegraph.operators.authored import capability_wiring as capability_wiring_of
+from ripplegraph.operators.refinement import parse_relations
+from ripplegraph.operators.retrieval import suite_scores as suite_scores_of
 from ripplegraph.plans.authored_queries import _model
 from ripplegraph.plans.graph_sql import GRAPH
 from ripplegraph.plans.impact_queries import graph
@@ -134,6 +137,45 @@ def integrity_violations(spark: SparkSession, d: str) -> DataFrame:
     return c.violations(elements=elements, relations=relations, steps=steps, paths=paths, lists=lists, changes=changes)
 
 
+def explain_why(spark: SparkSession, d: str) -> DataFrame:
+    """What each authored coordinate rests on, and the path there."""
+    (n, e), m = graph(spark, d), _model(spark, d)
+    x = c.coordinates(n, m["nodes"].withColumn("level", F.when(F.col("kind") != "decision", 5)))
+    s = c.structural_edges(x, e, m["relations"], m["links"], n)
+    return c.explain_why(x, s, x.where("plane = 'B'")).select("source", "rationale", F.array_join("path", ">").alias("path"))
+
+
+def coordinate_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """One fingerprint of the whole coordinate graph."""
+    (n, e), m = graph(spark, d), _model(spark, d)
+    x = c.coordinates(n, m["nodes"])
+    return c.graph_fingerprint(x, c.structural_edges(x, e, m["relations"], m["links"], n))
+
+
+def capability_wiring(spark: SparkSession, d: str) -> DataFrame:
+    """Invariants and contexts of each capability through what implements it."""
+    n, e = graph(spark, d)
+    return capability_wiring_of(e, n).select("capability", F.array_join("invariants", ",").alias("invariants"), F.array_join("contexts", ",").alias("contexts"))
+
+
+def relation_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Refinement relations read back from texts built from parts, a tenth of them faulty."""
+    key = F.col("p_partkey").cast("string")
+    kind = F.when(F.col("p_partkey") % 10 == 3, "admires").when(F.col("p_partkey") % 2 == 0, "realizes").otherwise("decomposes_to")
+    digest = F.concat(F.lit("sha256:"), F.sha2(key, 256))
+    block = F.concat(F.lit("relation r."), key, F.lit(" "), kind, F.lit(" source semantic p."), key, F.lit("\ntarget semantic \"size "), F.col("p_size").cast("string"), F.lit("\"\nepistemicStatus human_declared\nprovenance author\nevidenceRef commit git:"), key, F.lit(" "), digest, F.lit("\nend"))
+    texts = read(spark, d, "part").select("p_brand", block.alias("t")).groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.sort_array(F.collect_list("t")), "\n").alias("text"))
+    good, bad = parse_relations(texts)
+    out = good.select("file", "id", "kind", "target", F.col("evidence")[0]["digest"].alias("digest"))
+    return out.unionByName(bad.groupBy("file", F.col("code").alias("kind")).agg(F.count("*").alias("n")).select("file", F.lit("").alias("id"), "kind", F.col("n").cast("string").alias("target"), F.lit("").alias("digest")))
+
+
+def suite_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Means of metrics of suites built from order lines, and which suites pass."""
+    x = read(spark, d, "lineitem").select(F.concat("l_returnflag", F.lit("-"), F.col("l_linenumber").cast("string")).alias("suite"), F.col("l_orderkey").alias("task_id"), F.lit("m").alias("metric"), F.when(F.col("l_returnflag") == "R", F.lit(1.0)).when(F.col("l_tax") > 0.01, F.col("l_discount")).alias("score"))
+    return suite_scores_of(x, 0.5).select("suite", F.round("mean_score", 6).alias("mean_score"), "n_tasks", "passed")
+
+
 _R = f"r0 AS ({_RELATIONS}), t AS ({_CURRENT}), r AS (SELECT * FROM r0 WHERE epistemic_status <> 'llm_inferred' AND length(a) % 5 <> 0 AND length(b) % 5 <> 0)"
 _STEP = "{0} AS (SELECT r.id rid, CASE WHEN {1} THEN a ELSE b END src, CASE WHEN {1} THEN b ELSE a END dst FROM r), {0}1 AS (SELECT {0}.* FROM {0} JOIN t x ON x.id = src JOIN t y ON y.id = dst WHERE y.level - x.level = {2})"
 _LIFT = f"{_R}, {_STEP.format('u', 'kind <> ' + repr('decomposes_to'), 1)}, p AS (SELECT t.id AS source, t.id || '>' || a.dst || '>' || b.dst AS path, [t.id, a.dst, b.dst] ids, a.rid || ',' || b.rid o FROM t JOIN u1 a ON a.src = t.id JOIN u1 b ON b.src = a.dst WHERE t.level = 1)"
@@ -156,11 +198,18 @@ SELECT seal_id, CASE WHEN miss OR len(un) > 0 THEN 'UNSEALED' WHEN len(mm) > 0 T
     "obligation_eval": f"""WITH a AS ({_ATTESTED}), f AS (SELECT DISTINCT subject, obligation, epistemic_status s FROM a WHERE observed_at <= try_cast(evaluated_at AS TIMESTAMP) AND try_cast(evaluated_at AS TIMESTAMP) <= CAST(expires_at AS TIMESTAMP)),
 k AS (SELECT subject, obligation, bool_or(s IN ('test_observed', 'statically_observed')) c0, bool_or(s = 'human_declared') c1 FROM (SELECT DISTINCT subject, obligation FROM a) LEFT JOIN f USING (subject, obligation) GROUP BY 1, 2)
 SELECT subject, obligation, coalesce(c0, false) AND coalesce(c1, false) AS satisfied, CAST(CASE WHEN coalesce(c0, false) THEN 0 ELSE 1 END + CASE WHEN coalesce(c1, false) THEN 0 ELSE 1 END AS BIGINT) AS n_missing FROM k""",
+    "capability_wiring": f"""WITH {GRAPH} SELECT i.to_id AS capability, coalesce(array_to_string(list_sort(list(DISTINCT b.to_id) FILTER (b.to_id IS NOT NULL)), ','), '') AS invariants, coalesce(array_to_string(list_sort(list(DISTINCT n.bounded_context) FILTER (n.bounded_context IS NOT NULL)), ','), '') AS contexts
+FROM e i LEFT JOIN e b ON b.kind = 'constrained_by' AND b.from_id = i.from_id LEFT JOIN n ON n.id = i.from_id WHERE i.kind = 'implements_capability' GROUP BY 1""",
+    "relation_parse": """SELECT p_brand AS file, concat('r.', p_partkey) AS id, CASE WHEN p_partkey % 2 = 0 THEN 'realizes' ELSE 'decomposes_to' END AS kind, concat('size ', p_size) AS target, 'sha256:' || sha256(CAST(p_partkey AS VARCHAR)) AS digest FROM part WHERE p_partkey % 10 <> 3
+UNION ALL SELECT p_brand, '', 'RELATION_UNKNOWN_KIND', CAST(count(*) AS VARCHAR), '' FROM part WHERE p_partkey % 10 = 3 GROUP BY 1""",
+    "suite_scores": """WITH x AS (SELECT concat(l_returnflag, '-', l_linenumber) suite, l_orderkey t, CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_tax > 0.01 THEN l_discount END s FROM lineitem)
+SELECT suite, round(avg(s), 6) AS mean_score, count(DISTINCT t) AS n_tasks, coalesce(bool_and(s >= 1), false) AND avg(s) >= 0.5 AS passed FROM x GROUP BY 1""",
     "integrity_violations": """WITH el AS (SELECT concat('p', p_partkey) id, p_partkey % 41 = 0 nocat FROM part WHERE concat('p', p_partkey) NOT LIKE '%99'), re AS (SELECT concat('p', p_partkey) f, concat('p', p_partkey + 1) t FROM part WHERE p_partkey < 500)
 SELECT 'relation_from_id_is_element' AS rule, f AS subject FROM re WHERE f NOT IN (SELECT id FROM el) UNION ALL SELECT 'relation_to_id_is_element', t FROM re WHERE t NOT IN (SELECT id FROM el) UNION ALL SELECT 'level_and_category_go_together', id FROM el WHERE nocat
 UNION ALL SELECT 'step_depends_on_the_one_before', CAST(o_orderkey AS VARCHAR) FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) b FROM orders) WHERE b IS DISTINCT FROM CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END
 UNION ALL SELECT 'path_has_one_edge_fewer_than_nodes', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 37 = 0 AND p_size % 4 + 1 <> 1 UNION ALL SELECT 'list_is_unique_and_in_order', CAST(p_partkey AS VARCHAR) FROM part WHERE p_brand >= p_type UNION ALL SELECT 'change_keeps_its_id', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 53 = 0""",
 }
 QUERIES = {q.__name__: q for q in (
-    snapshot_diff, relation_diff, level_coverage, certifying_relations, refinement_lift, refinement_lower, refinement_missing, impact_paths, impact_reach, coordinate_graph, freshness_class, obligation_eval, integrity_violations,
+    snapshot_diff, relation_diff, level_coverage, certifying_relations, refinement_lift, refinement_lower, refinement_missing, impact_paths, impact_reach, coordinate_graph, freshness_class, obligation_eval, integrity_violations, explain_why, coordinate_fingerprint,
+    capability_wiring, relation_parse, suite_scores,
 )}
