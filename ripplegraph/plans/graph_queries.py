@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplegraph.functions.scoring import POLICIES
 from ripplegraph.operators import claims as cl
 from ripplegraph.operators import cochange, retrieval
 from ripplegraph.operators import graph as g
@@ -110,8 +111,8 @@ def claims_build(spark: SparkSession, d: str) -> DataFrame:
 
 _LIST = "coalesce(list_transform(evidence, lambda r: struct_pack(i := concat('ev:', r.source_kind, ':', " + PATH.format("r.file_path") + ", ':', coalesce(r.start_line, 0), ':', coalesce(r.end_line, 0)), k := r.source_kind)), [])"
 _CLAIMS = f"""{_G}, p AS (SELECT id s, {_LIST} p FROM n), t AS (SELECT DISTINCT from_id s FROM e WHERE kind = 'tested_by'),
-l AS (SELECT i.id, i.kind, e.from_id o FROM n i JOIN e ON e.to_id = i.id AND e.kind = CASE i.kind WHEN 'invariant' THEN 'constrained_by' ELSE 'implements_capability' END WHERE i.kind IN ('invariant', 'capability')),
-g AS (SELECT id, count(*) k, bool_or(o IN (FROM t)) tested, list(o) o FROM l GROUP BY 1),
+l AS (SELECT i.id, i.kind, e.from_id o, e.id eid FROM n i JOIN e ON e.to_id = i.id AND e.kind = CASE i.kind WHEN 'invariant' THEN 'constrained_by' ELSE 'implements_capability' END WHERE i.kind IN ('invariant', 'capability')),
+g AS (SELECT id, count(*) k, bool_or(o IN (FROM t)) tested, list(o ORDER BY eid) o FROM l GROUP BY 1),
 c AS (SELECT 'invariant' kind, coalesce(metadata['statement'], 'Invariant: ' || name) statement, list_concat([id], coalesce(o, [])) subj, CASE WHEN tested THEN 'tested' WHEN list_contains(tags, 'from-doc') THEN 'documented' ELSE 'inferred' END st FROM n LEFT JOIN g USING (id) WHERE kind = 'invariant'
   UNION ALL SELECT 'capability', concat('Capability "', name, '" is implemented by ', coalesce(k, 0), ' symbol(s).'), list_concat([id], coalesce(o, [])), CASE WHEN tested THEN 'tested' WHEN list_contains(tags, 'from-code') THEN 'documented' ELSE 'inferred' END FROM n LEFT JOIN g USING (id) WHERE kind = 'capability' AND (k > 0 OR list_contains(tags, 'from-doc'))
   UNION ALL SELECT 'contract', concat('Exported ', kind, ' "', name, '" is a public, compiler-enforced contract.'), [id], 'statically_verified' FROM n WHERE kind IN ('interface', 'type') AND exported),
@@ -123,6 +124,27 @@ _CONFIDENCE = f"0.5 * {_STATUS.format(0.95, 0.85, 0.6, 0.4)} + 0.3 * {_STATUS.fo
 CLAIMS_SQL = f"""{_CLAIMS} SELECT kind, statement, array_to_string(ds, ',') AS subjects, st AS verification_status, round(CAST({_CONFIDENCE} AS DOUBLE), 6) AS confidence, CAST(coalesce(len(list_distinct(list_transform(ev, lambda x: x.i))), 0) AS BIGINT) AS n_evidence FROM q LEFT JOIN v USING (rn)"""
 
 
+_HIT = "m AS (SELECT id FROM n WHERE contains(lower(name), 'ledger') OR contains(lower(id), 'ledger'))"
+_ORIENTED = f"u AS (SELECT from_id src, to_id dst FROM e WHERE kind IN {_KINDS} UNION SELECT to_id, from_id FROM e WHERE kind IN {_KINDS})"
+_SEEDS = "sd AS (SELECT repo seed_set, min(id) id FROM n WHERE kind = 'module' GROUP BY 1)"
+_FNV = "printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))"
+_SLUG = "left(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40)"
+_CLAIM_ID = f"concat('claim:', kind, ':', {_SLUG.format('statement')}, '-', {_FNV.format("array_to_string(subj, '|') || '::' || statement")})"
+
+
+def _scores_sql(preferred: list[str], required: list[str] | None, disallowed: list[str], seeds: str, hops: int) -> str:
+    """Gates and scores of the claims q, with hops from the nodes that ``seeds`` selects."""
+    n = len(preferred)
+    fit = " ".join(f"WHEN '{k}' THEN {1 - i / n * 0.3}" for i, k in enumerate(preferred))
+    strength = _STATUS.format(1.0, 0.85, 0.5, 0.3)
+    within = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    return f"""{_CLAIMS.replace('WITH', 'WITH RECURSIVE', 1)}, {_ORIENTED}, sd AS ({seeds}), w AS (SELECT id, 0 hop FROM sd UNION SELECT u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < {hops}),
+h AS (SELECT id, min(hop) hop FROM w GROUP BY 1), f AS (SELECT rn, bool_or(n.kind IN ('module', 'function', 'class', 'interface', 'type', 'enum')) code, min(hop) hop FROM (SELECT rn, unnest(ds) s FROM q) u JOIN n ON n.id = u.s LEFT JOIN h ON h.id = u.s GROUP BY 1),
+z AS (SELECT {_CLAIM_ID} AS id, kind, CAST(hop AS INTEGER) AS hop, st NOT IN {within(disallowed)} AS status_allowed, {'true' if required is None else f'st IN {within(required)}'} AS sufficient, NOT coalesce(code, false) OR NOT EXISTS (FROM sd) OR hop IS NOT NULL AS reachable,
+ 0.25 * CASE kind {fit} ELSE 0.3 END + 0.25 * {_STATUS.format(0.95, 0.85, 0.6, 0.4)} + 0.15 * CASE WHEN hop IS NOT NULL THEN 1.0 / (1 + hop) WHEN code THEN 0 ELSE 0.3 END + 0.2 * {strength} + 0.15 * {_STATUS.format(0.9, 0.85, 0.7, 0.6)} AS raw FROM q LEFT JOIN f USING (rn)),
+y AS (SELECT *, status_allowed AND sufficient AND reachable AS eligible, CASE WHEN status_allowed AND sufficient AND reachable THEN CAST(raw AS DOUBLE) ELSE 0.0 END AS score FROM z)"""
+
+
 def claim_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of all claims."""
     return cl.build_claims(*graph(spark, d)).select("id", "kind", "statement")
@@ -260,9 +282,6 @@ def inspect_relations(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.inspect(*graph(spark, d), "ledger")[1]
 
 
-_HIT = "m AS (SELECT id FROM n WHERE contains(lower(name), 'ledger') OR contains(lower(id), 'ledger'))"
-_ORIENTED = f"u AS (SELECT from_id src, to_id dst FROM e WHERE kind IN {_KINDS} UNION SELECT to_id, from_id FROM e WHERE kind IN {_KINDS})"
-_SEEDS = "sd AS (SELECT repo seed_set, min(id) id FROM n WHERE kind = 'module' GROUP BY 1)"
 _PATHS = f"""WITH RECURSIVE {GRAPH}, c AS (SELECT DISTINCT from_id src, to_id dst FROM e WHERE kind = 'calls'),
 w AS (SELECT id AS start, [id] p FROM n WHERE kind = 'function' AND list_contains(tags, 'critical') UNION ALL SELECT w.start, list_append(w.p, c.dst) FROM w JOIN c ON c.src = w.p[-1] WHERE len(w.p) < 6 AND NOT list_contains(w.p, c.dst)),
 pp AS (SELECT * FROM w WHERE len(p) > 1 AND (len(p) = 6 OR NOT EXISTS (SELECT 1 FROM c WHERE c.src = w.p[-1] AND NOT list_contains(w.p, c.dst))))"""
@@ -280,6 +299,13 @@ SELECT a AS id, (SELECT count(*) FROM o WHERE o.a = u.a) AS n_out, (SELECT count
     "node_merge": "SELECT id, CAST(sum(coalesce(len(evidence), 0)) AS BIGINT) AS n_evidence, coalesce(array_to_string(list_sort(list_distinct(flatten(list(coalesce(tags, []))))), ','), '') AS tags, coalesce(bool_or(exported), false) AS exported FROM nodes WHERE id IS NOT NULL GROUP BY id",
     "edge_merge": "SELECT kind, from_id, to_id, CAST(sum(coalesce(len(evidence), 0)) AS BIGINT) AS n_evidence FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL GROUP BY 1, 2, 3",
     "claims_build": CLAIMS_SQL,
+    "claim_ids": f"{_CLAIMS} SELECT {_CLAIM_ID} AS id, kind, statement FROM q",
+    "claim_scores": _scores_sql(*POLICIES["security"], "SELECT id FROM n WHERE kind = 'function' AND list_contains(tags, 'security')", 2) + " SELECT id, kind, eligible, round(score, 6) AS score, hop, status_allowed, sufficient, reachable FROM y",
+    "authoritative_claims": _scores_sql(*POLICIES["business_rule"], "SELECT id FROM n WHERE false", 1) + " SELECT id, kind, round(score, 6) AS score FROM y WHERE eligible ORDER BY round(y.score, 9) DESC, id LIMIT 10",
+    "lexical_name_rank": f"""{_G}, q AS (SELECT DISTINCT doc_id task_id, unnest({_TOK.format('text')}) w FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL), k AS (SELECT * FROM q WHERE length(w) >= 4 AND w NOT IN {_STOP}),
+p AS (SELECT DISTINCT file_path, id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^A-Za-z0-9]+'), lambda t: t <> '')) part FROM n WHERE file_path IS NOT NULL),
+a AS (SELECT DISTINCT task_id, file_path, w, id FROM k JOIN p ON starts_with(part, w)), b AS (SELECT task_id, file_path, w FROM k JOIN (SELECT DISTINCT file_path, lower(string_split(file_path, '/')[-1]) base FROM n WHERE file_path IS NOT NULL) ON contains(base, w))
+SELECT task_id, file_path, count(*) AS hits FROM (SELECT task_id, file_path FROM a UNION ALL SELECT task_id, file_path FROM b) GROUP BY 1, 2""",
     "co_change_pairs_raw": f"{_CO} SELECT * FROM p",
     "co_change": f"{_CO} SELECT *, CAST(row_number() OVER (PARTITION BY repo, file ORDER BY commits DESC, co_file) AS INTEGER) AS pos FROM p WHERE commits >= 2 QUALIFY pos <= 8",
     "name_status_parse": f"""WITH c AS (SELECT DISTINCT repository_identity log_id, commit_id, {PATH.format('file')} f FROM commit_files WHERE commit_id IS NOT NULL AND file IS NOT NULL),

@@ -148,6 +148,7 @@ def safe_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CH = f"""WITH {HUNKS}, g AS (SELECT *, length(file_path) % 7 = 0 gone FROM h WHERE old_start IS NOT NULL AND new_start IS NOT NULL)"""
+_U = "from_hex(printf('%08x', CAST({0} AS BIGINT)))"
 _KEY = "CAST(o_orderkey AS VARCHAR)"
 SQL = {
     "diff_parse": f"{_CH} SELECT diff_id, file_path, old_start, old_lines, new_start, new_lines, count(*) AS n FROM g WHERE NOT gone GROUP BY ALL",
@@ -163,6 +164,9 @@ SQL = {
  FROM documents WHERE starts_with(text, '/**') AND contains(text, '*/')""",
     "slug_ids": """SELECT p_partkey, slug, 'cap:' || slug AS cap_id FROM (SELECT p_partkey, left(regexp_replace(regexp_replace(lower(concat(p_name, ' ', p_type)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) slug FROM part)""",
     "evidence_ids": f"SELECT *, id = computed AS same FROM (SELECT DISTINCT id, concat('ev:', source_kind, ':', {PATH.format('file_path')}, ':', coalesce(start_line, 0), ':', coalesce(end_line, 0)) AS computed FROM evidence)",
+    "edge_ids": "SELECT kind, concat('edge:', kind, ':', printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(from_id || '->' || to_id, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))) AS edge_id, count(*) AS n_merged FROM (SELECT DISTINCT kind, from_id, to_id FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL) GROUP BY ALL",
+    "hunk_identities": f"""WITH {HUNKS}, x AS (SELECT *, encode(string_split(file_path, '/')[1]) r, encode(file_path) p, encode(string_split(diff_id, ':')[-1]) b, encode(concat('@@ -', old_start)) raw FROM h WHERE old_start IS NOT NULL AND new_start IS NOT NULL)
+SELECT diff_id, file_path, hunk_no, 'sha256:' || sha256(encode('HUNKFRM0') || {_U.format('1')} || {_U.format('octet_length(r)')} || r || {_U.format('octet_length(p)')} || p || {' || '.join(_U.format(c) for c in ('old_start', 'old_lines', 'new_start', 'new_lines'))} || from_hex('00') || from_hex('01') || {_U.format('octet_length(b)')} || b || {_U.format('octet_length(raw)')} || raw) AS identity FROM x""",
     "sha_fingerprint": "SELECT n_regionkey, 'sha256:' || sha256(concat('nations:v1', chr(0), string_agg(sha256(n_name), chr(10) ORDER BY n_nationkey))) AS fingerprint FROM nation GROUP BY 1",
     "canonical_metadata": """SELECT DISTINCT snapshot_id, id, 'sha256:' || sha256(concat('edge:v1', chr(0), '{', array_to_string(list_filter(['"kind":"' || kind || '"', '"metadata":{' || coalesce(array_to_string(list_transform(list_sort(map_entries(metadata)), lambda e: concat('"', e.key, '":', coalesce('"' || e.value || '"', 'null'))), ','), '') || '}', '"to":"' || to_id || '"'], lambda x: x IS NOT NULL), ','), '}')) AS digest FROM edges WHERE id IS NOT NULL""",
     "question_kinds": "SELECT doc_id, CASE WHEN doc_id % 50 = 1 THEN 'security' WHEN doc_id % 50 = 2 THEN 'persistence' " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {w!r})' for w in words)} THEN '{q}'" for q, words in scoring.QUESTION_WORDS) + " ELSE 'business_rule' END AS question FROM documents WHERE text IS NOT NULL",
