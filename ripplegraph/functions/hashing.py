@@ -29,14 +29,21 @@ def domain_sha256(domain: str, payload: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(domain.encode() + b"\0"), payload.cast("binary")), 256))
 
 
+#: Digits of the key's hash that make the groups of each level of a fingerprint: 16 million groups, then 4096, then one.
+FINGERPRINT_LEVELS = (6, 3)
+
+
 def fingerprint(rows: DataFrame, by: list[str], key: Column, payload: Column, domain: str) -> DataFrame:
-    """(by..., fingerprint) of a set of rows in order of key, whatever order they come in.
+    """(by..., fingerprint) of a set of rows, whatever order they come in; the key tells rows apart and sets their order.
 
-    Rows are hashed where they are; what meets in a group is a key and 64 digits each.
+    A tree of hashes: rows are hashed where they are, then in groups by their key's hash, then groups of groups, so that
+    no task ever holds a set, however large.
     """
-    h = rows.select(*by, key.alias("k"), F.sha2(payload.cast("binary"), 256).alias("h"))
-    g = h.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n").alias("all"))
-    return g.select(*by, domain_sha256(domain, F.col("all")).alias("fingerprint"))
+    x = rows.select(*by, key.cast("string").alias("k"), F.sha2(payload.cast("binary"), 256).alias("h")).withColumn("g", F.sha2("k", 256))
+    all_of = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda r: r["h"]), "\n")
+    for digits in FINGERPRINT_LEVELS:
+        x = x.groupBy(*by, F.substring("g", 1, digits).alias("g")).agg(F.sha2(all_of, 256).alias("h")).withColumn("k", F.col("g"))
+    return x.groupBy(*by).agg(domain_sha256(domain, all_of).alias("fingerprint"))
 
 
 def _u32(n: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,13 +115,16 @@ def file_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(adjacency: DataFrame, iterations: int = 30, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """(node, rank) after a fixed number of rounds over (src, dst); every node of the graph has a neighbour.
 
-    Edges carry their source's degree and are hashed by source once. Each round joins ranks to edges and sums by target;
-    lineage is cut by a checkpoint every few rounds.
+    Edges carry their source's degree and are hashed by source once; they stay so, in memory and on disk, and a round
+    moves ranks and sums but no edges. Lineage of the ranks is cut by a checkpoint every few rounds.
     """
     degree = adjacency.groupBy("src").agg(F.count("*").alias("degree"))
-    e = checkpointed(adjacency.join(degree, "src").repartition("src"))
-    count = e.select("src").distinct().count()
-    rank = degree.select(F.col("src").alias("node"), F.lit(1.0 / max(count, 1)).alias("rank"))
+    e = checkpointed(adjacency.join(degree, "src"))
+    spread = int(adjacency.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = e.repartition(spread, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    rank = checkpointed(e.select(F.col("src").alias("node")).distinct())
+    count = rank.count()
+    rank = rank.withColumn("rank", F.lit(1.0 / max(count, 1)))
     for i in range(iterations):
         flow = e.join(rank, e["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("in"))
         rank = flow.select(F.col("dst").alias("node"), ((1 - damping) / count + damping * F.col("in")).alias("rank"))
