@@ -326,3 +326,11 @@ def capability_wiring(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     bound = edges.where("kind = 'constrained_by'").select(F.col("from_id").alias("id"), F.col("to_id").alias("inv"))
     x = i.join(bound, "id", "left").join(nodes.select("id", "bounded_context"), "id", "left")
     return x.groupBy("capability").agg(F.array_sort(F.collect_set("inv")).alias("invariants"), F.array_sort(F.collect_set("bounded_context")).alias("contexts"))
+
+
+def resolvable_unknowns(m: dict[str, DataFrame]) -> DataFrame:
+    """(id, n_proofs, resolvable): unknowns with how much proven evidence they are proved by; without any, none may be closed."""
+    proven = m["nodes"].where((F.col("kind") == "evidence") & F.col("status").isin(*PROVEN)).select(F.col("id").alias("to_id")).distinct()
+    r = m["relations"].where("kind = 'proved_by'").join(proven, "to_id", "left_semi").groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n"))
+    u = m["nodes"].where("kind = 'unknown'").select("id").distinct().join(r, "id", "left")
+    return u.select("id", F.coalesce("n", F.lit(0)).alias("n_proofs"), F.col("n").isNotNull().alias("resolvable"))

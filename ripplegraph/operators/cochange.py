@@ -47,3 +47,19 @@ def co_changes(commits: DataFrame, changed: DataFrame, min_support: int = 2, max
     w = W.partitionBy("repo", "file").orderBy(F.desc("commits"), "co_file")
     x = co_change_counts(commits, changed, min_support).withColumn("pos", F.row_number().over(w))
     return x.where(F.col("pos") <= max_per_file)
+
+
+def co_changes_per_diff(commits: DataFrame, diff_files: DataFrame, min_support: int = 2, max_per_file: int = 8) -> DataFrame:
+    """(diff_id, repo, file, co_file, commits, pos): for each file of each diff the files beyond that diff that changed with
+    it most often. ``diff_files`` has diff_id and file.
+
+    Pairs are counted once for all diffs; a diff then leaves out its own files, and only what it keeps is ranked.
+    """
+    d = diff_files.select("diff_id", "file").distinct()
+    a = commits.join(d.select("file").distinct(), "file", "left_semi")
+    b = commits.withColumnRenamed("file", "co_file")
+    pairs = a.join(b, ["repo", "commit_id"]).where("file <> co_file").groupBy("repo", "file", "co_file").agg(F.count("*").alias("commits"))
+    x = d.join(pairs.where(F.col("commits") >= min_support), "file").join(d.withColumnRenamed("file", "co_file"), ["diff_id", "co_file"], "left_anti")
+    w = W.partitionBy("diff_id", "repo", "file").orderBy(F.desc("commits"), "co_file")
+    x = x.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= max_per_file)
+    return x.select("diff_id", "repo", "file", "co_file", "commits", "pos")

@@ -185,6 +185,13 @@ _CO = f"""WITH c AS (SELECT DISTINCT repository_identity repo, commit_id, {PATH.
 p AS (SELECT a.repo, a.f AS file, b.f AS co_file, count(*) AS commits FROM c a JOIN c b ON a.repo = b.repo AND a.commit_id = b.commit_id WHERE a.f IN (FROM ch) AND b.f NOT IN (FROM ch) GROUP BY 1, 2, 3)"""
 
 
+def diff_co_change(spark: SparkSession, d: str) -> DataFrame:
+    """For each file of each diff, the 8 files beyond the diff that changed with it most often."""
+    commits, _ = _commits(spark, d)
+    files = read(spark, d, "hunks").select("diff_id", g.normalize_path("file_path").alias("file")).distinct()
+    return cochange.co_changes_per_diff(commits, files)
+
+
 def name_status_parse(spark: SparkSession, d: str) -> DataFrame:
     """Commits read back from a log written in name-status form, one log a repository."""
     c = cochange.commit_sets(read(spark, d, "commit_files"))
@@ -308,6 +315,9 @@ a AS (SELECT DISTINCT task_id, file_path, w, id FROM k JOIN p ON starts_with(par
 SELECT task_id, file_path, count(*) AS hits FROM (SELECT task_id, file_path FROM a UNION ALL SELECT task_id, file_path FROM b) GROUP BY 1, 2""",
     "co_change_pairs_raw": f"{_CO} SELECT * FROM p",
     "co_change": f"{_CO} SELECT *, CAST(row_number() OVER (PARTITION BY repo, file ORDER BY commits DESC, co_file) AS INTEGER) AS pos FROM p WHERE commits >= 2 QUALIFY pos <= 8",
+    "diff_co_change": f"""WITH c AS (SELECT DISTINCT repository_identity repo, commit_id, {PATH.format('file')} f FROM commit_files WHERE commit_id IS NOT NULL AND file IS NOT NULL), d AS (SELECT DISTINCT diff_id, {PATH.format('file_path')} f FROM hunks),
+p AS (SELECT a.repo, a.f AS file, b.f AS co_file, count(*) AS commits FROM c a JOIN c b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.f <> b.f WHERE a.f IN (SELECT f FROM d) GROUP BY 1, 2, 3)
+SELECT diff_id, repo, file, co_file, commits, CAST(row_number() OVER (PARTITION BY diff_id, repo, file ORDER BY commits DESC, co_file) AS INTEGER) AS pos FROM d JOIN p ON p.file = d.f WHERE commits >= 2 AND (diff_id, co_file) NOT IN (SELECT (diff_id, f) FROM d) QUALIFY pos <= 8""",
     "name_status_parse": f"""WITH c AS (SELECT DISTINCT repository_identity log_id, commit_id, {PATH.format('file')} f FROM commit_files WHERE commit_id IS NOT NULL AND file IS NOT NULL),
 x AS (SELECT log_id, commit_id, f FROM c UNION SELECT log_id, commit_id, 'old/' || f FROM c WHERE length(f) % 5 = 0) SELECT log_id, f AS file, count(*) AS commits FROM x GROUP BY 1, 2""",
     "bm25_topk": f"{_BM25.format(skip='')} SELECT query_id, doc_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM r WHERE pos <= 10",
@@ -324,5 +334,5 @@ SELECT type, seq, item FROM r ORDER BY w DESC, seq LIMIT 16""",
 }
 QUERIES = {q.__name__: q for q in (
     kind_counts, neighbors, bfs_distances, reachable_out, call_paths, impact_path_top, file_adjacency, pagerank_files, node_merge, edge_merge, claims_build, claim_ids, claim_scores, authoritative_claims,
-    co_change_pairs_raw, co_change, name_status_parse, bm25_topk, recall_mrr, retrieval_means, lexical_entrypoints, lexical_name_rank, known_slug_match, task_caps, inspect_match, inspect_relations,
+    co_change_pairs_raw, co_change, diff_co_change, name_status_parse, bm25_topk, recall_mrr, retrieval_means, lexical_entrypoints, lexical_name_rank, known_slug_match, task_caps, inspect_match, inspect_relations,
 )}

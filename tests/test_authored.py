@@ -80,3 +80,9 @@ def test_slice_is_capped_in_order(spark, rows):
     seeds = spark.createDataFrame([("s", "goal.a")], "seed_set string, id string")
     assert rows(authored.slice_model(m, seeds, 3)) == [("s", "goal.a", 0, True), ("s", "goal.b", 1, True), ("s", "goal.c", 1, True)]
     assert rows(authored.slice_model(m, seeds, 9), "id", "truncated") == [(f"goal.{x}", False) for x in "abcd"]
+
+
+def test_unknowns_need_proof(spark, rows):
+    text = "unknown unknown.a\n  statement: s\n  proved_by: proof.x\n\nunknown unknown.b\n  statement: s\n  proved_by: proof.y\n\nevidence proof.x\n  statement: s\n  status: tested\n\nevidence proof.y\n  statement: s\n"
+    m = model(parse_blocks(spark.createDataFrame([("f", text)], "file string, text string")))
+    assert rows(authored.resolvable_unknowns(m)) == [("unknown.a", 1, True), ("unknown.b", 0, False)]
