@@ -17,6 +17,7 @@ HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 #: Patterns of markers, constraints and tables.
 MARKER = r"(?i)@(capability|invariant|contract|risk|boundedcontext|tag)[ \t]+([A-Za-z0-9][A-Za-z0-9_-]*)[ \t]*(?::[ \t]*([^\r\n*][^\r\n]*))?"
 CONSTRAINT = r"(?i)--\s*@constraint[ \t]+([A-Za-z0-9][A-Za-z0-9_-]*)[ \t]*(?::[ \t]*([^\r\n]*))?"
+FRONT_MATTER = r"\A---[^\S\n]*\n((?s:.*?\n)??)---[^\S\n]*(?:\n|\z)"
 CREATE_TABLE = r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"'`]?([A-Za-z0-9_]+)[\"'`]?"
 
 
@@ -85,18 +86,12 @@ def _scalar(raw: Column) -> Column:
 
 
 def parse_front_matter(documents: DataFrame, key: str) -> DataFrame:
-    """(key, data map<string, array<string>>, is_list map, body): the lines between two ``---`` as keys and values.
+    """(key, data map<string, array<string>>, body, body_start_line): the lines between two ``---`` as keys and values.
 
     Without a closing line there is no data and the body is the whole text. An inline list has several values, anything
     else one; quotes around values are dropped; of a repeated key the last counts.
     """
-    lines = F.split("text", "\r?\n")
-    rest = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
-    x = documents.select(key, "text", lines.alias("lines"))
-    close = F.array_position(F.transform(rest, lambda s: s.rlike(r"^---\s*$")), True)
-    x = x.withColumn("close", F.when(F.col("lines")[0].rlike(r"^---\s*$"), close).otherwise(0))
-    has = F.col("close") > 0
-    inner = F.filter(F.slice("lines", 2, F.greatest(F.col("close").cast("int") - 1, F.lit(0))), lambda s: F.contains(s, F.lit(":")) & (F.trim(F.substring_index(s, ":", 1)) != ""))
+    x = documents.select(key, "text", F.col("text").rlike(FRONT_MATTER).alias("has"), F.regexp_extract("text", FRONT_MATTER, 1).alias("head"))
 
     def values(s: Column) -> Column:
         v = F.trim(F.regexp_replace(s, "^[^:]*:", ""))
@@ -104,12 +99,14 @@ def parse_front_matter(documents: DataFrame, key: str) -> DataFrame:
         listed = v.rlike(r"^\[.*\]$")
         return F.when(listed & (body == ""), F.array().cast("array<string>")).when(listed, F.transform(F.split(body, ","), _scalar)).otherwise(F.array(_scalar(v)))
 
-    pair = lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("key"), values(s).alias("value"))
-    pairs = F.transform(inner, pair)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    data = F.when(has, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,array<string>>"))
-    body = F.when(has, F.array_join(F.slice("lines", F.col("close").cast("int") + 2, F.size("lines")), "\n")).otherwise(F.col("text"))
-    return x.select(key, data.alias("data"), body.alias("body"), F.when(has, F.col("close").cast("int") + 2).otherwise(1).alias("body_start_line"))
+    said = F.filter(F.split("head", "\r?\n"), lambda s: F.trim(F.substring_index(s, ":", 1)) != "")
+    said = F.filter(said, lambda s: F.contains(s, F.lit(":")))
+    pairs = F.transform(said, lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("key"), values(s).alias("value")))
+    none = F.array().cast("array<struct<key:string,value:array<string>>>")
+    last = F.aggregate(pairs, none, lambda done, p: F.concat(F.filter(done, lambda q: q["key"] != p["key"]), F.array(p)))
+    body = F.when(F.col("has"), F.replace(F.regexp_replace("text", FRONT_MATTER, ""), F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
+    start = F.when(F.col("has"), F.size(F.split("head", "\n")) + 2).otherwise(1)
+    return x.select(key, F.map_from_entries(last).alias("data"), body.alias("body"), start.alias("body_start_line"))
 
 
 def extract_documents(documents: DataFrame, key: str) -> DataFrame:
