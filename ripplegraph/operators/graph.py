@@ -12,10 +12,12 @@ from ripplegraph.operators.versions import delivered_snapshots
 from ripplegraph.runtime import broadcast_if_small, checkpointed
 
 
-def current_graph(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def current_graph(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, proofs: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of each repository's latest delivered snapshot, one row per id, the latest delivered.
 
-    Nodes get normalised paths, sets instead of nulls, and ``repo``. Rows are combined by id before the shuffle.
+    Nodes get normalised paths, sets instead of nulls, and ``repo``. Rows are combined by id before the shuffle. Without
+    ``proofs`` there is neither evidence nor metadata, and nodes have start_line and end_line instead: of evidence only line
+    numbers are then read from the files.
     """
     last = delivered_snapshots(snapshots, nodes).groupBy("repository_identity").agg(F.max(F.struct("captured_at", "snapshot_id")).alias("s"))
     last = broadcast_if_small(checkpointed(last.select(F.col("repository_identity").alias("repo"), "s.snapshot_id")))
@@ -25,9 +27,12 @@ def current_graph(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame) -> t
         best = live.groupBy("repo", "id").agg(F.max_by(F.struct(*payload), F.struct("delivered_at", *order)).alias("x"))
         return best.select("repo", "id", "x.*")
 
-    n = newest(nodes, ["kind", "name", "file_path", "bounded_context", "exported", "tags", "evidence", "metadata"], ["kind", "name", "file_path"])
+    if not proofs:
+        nodes = nodes.withColumns(dict(zip(("start_line", "end_line"), _lines(F.col("evidence.start_line"), F.col("evidence.end_line")), strict=True)))
+    facts = ["evidence", "metadata"] if proofs else ["start_line", "end_line"]
+    n = newest(nodes, ["kind", "name", "file_path", "bounded_context", "exported", "tags", *facts], ["kind", "name", "file_path"])
     n = n.withColumns({"file_path": normalize_path("file_path"), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
-    e = newest(edges, ["kind", "from_id", "to_id", "evidence"], ["kind", "from_id", "to_id"])
+    e = newest(edges, ["kind", "from_id", "to_id", *facts[:1]] if proofs else ["kind", "from_id", "to_id"], ["kind", "from_id", "to_id"])
     return n, e.where("from_id is not null and to_id is not null")
 
 
@@ -51,12 +56,19 @@ def merge_edges(rows: DataFrame) -> DataFrame:
     return m.withColumn("evidence", F.flatten(F.filter(F.col("o.evidence"), lambda x: x.isNotNull()))).drop("o")
 
 
+def _lines(starts: Column, ends: Column) -> tuple[Column, Column]:
+    """Least start, and greatest end where an entry without end ends where it starts; nulls without any start."""
+    both = F.zip_with(starts, ends, lambda s, e: F.coalesce(e, s))
+    start = F.array_min(starts)
+    return start, F.when(start.isNotNull(), F.coalesce(F.array_max(both), start))
+
+
 def node_ranges(nodes: DataFrame) -> DataFrame:
-    """(id, start_line, end_line): least start and greatest end (an entry without end ends where it starts) over evidence."""
-    lines = lambda f: F.filter(F.transform("evidence", f), lambda x: x.isNotNull())
-    start = F.array_min(lines(lambda r: r["start_line"]))
-    end = F.array_max(lines(lambda r: F.coalesce(r["end_line"], r["start_line"])))
-    return nodes.select("id", start.alias("start_line"), F.when(start.isNotNull(), F.coalesce(end, start)).alias("end_line"))
+    """(id, start_line, end_line): first and last line over a node's evidence."""
+    if "start_line" in nodes.columns:
+        return nodes.select("id", "start_line", "end_line")
+    start, end = _lines(F.col("evidence.start_line"), F.col("evidence.end_line"))
+    return nodes.select("id", start.alias("start_line"), end.alias("end_line"))
 
 
 def oriented(edges: DataFrame, kinds: list[str] | None = None, direction: str = "out") -> DataFrame:

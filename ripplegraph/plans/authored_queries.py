@@ -86,7 +86,7 @@ def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, d: str, links: DataFrame) -> DataFrame:
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, proofs=True)
     return authored.resolve_links(links, n, build_claims(n, e), read(spark, d, "evidence"))
 
 
@@ -146,7 +146,7 @@ def semantic_slice(spark: SparkSession, d: str) -> DataFrame:
 def change_verdict(spark: SparkSession, d: str) -> DataFrame:
     """The composed verdict of every change, each with the diffs of its repository as underlying."""
     m = _model(spark, d)
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, proofs=True)
     h = impact.current_hunks(read(spark, d, "hunks"))
     met = checkpointed(impact.conditions(impact.impacted_nodes(n, h), n, e))
     found = impact.findings(met, impact.default_rules(h))

@@ -105,7 +105,7 @@ def edge_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def claims_build(spark: SparkSession, d: str) -> DataFrame:
     """Claims derived from the graph, with status and confidence."""
-    c = cl.build_claims(*graph(spark, d))
+    c = cl.build_claims(*graph(spark, d, proofs=True))
     return c.select("kind", "statement", F.array_join(F.array_sort("subject_node_ids"), ",").alias("subjects"), "verification_status", F.round("confidence", 6).alias("confidence"), F.size("evidence_ids").cast("long").alias("n_evidence"))
 
 
@@ -147,12 +147,12 @@ y AS (SELECT *, status_allowed AND sufficient AND reachable AS eligible, CASE WH
 
 def claim_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of all claims."""
-    return cl.build_claims(*graph(spark, d)).select("id", "kind", "statement")
+    return cl.build_claims(*graph(spark, d, proofs=True)).select("id", "kind", "statement")
 
 
 def claim_scores(spark: SparkSession, d: str) -> DataFrame:
     """Gates and scores of all claims for a security question from the tagged entry points."""
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, proofs=True)
     seeds = n.where(F.array_contains("tags", "security") & (F.col("kind") == "function")).select(F.lit("all").alias("seed_set"), "id")
     hops = g.bfs(n, g.oriented(e, _STRUCTURE, "both"), seeds, 2).select("id", "hop")
     x = cl.evaluate_claims(checkpointed(cl.build_claims(n, e)), n, hops, "security")
@@ -161,7 +161,7 @@ def claim_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def authoritative_claims(spark: SparkSession, d: str) -> DataFrame:
     """The 10 best claims for a question about business rules."""
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, proofs=True)
     x = cl.evaluate_claims(checkpointed(cl.build_claims(n, e)), n, spark.createDataFrame([], "id string, hop int"), "business_rule")
     return x.where("eligible").orderBy(F.desc(F.round("score", 9)), "id").limit(10).select("id", "kind", F.round("score", 6).alias("score"))
 

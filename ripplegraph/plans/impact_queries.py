@@ -12,8 +12,8 @@ from ripplegraph.plans.graph_sql import FINDINGS, GRAPH, HUNKS, IMPACT, RANGES
 from ripplegraph.runtime import read
 
 
-def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return current_graph(read(spark, d, "snapshots"), read(spark, d, "nodes"), read(spark, d, "edges"))
+def graph(spark: SparkSession, d: str, proofs: bool = False) -> tuple[DataFrame, DataFrame]:
+    return current_graph(read(spark, d, "snapshots"), read(spark, d, "nodes"), read(spark, d, "edges"), proofs)
 
 
 def _hunks(spark: SparkSession, d: str) -> DataFrame:
@@ -47,13 +47,13 @@ def impacted_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def impacted_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims with an impacted subject."""
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, proofs=True)
     return impact.impacted_claims(build_claims(n, e), impact.impacted_nodes(n, _hunks(spark, d)))
 
 
 def impacted_claim_keys(spark: SparkSession, d: str) -> DataFrame:
     """Invariants and exported contracts impacted per diff, by their first subject."""
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, proofs=True)
     claims = build_claims(n, e).where("kind = 'invariant' or (kind = 'contract' and array_contains(tags, 'exported'))")
     hit = impact.impacted_claims(claims, impact.impacted_nodes(n, _hunks(spark, d)))
     return hit.join(claims.select(F.col("id").alias("claim_id"), "kind", F.col("subject_node_ids")[0].alias("subject")), "claim_id").select("diff_id", "kind", "subject").distinct()

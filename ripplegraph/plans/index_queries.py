@@ -54,7 +54,7 @@ def observed_hunks(spark: SparkSession, d: str) -> DataFrame:
 
 def context_reads(spark: SparkSession, d: str) -> DataFrame:
     """What to read for one task."""
-    n, e = graph(spark, d)
+    n, e = graph(spark, d, proofs=True)
     n, e = stored(n), stored(e)
     task = context.Task("release the ledger session before the voucher is rendered", "business_rule", "bugfix", risks=["race"])
     return context.context_pack(task, n, e, build_claims(n, e), read(spark, d, "evidence"))["reads"]
