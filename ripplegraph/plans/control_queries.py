@@ -128,7 +128,7 @@ def integrity_violations(spark: SparkSession, d: str) -> DataFrame:
     part, orders = read(spark, d, "part"), read(spark, d, "orders")
     key = F.col("p_partkey")
     elements = part.select(F.concat(F.lit("p"), key).alias("id"), (key % 7).alias("level"), F.when(key % 41 != 0, F.col("p_brand")).alias("category")).where("id not like '%99'")
-    relations = part.select(F.concat(F.lit("p"), key).alias("from_id"), F.concat(F.lit("p"), key + 1).alias("to_id")).where(key < 500)
+    relations = part.select(F.concat(F.lit("p"), key).alias("from_id"), F.concat(F.lit("p"), key + 1).alias("to_id"))
     steps = orders.select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey").cast("string")).alias("depends_on"))
     seq = lambda n: F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: i.cast("string"))
     paths = part.select(key.alias("path_id"), seq(F.col("p_size") % 4 + 2).alias("nodes"), seq(F.when(key % 37 == 0, F.lit(1)).otherwise(F.col("p_size") % 4 + 1)).alias("edges"))
