@@ -10,12 +10,11 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.ids import SEMANTIC_KINDS, is_semantic_id, link_of, semantic_kind
 from ripplegraph.operators.refinement import relation_spans
-from ripplegraph.runtime import checkpointed
+from ripplegraph.runtime import broadcast_if_small, checkpointed
 
 #: Vocabularies of the block language.
 STATUSES = ("declared", "proposed", "assumed", "tested", "statically_verified", "runtime_verified", "contradicted", "stale")
@@ -233,32 +232,38 @@ def check_model(m: dict[str, DataFrame], resolved: DataFrame | None = None) -> D
     return reduce(DataFrame.unionByName, parts).where("n > 0")
 
 
+#: Levels of a slice that run before its lineage is cut.
+LEVELS_PER_JOB = 6
+
+
 def slice_model(m: dict[str, DataFrame], seeds: DataFrame, max_nodes: int = 60) -> DataFrame:
     """(seed_set, id, hop, truncated): what each set of seeds reaches over relations, at most ``max_nodes`` ids.
 
     Level by level; within a level ids are taken in order, as the cap depends on it, and ids that the model does not
-    declare are skipped but, once the cap is reached, still mark the slice as cut.
+    declare are skipped but, once the cap is reached, still mark the slice as cut. A set is one row of what it has picked
+    and what comes next, so that several levels run in one job.
     """
-    ids = checkpointed(m["nodes"].select("id").unionAll(m["changes"].select("id")).distinct().withColumn("known", F.lit(True)))
-    out = checkpointed(m["relations"].select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(m["change_refs"].select(F.col("change_id").alias("a"), F.col("ref").alias("b"))).distinct())
-    front = seeds.select("seed_set", "id").distinct()
-    picked, cut, hop = None, None, 0
+    ids = m["nodes"].select("id").unionAll(m["changes"].select("id")).distinct()
+    out = m["relations"].select(F.col("from_id").alias("id"), F.col("to_id").alias("b")).unionByName(m["change_refs"].select(F.col("change_id").alias("id"), F.col("ref").alias("b")))
+    known = ids.join(out.groupBy("id").agg(F.collect_set("b").alias("nexts")), "id", "left").withColumn("nexts", F.coalesce("nexts", F.array().cast("array<string>")))
+    known = broadcast_if_small(checkpointed(known))
+    at = seeds.groupBy("seed_set").agg(F.collect_set("id").alias("front"))
+    at = at.select("seed_set", F.array().cast("array<struct<id: string, hop: int>>").alias("picked"), "front", F.lit(False).alias("cut"))
+    hop = 0
     while True:
-        size = None if picked is None else picked.groupBy("seed_set").agg(F.count("*").alias("n"))
-        x = front if picked is None else front.join(picked.select("seed_set", "id"), ["seed_set", "id"], "left_anti")
-        x = x.join(ids, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        x = x.withColumn("n", F.lit(0)) if size is None else x.join(size, "seed_set", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        before = F.coalesce(F.sum(F.col("known").cast("int")).over(W.partitionBy("seed_set").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("n")
-        x = checkpointed(x.withColumn("room", before < max_nodes).withColumn("hop", F.lit(hop)))
-        new = x.where("room and known").select("seed_set", "id", "hop")
-        over = x.where("not room").select("seed_set").distinct()
-        picked = new if picked is None else picked.unionByName(new)
-        cut = over if cut is None else cut.unionByName(over)
-        if new.isEmpty():
+        for _ in range(LEVELS_PER_JOB):
+            x = at.select("seed_set", "picked", "cut", F.explode_outer("front").alias("id")).join(known, "id", "left")
+            x = x.groupBy("seed_set").agg(F.first("picked").alias("picked"), F.first("cut").alias("cut"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "nexts")))).alias("f"))
+            x = x.withColumn("room", max_nodes - F.size("picked")).withColumn("k", F.filter("f", lambda v: v["nexts"].isNotNull()))
+            past = F.get("f", F.size("f") - 1)["id"] > F.get("k", F.col("room") - 1)["id"]
+            x = x.withColumn("cut", F.col("cut") | F.coalesce(F.when(F.col("room") == 0, F.size("f") > 0).otherwise(past), F.lit(False))).withColumn("k", F.slice("k", 1, F.col("room")))
+            x = x.withColumn("picked", F.concat("picked", F.transform("k", lambda v: F.struct(v["id"].alias("id"), F.lit(hop).alias("hop")))))  # noqa: B023
+            at = x.select("seed_set", "picked", F.array_except(F.flatten("k.nexts"), F.col("picked.id")).alias("front"), "cut")
+            hop += 1
+        at = checkpointed(at)
+        if at.where("size(front) > 0").isEmpty():
             break
-        front = new.join(out, new["id"] == out["a"]).select("seed_set", F.col("b").alias("id")).distinct()
-        hop += 1
-    return picked.join(cut.distinct().withColumn("truncated", F.lit(True)), "seed_set", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    return at.select("seed_set", F.explode("picked").alias("p"), "cut").select("seed_set", "p.id", "p.hop", F.col("cut").alias("truncated"))
 
 
 def superseded_decisions(m: dict[str, DataFrame], preserved: DataFrame) -> DataFrame:

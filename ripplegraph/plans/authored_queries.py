@@ -137,10 +137,10 @@ def model_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_slice(spark: SparkSession, d: str) -> DataFrame:
-    """What each change reaches over relations, at most 12 ids."""
+    """What each change reaches over relations, at most 60 ids."""
     m = _model(spark, d)
     s = m["changes"].select(F.col("id").alias("seed_set"), "id").distinct()
-    return authored.slice_model(m, s, 12)
+    return authored.slice_model(m, s)
 
 
 def change_verdict(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from ripplegraph.plans import control_queries
+from ripplegraph.plans import authored_queries, control_queries
 
 
 def test_integrity_covers_relations_of_every_part(spark, rows, tmp_path):
@@ -8,3 +8,11 @@ def test_integrity_covers_relations_of_every_part(spark, rows, tmp_path):
     dangling = [f"p{k}" for k in range(99, 1201, 100)]
     assert sorted(s for r, s in got if r == "relation_from_id_is_element") == sorted(dangling)
     assert sorted(s for r, s in got if r == "relation_to_id_is_element") == sorted([*dangling, "p1201"])
+
+
+def test_slice_query_goes_beyond_12_ids(spark, rows, tmp_path):
+    ids = ["change.a", *(f"goal.g{k:02}" for k in range(20))]
+    links = [("s", f"repo.{i}", "symbol", f"sym:{i}") for i in ids]
+    spark.createDataFrame(links, "snapshot_id string, owner_id string, kind string, ref string").write.parquet(f"{tmp_path}/sem_links.parquet")
+    got = rows(authored_queries.semantic_slice(spark, str(tmp_path)), "seed_set", "id", "hop", "truncated")
+    assert got == [("change.a", i, k, False) for k, i in enumerate(ids)]
