@@ -120,33 +120,51 @@ def refinement_gaps(coords: DataFrame, reached: DataFrame, lo: int, hi: int) ->
 def impact_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 8, per_destination: int = 2, max_results: int | None = None) -> DataFrame:
     """(source_set, id, path array): what sources reach over impact relations, at most two paths each, shortest first.
 
-    Level by level with the paths carried along; a node is entered again only at its least depth, paths are simple, and
-    ties follow the ids on the path. Within a destination and level only as many paths as may be kept go on. ``sources``
-    has source_set and id. ``max_results`` keeps the first destinations in order of depth and id.
+    Level by level with the paths carried along; paths are simple, and ties follow the ids on the path. A deeper path counts
+    where a destination holds fewer than ``per_destination``; only paths of a node's least depth go on, and of these no more
+    than later levels can tell apart. ``sources`` has source_set and id. ``max_results`` keeps the first destinations in
+    order of least depth and id.
     """
     e = checkpointed(edges.where(F.col("relation").isin(*IMPACT_RELATIONS)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct())
     src = checkpointed(sources.select("source_set", "id").distinct())
     at = src.select("source_set", F.col("id").alias("tail"), F.array("id").alias("path"))
-    best = checkpointed(src.select("source_set", F.col("id").alias("tail"), F.lit(0).alias("depth")))
+    held = src.select("source_set", F.col("id").alias("tail"), F.lit(per_destination).cast("long").alias("held"))
     found = None
     for depth in range(1, max_depth + 1):
         nxt = at.join(e, at["tail"] == e["src"]).where(~F.array_contains("path", F.col("dst"))).select("source_set", F.col("dst").alias("tail"), F.concat("path", F.array("dst")).alias("path"))
-        nxt = nxt.join(best, ["source_set", "tail"], "left_anti")
+        nxt = checkpointed(nxt.join(held, ["source_set", "tail"], "left").where(F.coalesce("held", F.lit(0)) < per_destination))
         w = W.partitionBy("source_set", "tail").orderBy(F.array_join("path", "\0"))
-        at = checkpointed(nxt.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_destination).drop("rn"))
-        if at.isEmpty():
+        hit = nxt.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_destination)
+        hit = checkpointed(hit.where(F.col("rn") + F.coalesce("held", F.lit(0)) <= per_destination).select("source_set", F.col("tail").alias("id"), "path", F.lit(depth).alias("depth")))
+        if hit.isEmpty():
             break
-        hit = at.select("source_set", F.col("tail").alias("id"), "path", F.lit(depth).alias("depth"))
         found = hit if found is None else found.unionByName(hit)
-        best = checkpointed(best.unionByName(at.select("source_set", "tail").distinct().withColumn("depth", F.lit(depth))))
+        now = hit.groupBy("source_set", F.col("id").alias("tail")).agg(F.count("*").alias("held"))
+        held = checkpointed(held.unionByName(now).groupBy("source_set", "tail").agg(F.sum("held").alias("held")))
+        at = checkpointed(_telling_paths(nxt.where("held is null"), per_destination))
     if found is None:
         return src.limit(0).select("source_set", "id", F.array("id").alias("path"))
     if max_results is not None:
-        w = W.partitionBy("source_set").orderBy("depth", "id")
-        found = found.withColumn("rk", F.dense_rank().over(w)).where(F.col("rk") <= max_results)
+        found = found.withColumn("first", F.min("depth").over(W.partitionBy("source_set", "id")))
+        found = found.withColumn("rk", F.dense_rank().over(W.partitionBy("source_set").orderBy("first", "id"))).where(F.col("rk") <= max_results)
     return found.select("source_set", "id", "path")
 
 
+def _telling_paths(paths: DataFrame, k: int) -> DataFrame:
+    """Paths (source_set, tail, path) without those that no continuation needs.
+
+    A path goes on to x only if it avoids x, so what counts are the first ``k`` paths that avoid x, for every x. In order, a
+    path is kept if it avoids a node that fewer than ``k`` kept ones avoid; such a node is on one of the first ``k``. Salted
+    first, as what is kept of parts holds all that is kept of the whole.
+    """
+    few = lambda kept, x: F.size(F.filter(kept, lambda q: ~F.array_contains(q, x))) < k
+    needed = lambda kept, p: F.exists(F.array_except(F.flatten(F.slice(kept, 1, k)), p), lambda x: few(kept, x))
+    keep = F.aggregate(F.array_sort(F.collect_list("path")), F.array().cast("array<array<string>>"), lambda kept, p: F.when((F.size(kept) < k) | needed(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
+    x = paths.groupBy("source_set", "tail", F.pmod(F.xxhash64("path"), F.lit(64)).alias("salt")).agg(keep.alias("p"))
+    x = x.select("source_set", "tail", F.explode("p").alias("path")).groupBy("source_set", "tail").agg(keep.alias("p"))
+    return x.select("source_set", "tail", F.explode("p").alias("path"))
+
+
 def explain_why(coords: DataFrame, edges: DataFrame, sources: DataFrame, max_depth: int = 8) -> DataFrame:
     """(source, rationale, path array): authored goals, invariants, decisions, policies and strategies that a coordinate
     serves, justifies or preserves, directly or through others. A path ends at the first of them."""

@@ -1,3 +1,6 @@
+import random
+
+from ripplegraph.operators.control import impact_paths
 from ripplegraph.plans import authored_queries, control_queries
 
 
@@ -16,3 +19,31 @@ def test_slice_query_goes_beyond_12_ids(spark, rows, tmp_path):
     spark.createDataFrame(links, "snapshot_id string, owner_id string, kind string, ref string").write.parquet(f"{tmp_path}/sem_links.parquet")
     got = rows(authored_queries.semantic_slice(spark, str(tmp_path)), "seed_set", "id", "hop", "truncated")
     assert got == [("change.a", i, k, False) for k, i in enumerate(ids)]
+
+
+def impact_by_reference(edges, sources, max_depth):
+    """The reference's queue: two paths a destination at any depth, paths of least depth go on."""
+    queue, best, found = [(s,) for s in sorted(sources)], {s: 0 for s in sources}, {}
+    while queue:
+        path = queue.pop(0)
+        if len(path) > max_depth:
+            continue
+        for b in sorted({b for a, b in edges if a == path[-1]} - set(path)):
+            if b not in sources and len(found.setdefault(b, [])) < 2:
+                found[b].append([*path, b])
+            if len(path) <= best.get(b, len(path)):
+                best[b] = len(path)
+                queue.append((*path, b))
+    return sorted(((i, p) for i, ps in found.items() for p in ps), key=repr)
+
+
+def test_impact_paths_keeps_a_longer_second_path(spark, rows):
+    sets = {"short": ["sa", "sb", "ba"], "detour": ["sx", "sa", "sz", "xt", "at", "zt", "tx", "ta", "tz"]}
+    # The two first paths to t hold a, so that only a third one can bring a its second path.
+    sets["third"] = ["sa", "ab", "ac", "bt", "ct", "sy", "yz", "zt", "ta"]
+    rnd = random.Random(5)
+    sets |= {f"random{k}": sorted({rnd.choice("sabcdefgh") + rnd.choice("abcdefgh") for _ in range(22)}) for k in range(6)}
+    for e in sets.values():
+        df = spark.createDataFrame([(a, b, "calls") for a, b in e], "from_id string, to_id string, relation string")
+        got = rows(impact_paths(df, spark.createDataFrame([("q", "s")], "source_set string, id string")), "id", "path")
+        assert got == impact_by_reference([tuple(x) for x in e], {"s"}, 8)
