@@ -83,14 +83,14 @@ def impact_paths(spark: SparkSession, d: str) -> DataFrame:
     """What each repository's invariant-bound functions reach over impact relations, two shortest paths each."""
     n, e = graph(spark, d)
     src = n.where("kind = 'function' and array_contains(tags, 'critical')").select(F.col("repo").alias("source_set"), "id")
-    return c.impact_paths(e.withColumnRenamed("kind", "relation"), src, 4).select("source_set", "id", F.array_join("path", ">").alias("path"))
+    return c.impact_paths(e.withColumnRenamed("kind", "relation"), src).select("source_set", "id", F.array_join("path", ">").alias("path"))
 
 
 def impact_reach(spark: SparkSession, d: str) -> DataFrame:
     """The least depth of what they reach."""
     n, e = graph(spark, d)
     src = n.where("kind = 'function' and array_contains(tags, 'critical')").select(F.col("repo").alias("source_set"), "id")
-    return c.impact_paths(e.withColumnRenamed("kind", "relation"), src, 4).groupBy("source_set", "id").agg(F.min(F.size("path") - 1).alias("depth"))
+    return c.impact_paths(e.withColumnRenamed("kind", "relation"), src).groupBy("source_set", "id").agg(F.min(F.size("path") - 1).alias("depth"))
 
 
 def coordinate_graph(spark: SparkSession, d: str) -> DataFrame:

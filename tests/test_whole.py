@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 from ripplegraph.operators.control import impact_paths
 from ripplegraph.plans import authored_queries, control_queries
@@ -47,3 +48,23 @@ def test_impact_paths_keeps_a_longer_second_path(spark, rows):
         df = spark.createDataFrame([(a, b, "calls") for a, b in e], "from_id string, to_id string, relation string")
         got = rows(impact_paths(df, spark.createDataFrame([("q", "s")], "source_set string, id string")), "id", "path")
         assert got == impact_by_reference([tuple(x) for x in e], {"s"}, 8)
+
+
+def graph_at(spark, path, nodes, edges):
+    """Tables of one snapshot under ``path``: nodes of (id, kind, exported, tags), edges of (kind, from_id, to_id)."""
+    like = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").schema for t in ("snapshots", "nodes", "edges")}
+    at = datetime(2024, 1, 1)
+    rows = {
+        "snapshots": [{"snapshot_id": "s1", "repository_identity": "repo", "commit_id": "c", "captured_at": at}],
+        "nodes": [{"snapshot_id": "s1", "id": i, "kind": k, "name": i, "file_path": f"{i}.ts", "exported": x, "tags": t, "evidence": [], "metadata": {}, "delivered_at": at} for i, k, x, t in nodes],
+        "edges": [{"snapshot_id": "s1", "id": f"{k}:{a}>{b}", "kind": k, "from_id": a, "to_id": b, "evidence": [], "metadata": {}, "delivered_at": at} for k, a, b in edges],
+    }
+    for t, x in rows.items():
+        spark.createDataFrame(x, like[t]).write.parquet(f"{path}/{t}.parquet")
+
+
+def test_impact_queries_reach_depth_8(spark, rows, tmp_path):
+    f = [f"f{k}" for k in range(10)]
+    graph_at(spark, tmp_path, [(i, "function", False, ["critical"] if i == "f0" else []) for i in f], [("calls", a, b) for a, b in zip(f, f[1:])])
+    assert rows(control_queries.impact_paths(spark, str(tmp_path)), "path") == [(">".join(f[: k + 1]),) for k in range(1, 9)]
+    assert rows(control_queries.impact_reach(spark, str(tmp_path)), "id", "depth") == [(f"f{k}", k) for k in range(1, 9)]
