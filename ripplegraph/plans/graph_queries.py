@@ -9,6 +9,7 @@ from ripplegraph.functions.scoring import POLICIES
 from ripplegraph.operators import claims as cl
 from ripplegraph.operators import cochange, retrieval
 from ripplegraph.operators import graph as g
+from ripplegraph.operators.context import MAX_HOPS
 from ripplegraph.plans.graph_sql import GRAPH, HUNKS, PATH
 from ripplegraph.plans.impact_queries import graph
 from ripplegraph.runtime import checkpointed, read
@@ -145,6 +146,10 @@ z AS (SELECT {_CLAIM_ID} AS id, kind, CAST(hop AS INTEGER) AS hop, st NOT IN {wi
 y AS (SELECT *, status_allowed AND sufficient AND reachable AS eligible, CASE WHEN status_allowed AND sufficient AND reachable THEN CAST(raw AS DOUBLE) ELSE 0.0 END AS score FROM z)"""
 
 
+#: Edges over which the reference scores reachability.
+_REACHABILITY = ["calls", "implements_capability", "constrained_by", "tested_by", "covers", "declares", "related_to", "documents", "decides", "references"]
+
+
 def claim_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of all claims."""
     return cl.build_claims(*graph(spark, d, proofs=True)).select("id", "kind", "statement")
@@ -154,7 +159,7 @@ def claim_scores(spark: SparkSession, d: str) -> DataFrame:
     """Gates and scores of all claims for a security question from the tagged entry points."""
     n, e = graph(spark, d, proofs=True)
     seeds = n.where(F.array_contains("tags", "security") & (F.col("kind") == "function")).select(F.lit("all").alias("seed_set"), "id")
-    hops = g.bfs(n, g.oriented(e, _STRUCTURE, "both"), seeds, 2).select("id", "hop")
+    hops = g.bfs(n, g.oriented(e, _REACHABILITY, "both"), seeds, MAX_HOPS).select("id", "hop")
     x = cl.evaluate_claims(checkpointed(cl.build_claims(n, e)), n, hops, "security")
     return x.select("id", "kind", "eligible", F.round("score", 6).alias("score"), "hop", "status_allowed", "sufficient", "reachable")
 

@@ -2,7 +2,7 @@ import random
 from datetime import datetime
 
 from ripplegraph.operators.control import impact_paths
-from ripplegraph.plans import authored_queries, control_queries
+from ripplegraph.plans import authored_queries, control_queries, graph_queries
 
 
 def test_integrity_covers_relations_of_every_part(spark, rows, tmp_path):
@@ -68,3 +68,10 @@ def test_impact_queries_reach_depth_8(spark, rows, tmp_path):
     graph_at(spark, tmp_path, [(i, "function", False, ["critical"] if i == "f0" else []) for i in f], [("calls", a, b) for a, b in zip(f, f[1:])])
     assert rows(control_queries.impact_paths(spark, str(tmp_path)), "path") == [(">".join(f[: k + 1]),) for k in range(1, 9)]
     assert rows(control_queries.impact_reach(spark, str(tmp_path)), "id", "depth") == [(f"f{k}", k) for k in range(1, 9)]
+
+
+def test_claim_scores_reach_4_hops_over_the_reference_edges(spark, rows, tmp_path):
+    nodes = [("f0", "function", False, ["security"])] + [(f"f{k}", "function", False, []) for k in (1, 2, 3)] + [(i, "interface", True, []) for i in "fnrx"]
+    graph_at(spark, tmp_path, nodes, [("calls", "f0", "f1"), ("calls", "f1", "f2"), ("calls", "f2", "f3"), ("declares", "f3", "f"), ("declares", "f2", "n"), ("related_to", "f0", "r"), ("imports", "f0", "x")])
+    got = rows(graph_queries.claim_scores(spark, str(tmp_path)), "hop", "reachable")
+    assert got == sorted([(1, True), (3, True), (4, True), (None, False)], key=repr)
