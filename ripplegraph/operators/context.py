@@ -17,7 +17,7 @@ from ripplegraph.operators.versions import evidence_id
 from ripplegraph.runtime import checkpointed, stored
 
 #: Edges that reach, hops that count, and the limits of a pack.
-REACHING = ["calls", "imports", "declares", "tested_by", "covers", "constrained_by", "implements_capability"]
+REACHING = ["calls", "implements_capability", "constrained_by", "tested_by", "covers", "declares", "related_to", "documents", "decides", "references"]
 MAX_HOPS, MOST_CLAIMS, MOST_SECONDARY, MOST_PATHS, FAR = 4, 10, 15, 6, 99
 PRIORITY = {"critical": 3, "high": 2, "medium": 1}
 CONCURRENCY = "(?i)concurr|race|lock|atomic"

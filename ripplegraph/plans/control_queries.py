@@ -190,7 +190,7 @@ SELECT coalesce(a.f, b.f) AS from_id, coalesce(a.t, b.t) AS to_id, coalesce(a.r,
     "refinement_lower": f"WITH {_R}, {_STEP.format('v', 'kind = ' + repr('decomposes_to'), -1)} SELECT t.id AS source, t.id || '>' || dst AS path FROM t JOIN v1 ON src = t.id WHERE t.level = 3",
     "refinement_missing": f"WITH {_LIFT}, f AS (SELECT source, arg_min(ids, o) ids FROM p GROUP BY 1), h AS (SELECT source, level FROM (SELECT source, unnest(ids) id FROM f) JOIN t USING (id)) SELECT source, CAST(l AS INTEGER) AS level FROM f, range(5) x(l) WHERE (source, l) NOT IN (SELECT (source, CAST(level AS BIGINT)) FROM h)",
     "impact_reach": f"""WITH RECURSIVE {GRAPH}, u AS (SELECT DISTINCT from_id src, to_id dst FROM e WHERE kind IN {c.IMPACT_RELATIONS}), s AS (SELECT repo source_set, id FROM n WHERE kind = 'function' AND list_contains(tags, 'critical')),
-w AS (SELECT source_set, id, 0 depth FROM s UNION SELECT source_set, u.dst, depth + 1 FROM w JOIN u ON u.src = w.id WHERE depth < 4) SELECT source_set, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0""",
+w AS (SELECT source_set, id, 0 depth FROM s UNION SELECT source_set, u.dst, depth + 1 FROM w JOIN u ON u.src = w.id WHERE depth < 8) SELECT source_set, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0""",
     "freshness_class": f"""WITH s AS ({_SEALS}), x AS (SELECT *, indexed_root IS NULL OR indexed_graph_hash IS NULL miss, list_filter([CASE WHEN head IS NULL OR indexed_head IS NULL OR diff_hash IS NULL THEN 'GIT_STATE_UNAVAILABLE' END, CASE WHEN store_version IS NULL THEN 'STORE_SCHEMA_UNAVAILABLE' END], lambda v: v IS NOT NULL) un,
  list_filter([{', '.join(f"CASE WHEN {a} IS DISTINCT FROM {b} THEN '{r}' END" for r, a, b in c.MISMATCHES)}], lambda v: v IS NOT NULL) mm FROM s)
 SELECT seal_id, CASE WHEN miss OR len(un) > 0 THEN 'UNSEALED' WHEN len(mm) > 0 THEN 'STALE' WHEN diff_hash = 'clean' THEN 'FRESH' ELSE 'DIRTY_KNOWN' END AS verdict,
@@ -204,7 +204,7 @@ FROM e i LEFT JOIN e b ON b.kind = 'constrained_by' AND b.from_id = i.from_id LE
 UNION ALL SELECT p_brand, '', 'RELATION_UNKNOWN_KIND', CAST(count(*) AS VARCHAR), '' FROM part WHERE p_partkey % 10 = 3 GROUP BY 1""",
     "suite_scores": """WITH x AS (SELECT concat(l_returnflag, '-', l_linenumber) suite, l_orderkey t, CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_tax > 0.01 THEN l_discount END s FROM lineitem)
 SELECT suite, round(avg(s), 6) AS mean_score, count(DISTINCT t) AS n_tasks, coalesce(bool_and(s >= 1), false) AND avg(s) >= 0.5 AS passed FROM x GROUP BY 1""",
-    "integrity_violations": """WITH el AS (SELECT concat('p', p_partkey) id, p_partkey % 41 = 0 nocat FROM part WHERE concat('p', p_partkey) NOT LIKE '%99'), re AS (SELECT concat('p', p_partkey) f, concat('p', p_partkey + 1) t FROM part WHERE p_partkey < 500)
+    "integrity_violations": """WITH el AS (SELECT concat('p', p_partkey) id, p_partkey % 41 = 0 nocat FROM part WHERE concat('p', p_partkey) NOT LIKE '%99'), re AS (SELECT concat('p', p_partkey) f, concat('p', p_partkey + 1) t FROM part)
 SELECT 'relation_from_id_is_element' AS rule, f AS subject FROM re WHERE f NOT IN (SELECT id FROM el) UNION ALL SELECT 'relation_to_id_is_element', t FROM re WHERE t NOT IN (SELECT id FROM el) UNION ALL SELECT 'level_and_category_go_together', id FROM el WHERE nocat
 UNION ALL SELECT 'step_depends_on_the_one_before', CAST(o_orderkey AS VARCHAR) FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) b FROM orders) WHERE b IS DISTINCT FROM CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END
 UNION ALL SELECT 'path_has_one_edge_fewer_than_nodes', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 37 = 0 AND p_size % 4 + 1 <> 1 UNION ALL SELECT 'list_is_unique_and_in_order', CAST(p_partkey AS VARCHAR) FROM part WHERE p_brand >= p_type UNION ALL SELECT 'change_keeps_its_id', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 53 = 0""",

@@ -10,6 +10,7 @@ from ripplegraph.operators import claims as cl
 from ripplegraph.operators import cochange, retrieval
 from ripplegraph.operators import graph as g
 from ripplegraph.operators.context import MAX_HOPS
+from ripplegraph.operators.context import REACHING as _REACHABILITY
 from ripplegraph.plans.graph_sql import GRAPH, HUNKS, PATH
 from ripplegraph.plans.impact_queries import graph
 from ripplegraph.runtime import checkpointed, read
@@ -126,30 +127,29 @@ CLAIMS_SQL = f"""{_CLAIMS} SELECT kind, statement, array_to_string(ds, ',') AS s
 
 
 _HIT = "m AS (SELECT id FROM n WHERE contains(lower(name), 'ledger') OR contains(lower(id), 'ledger'))"
-_ORIENTED = f"u AS (SELECT from_id src, to_id dst FROM e WHERE kind IN {_KINDS} UNION SELECT to_id, from_id FROM e WHERE kind IN {_KINDS})"
 _SEEDS = "sd AS (SELECT repo seed_set, min(id) id FROM n WHERE kind = 'module' GROUP BY 1)"
 _FNV = "printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))"
 _SLUG = "left(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40)"
 _CLAIM_ID = f"concat('claim:', kind, ':', {_SLUG.format('statement')}, '-', {_FNV.format("array_to_string(subj, '|') || '::' || statement")})"
 
 
+def _oriented(kinds: str) -> str:
+    return f"u AS (SELECT from_id src, to_id dst FROM e WHERE kind IN {kinds} UNION SELECT to_id, from_id FROM e WHERE kind IN {kinds})"
+
+
 def _scores_sql(preferred: list[str], required: list[str] | None, disallowed: list[str], seeds: str, hops: int) -> str:
-    """Gates and scores of the claims q, with hops from the nodes that ``seeds`` selects."""
+    """Gates and scores of the claims q, with hops over the reference's edges from the nodes that ``seeds`` selects."""
     n = len(preferred)
     fit = " ".join(f"WHEN '{k}' THEN {1 - i / n * 0.3}" for i, k in enumerate(preferred))
     strength = _STATUS.format(1.0, 0.85, 0.5, 0.3)
     within = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-    return f"""{_CLAIMS.replace('WITH', 'WITH RECURSIVE', 1)}, {_ORIENTED}, sd AS ({seeds}), w AS (SELECT id, 0 hop FROM sd UNION SELECT u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < {hops}),
+    return f"""{_CLAIMS.replace('WITH', 'WITH RECURSIVE', 1)}, {_oriented(tuple(_REACHABILITY))}, sd AS ({seeds}), w AS (SELECT id, 0 hop FROM sd UNION SELECT u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < {hops}),
 h AS (SELECT id, min(hop) hop FROM w GROUP BY 1), f AS (SELECT rn, bool_or(n.kind IN ('module', 'function', 'class', 'interface', 'type', 'enum')) code, min(hop) hop FROM (SELECT rn, unnest(ds) s FROM q) u JOIN n ON n.id = u.s LEFT JOIN h ON h.id = u.s GROUP BY 1),
 z AS (SELECT {_CLAIM_ID} AS id, kind, CAST(hop AS INTEGER) AS hop, st NOT IN {within(disallowed)} AS status_allowed, {'true' if required is None else f'st IN {within(required)}'} AS sufficient, NOT coalesce(code, false) OR NOT EXISTS (FROM sd) OR hop IS NOT NULL AS reachable,
  0.25 * CASE kind {fit} ELSE 0.3 END + 0.25 * {_STATUS.format(0.95, 0.85, 0.6, 0.4)} + 0.15 * CASE WHEN hop IS NOT NULL THEN 1.0 / (1 + hop) WHEN code THEN 0 ELSE 0.3 END + 0.2 * {strength} + 0.15 * {_STATUS.format(0.9, 0.85, 0.7, 0.6)} AS raw FROM q LEFT JOIN f USING (rn)),
 y AS (SELECT *, status_allowed AND sufficient AND reachable AS eligible, CASE WHEN status_allowed AND sufficient AND reachable THEN CAST(raw AS DOUBLE) ELSE 0.0 END AS score FROM z)"""
 
 
-#: Edges over which the reference scores reachability.
-_REACHABILITY = ["calls", "implements_capability", "constrained_by", "tested_by", "covers", "declares", "related_to", "documents", "decides", "references"]
-
-
 def claim_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of all claims."""
     return cl.build_claims(*graph(spark, d, proofs=True)).select("id", "kind", "statement")
@@ -302,7 +302,7 @@ SQL = {
     "kind_counts": f"{_G} SELECT 'node' AS what, kind, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT 'edge', kind, count(*) FROM e GROUP BY ALL",
     "neighbors": f"""{_G}, o AS (SELECT DISTINCT from_id a, to_id b FROM e WHERE kind = 'calls'), u AS (SELECT a, b FROM o UNION SELECT b, a FROM o)
 SELECT a AS id, (SELECT count(*) FROM o WHERE o.a = u.a) AS n_out, (SELECT count(*) FROM o WHERE o.b = u.a) AS n_in, count(*) AS n_both FROM u GROUP BY u.a""",
-    "bfs_distances": f"WITH RECURSIVE {GRAPH}, {_ORIENTED}, {_SEEDS}, w AS (SELECT seed_set, id, 0 hop FROM sd UNION SELECT seed_set, u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < 4) SELECT seed_set, id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1, 2",
+    "bfs_distances": f"WITH RECURSIVE {GRAPH}, {_oriented(_KINDS)}, {_SEEDS}, w AS (SELECT seed_set, id, 0 hop FROM sd UNION SELECT seed_set, u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < 4) SELECT seed_set, id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1, 2",
     "reachable_out": f"WITH RECURSIVE {GRAPH}, u AS (SELECT DISTINCT from_id src, to_id dst FROM e WHERE kind IN ('imports', 'calls', 'declares')), {_SEEDS}, w AS (SELECT seed_set, id, 0 hop FROM sd UNION SELECT seed_set, u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < 8) SELECT seed_set, id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1, 2",
     "call_paths": f"{_PATHS} SELECT start, array_to_string(p, ' -> ') AS path, CAST(len(p) AS INTEGER) AS n_nodes FROM pp",
     "impact_path_top": f"{_PATHS}, k AS (SELECT repo, array_to_string(p, ',') path, CAST(len(p) AS INTEGER) n_nodes FROM pp JOIN n ON n.id = pp.start) SELECT repo, path, n_nodes, CAST(row_number() OVER (PARTITION BY repo ORDER BY n_nodes DESC, path) AS INTEGER) AS pos FROM k QUALIFY pos <= 6",
@@ -312,7 +312,7 @@ SELECT a AS id, (SELECT count(*) FROM o WHERE o.a = u.a) AS n_out, (SELECT count
     "edge_merge": "SELECT kind, from_id, to_id, CAST(sum(coalesce(len(evidence), 0)) AS BIGINT) AS n_evidence FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL GROUP BY 1, 2, 3",
     "claims_build": CLAIMS_SQL,
     "claim_ids": f"{_CLAIMS} SELECT {_CLAIM_ID} AS id, kind, statement FROM q",
-    "claim_scores": _scores_sql(*POLICIES["security"], "SELECT id FROM n WHERE kind = 'function' AND list_contains(tags, 'security')", 2) + " SELECT id, kind, eligible, round(score, 6) AS score, hop, status_allowed, sufficient, reachable FROM y",
+    "claim_scores": _scores_sql(*POLICIES["security"], "SELECT id FROM n WHERE kind = 'function' AND list_contains(tags, 'security')", MAX_HOPS) + " SELECT id, kind, eligible, round(score, 6) AS score, hop, status_allowed, sufficient, reachable FROM y",
     "authoritative_claims": _scores_sql(*POLICIES["business_rule"], "SELECT id FROM n WHERE false", 1) + " SELECT id, kind, round(score, 6) AS score FROM y WHERE eligible ORDER BY round(y.score, 9) DESC, id LIMIT 10",
     "lexical_name_rank": f"""{_G}, q AS (SELECT DISTINCT doc_id task_id, unnest({_TOK.format('text')}) w FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL), k AS (SELECT * FROM q WHERE length(w) >= 4 AND w NOT IN {_STOP}),
 p AS (SELECT DISTINCT file_path, id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^A-Za-z0-9]+'), lambda t: t <> '')) part FROM n WHERE file_path IS NOT NULL),
