@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import code_unit_less, normalize_path
-from ripplegraph.runtime import broadcast_if_small, checkpointed
+from ripplegraph.runtime import broadcast_if_small, checkpointed, stored
 
 #: Items of a basket that one task pairs; a wider basket is cut into blocks of about this many, paired block by block.
 BLOCK = 256
@@ -14,7 +14,7 @@ BLOCK = 256
 #: before the shuffle.
 SALT_ROWS = 200_000
 #: Rows of the table of items that may be broadcast (some 60 bytes each).
-BROADCAST_ITEMS = 400_000
+BROADCAST_ITEMS = 200_000
 
 
 def pair_counts(rows: DataFrame, min_pair: int = 1, min_lift: float = 0.0) -> DataFrame:
@@ -25,30 +25,30 @@ def pair_counts(rows: DataFrame, min_pair: int = 1, min_lift: float = 0.0) -> Da
     with a null basket or item do not count, a null scope is a scope; repeats count once; other columns are ignored; an
     empty table, or baskets of one item, give no pairs.
 
-    Scale: keys shrink to 128-bit hashes in the scan and to whole numbers for pairing; names return for surviving pairs
-    only. Items that cannot be in a pair are dropped before pairing, which loses nothing: n_ab <= n_a gives n_a >=
-    min_pair, and with lift >= min_lift also n_b * min_lift <= n. Baskets wider than BLOCK are paired in blocks, so no
-    task meets more than BLOCK x BLOCK pairs of a basket at once. Baskets of a scope lie together in salted parts, so equal
-    pairs combine before their shuffle.
+    Scale: the rows are read and deduplicated once, into a table of (scope, 128-bit basket hash, item); one pass over it
+    counts baskets and items, a second pairs. Items that cannot be in a pair are dropped before pairing, which loses
+    nothing: n_ab <= n_a gives n_a >= min_pair, and with lift >= min_lift also n_b * min_lift <= n. Pairs are of whole
+    numbers; names wait in the table of items. Baskets wider than BLOCK are paired in blocks, so no task meets more than
+    BLOCK x BLOCK pairs of a basket at once. Baskets of a scope lie together in salted parts, so equal pairs combine before
+    their shuffle. A hot basket is spread by its items until it is paired, a hot item meets its id in a broadcast or a skew
+    join.
     """
-    r = rows.where("basket is not null and item is not null").select(
-        "scope", "item",
-        F.xxhash64("basket").alias("c1"), F.xxhash64(F.lit(1), "basket").alias("c2"), F.xxhash64("item").alias("f1"), F.xxhash64(F.lit(1), "item").alias("f2"),
-    )
-    baskets = r.groupBy("scope", "c1", "c2").agg(F.count("*").alias("width"))
-    scopes = baskets.groupBy("scope").agg(F.count("*").alias("n"), F.sum("width").alias("size"))
+    r = rows.where("basket is not null and item is not null").select("scope", F.xxhash64("basket").alias("c1"), F.xxhash64(F.lit(1), "basket").alias("c2"), "item")
+    held = stored(r.distinct())
+    # Of one pass: (scope, item) with the item's baskets, and (scope, c1, c2) with the basket's items.
+    counts = held.groupingSets([["scope", "item"], ["scope", "c1", "c2"]], "scope", "item", "c1", "c2").agg(F.count("*").alias("k"), F.grouping("item").alias("is_basket"))
+    counts = checkpointed(counts.where(F.col("is_basket").cast("boolean") | (F.col("k") >= min_pair)).select("scope", "item", "c1", "c2", "k", "is_basket"))
+    baskets = counts.where("is_basket = 1")
+    scopes = baskets.groupBy(F.col("scope").alias("s")).agg(F.count("*").alias("n"), F.sum("k").alias("size"))
     scopes = broadcast_if_small(checkpointed(scopes))
-    held = r.select("scope", "c1", "c2", "f1", "f2").distinct()
-    items = held.groupBy("scope", "f1", "f2").agg(F.count("*").alias("n_i")).where(F.col("n_i") >= min_pair)
-    items = items.join(scopes, items["scope"].eqNullSafe(scopes["scope"])).drop(scopes["scope"])
-    items = checkpointed(items.where(F.col("n_i") * min_lift <= F.col("n")))
-    items = checkpointed(items.withColumn("id", F.monotonically_increasing_id()))
-    wide = checkpointed(baskets.where(F.col("width") > BLOCK).select("scope", "c1", "c2", F.ceil(F.col("width") / BLOCK).alias("blocks")))
+    items = counts.where("is_basket = 0").select("scope", "item", F.col("k").alias("n_i"))
+    items = items.join(scopes, items["scope"].eqNullSafe(scopes["s"])).where(F.col("n_i") * min_lift <= F.col("n"))
+    items = checkpointed(items.select("scope", "item", "n_i", "n", F.ceil(F.col("size") / SALT_ROWS).alias("salts"), F.monotonically_increasing_id().alias("id")))
+    wide = checkpointed(baskets.where(F.col("k") > BLOCK).select(F.col("scope").alias("s"), F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.ceil(F.col("k") / BLOCK).alias("blocks")))
 
-    small = broadcast_if_small(items.select(F.col("scope").alias("s"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "id", F.ceil(F.col("size") / SALT_ROWS).alias("salts")), BROADCAST_ITEMS)
-    x = held.join(small, held["scope"].eqNullSafe(small["s"]) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
-    x = x.select("scope", "c1", "c2", "id", "salts")
-    w = broadcast_if_small(wide.select(F.col("scope").alias("s"), F.col("c1").alias("d1"), F.col("c2").alias("d2"), "blocks"))
+    small = broadcast_if_small(items.select(F.col("scope").alias("s"), F.col("item").alias("i"), "id", "salts"), BROADCAST_ITEMS)
+    x = held.join(small, held["scope"].eqNullSafe(small["s"]) & (held["item"] == small["i"])).select("scope", "c1", "c2", "id", "salts")
+    w = broadcast_if_small(wide)
     x = x.join(w, x["scope"].eqNullSafe(w["s"]) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left")
     # Block pairs (i <= j) of a wide basket; an item goes wherever its block is one of the two.
     blocks = F.coalesce("blocks", F.lit(1))
@@ -66,30 +66,21 @@ def pair_counts(rows: DataFrame, min_pair: int = 1, min_lift: float = 0.0) -> Da
     pairs = a.select("a", "across", F.explode(b).alias("b")).where("not across or a.left <> b.left")
     pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_pair)
 
-    side = lambda k: broadcast_if_small(items.select(F.col("id").alias(k), F.col("scope"), F.col("n_i").alias(f"n_{k}"), "n", F.col("f1").alias(f"{k}1"), F.col("f2").alias(f"{k}2")), BROADCAST_ITEMS)
-    found = pairs.join(side("a"), "a").join(side("b").drop("scope", "n"), "b")
-    found = found.where(F.col("n_ab") * F.col("n") >= F.col("n_a") * F.col("n_b") * min_lift)
-    names = r.select("scope", "item", "f1", "f2").distinct()
-    return _named(found, names)
-
-
-def _named(found: DataFrame, names: DataFrame) -> DataFrame:
-    """Hashes replaced by names, the smaller name first."""
-    found = checkpointed(found.select("scope", "a1", "a2", "b1", "b2", "n_a", "n_b", "n_ab", "n"))
-    used = found.select("scope", F.explode(F.array(F.struct(F.col("a1").alias("x"), F.col("a2").alias("y")), F.struct(F.col("b1").alias("x"), F.col("b2").alias("y")))).alias("k")).distinct()
-    used = broadcast_if_small(checkpointed(used.select(F.col("scope").alias("s"), "k.x", "k.y")), BROADCAST_ITEMS)
-    names = names.join(used, names["scope"].eqNullSafe(used["s"]) & (F.col("f1") == F.col("x")) & (F.col("f2") == F.col("y")), "left_semi")
-    names = checkpointed(names)
-    for k in ("a", "b"):
-        side = broadcast_if_small(names.select(F.col("scope").alias("s"), F.col("item").alias(f"item_{k}"), F.col("f1").alias("g1"), F.col("f2").alias("g2")))
-        found = found.join(side, found["scope"].eqNullSafe(side["s"]) & (F.col(f"{k}1") == F.col("g1")) & (F.col(f"{k}2") == F.col("g2"))).drop("s", "g1", "g2")
+    # Marginals by whole numbers first; names only for the pairs that stay.
+    side = lambda k, *cs: broadcast_if_small(items.select(F.col("id").alias(k), *cs), BROADCAST_ITEMS)
+    found = pairs.join(side("a", F.col("n_i").alias("n_a"), "n"), "a").join(side("b", F.col("n_i").alias("n_b")), "b")
+    found = checkpointed(found.where(F.col("n_ab") * F.col("n") >= F.col("n_a") * F.col("n_b") * min_lift))
+    names = items.join(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    names = broadcast_if_small(checkpointed(names.select("id", "scope", "item")))
+    named = lambda k, *cs: names.select(F.col("id").alias(k), F.col("item").alias(f"item_{k}"), *cs)
+    found = found.join(named("a", "scope"), "a").join(named("b"), "b")
     first = code_unit_less("item_a", "item_b")
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
     pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
     return found.select(
         "scope", pick("item_a", "item_b").alias("item_a"), pick("item_b", "item_a").alias("item_b"), "n_ab",
         pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "n", lift.alias("lift"), F.log2(lift).alias("pmi"),
-    )
+    )
 
 
 def commit_baskets(commit_files: DataFrame) -> DataFrame:
