@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.runtime import checkpointed
+from ripplegraph.runtime import checkpointed, release
 
 SEPARATOR = " > "
 
@@ -19,53 +21,57 @@ def resolve_hierarchy(links: DataFrame, scope: str = "scope") -> DataFrame:
     columns of ``links`` are ignored; an empty table gives an empty result.
 
     Each round joins the unresolved nodes to the pointers of all nodes and so doubles the distance of every pointer: a
-    tree of depth d takes log2(d) + 1 rounds. Only unresolved rows move in a round's left side, the table is cut by a
-    checkpoint, and no group is ever gathered. If a round resolves nothing no tree node is left; the rest then jumps on
-    until the set of pointers no longer shrinks, when it is exactly the nodes on cycles.
+    tree of depth d takes log2(d) + 1 rounds. A node that hangs on a root is resolved from the start, so no round meets a
+    root, however many children it has; under another hot parent the join is split by its size. A round writes only the
+    nodes it was given, and resolved ones are never written again. No group is ever gathered. If a round resolves nothing no tree node is left; the rest then jumps on, without paths, until
+    the set of pointers no longer shrinks, when it is exactly the nodes on cycles.
     """
     l = links.where("child is not null and parent is not null")  # noqa: E741
-    l = l.groupBy(F.col(scope).alias("scope"), "child").agg(F.min("parent").alias("parent"))  # noqa: E741
-    ends = l.select("scope", F.explode(F.array("child", "parent")).alias("node")).distinct()
-    on = lambda a, b, x, y: a["scope"].eqNullSafe(b["scope"]) & (a[x] == b[y])
-    top = F.col("parent").isNull()
-    t = ends.join(l, on(ends, l, "node", "child"), "left").select(
-        ends["scope"],
-        "node",
-        F.coalesce("parent", "node").alias("ptr"),  # a root's pointer is itself
-        F.when(top, 0).otherwise(1).alias("dist"),
-        F.when(top, F.array("node")).otherwise(F.array("parent", "node")).alias("ids"),  # from ptr to node
-        top.alias("done"),
-    )
+    l = checkpointed(l.groupBy(F.col(scope).alias("scope"), "child").agg(F.min("parent").alias("parent")))  # noqa: E741
+    above = l.select(F.col("scope").alias("s"), F.col("child").alias("n"))
+    same = lambda a, x: a["scope"].eqNullSafe(above["s"]) & (a[x] == above["n"])
+    tops = l.select("scope", F.col("parent").alias("node")).distinct()
+    tops = tops.join(above, same(tops, "node"), "left_anti")
+    t = l.join(above, same(l, "parent"), "left").select(
+        "scope", F.col("child").alias("node"), F.col("parent").alias("ptr"), F.lit(1).alias("dist"),
+        F.array("parent", "child").alias("ids"),  # from ptr to node
+        F.col("n").isNull().alias("done"),
+    )
     t = checkpointed(t)
-    open_before = None
-    while True:
-        open_now = t.where("not done").count()
-        if not open_now or open_now == open_before:
-            break
-        open_before, t = open_now, checkpointed(_doubled(t, keep_path=True))
-    if open_now:  # what is left hangs on cycles: jump on, without paths, until only cycle nodes are pointed at
-        rest = checkpointed(t.where("not done").select("scope", "node", "ptr", F.lit(0).alias("dist"), F.array().cast("array<string>").alias("ids"), "done"))
+    finished = [t.where("done")]
+    rest, open_now, open_before = t.where("not done"), t.where("not done").count(), None
+    while open_now and open_now != open_before:
+        t = checkpointed(_doubled(rest, [*finished, rest], keep_path=True))
+        finished.append(t.where("done"))
+        rest, open_before = t.where("not done"), open_now
+        open_now = rest.count()
+    name = lambda node, root, depth, path, ids: (F.col(node).alias("node_id"), root.alias("root_id"), depth.alias("depth"), path.alias("path"), ids.alias("ids"))
+    found = [tops.select("scope", *name("node", F.col("node"), F.lit(0), F.col("node"), F.array("node")))]
+    found += [x.select("scope", *name("node", F.col("ptr"), F.col("dist"), F.array_join("ids", SEPARATOR), F.col("ids"))) for x in finished]
+    if open_now:  # what is left hangs on cycles: jump on until only cycle nodes are pointed at
+        rest = checkpointed(rest.select("scope", "node", "ptr", F.lit(0).alias("dist"), F.array().cast("array<string>").alias("ids"), "done"))
         targets = rest.select("scope", "ptr").distinct().count()
         while True:
-            rest = checkpointed(_doubled(rest, keep_path=False))
+            last = rest
+            rest = checkpointed(_doubled(rest, [rest], keep_path=False))
+            release(last)
             before, targets = targets, rest.select("scope", "ptr").distinct().count()
             if targets == before:
                 break
         hit = rest.select(F.col("scope").alias("s"), F.col("ptr").alias("p")).distinct()
-        rest = rest.join(hit, rest["scope"].eqNullSafe(hit["s"]) & (rest["node"] == hit["p"]), "left")
-        cyclic = rest.select(
-            "scope", F.col("node").alias("node_id"), F.lit("").alias("root_id"), F.when(F.col("p").isNotNull(), -1).otherwise(-2).alias("depth"), F.lit("").alias("path"), F.lit(None).cast("array<string>").alias("ids")
-        )
-    found = t.where("done").select("scope", F.col("node").alias("node_id"), F.col("ptr").alias("root_id"), F.col("dist").alias("depth"), F.array_join("ids", SEPARATOR).alias("path"), "ids")
-    found = found.unionByName(cyclic) if open_now else found
-    return found.withColumnRenamed("scope", scope)
+        x = rest.join(hit, rest["scope"].eqNullSafe(hit["s"]) & (rest["node"] == hit["p"]), "left")
+        none = F.lit(None).cast("array<string>")
+        found.append(x.select("scope", *name("node", F.lit(""), F.when(F.col("p").isNotNull(), -1).otherwise(-2), F.lit(""), none)))
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("scope", scope)
 
 
-def _doubled(t: DataFrame, keep_path: bool) -> DataFrame:
+def _doubled(rest: DataFrame, targets: list[DataFrame], keep_path: bool) -> DataFrame:
     """Every unresolved node's pointer replaced by its target's pointer, its path prefixed by the target's."""
-    rest = t.where("not done")
-    to = t.select(F.col("scope").alias("s"), F.col("node").alias("n"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("ids").alias("ids2"), F.col("done").alias("done2"))
-    moved = rest.join(to, rest["scope"].eqNullSafe(to["s"]) & (rest["ptr"] == to["n"])).select(
+    to = reduce(DataFrame.unionByName, targets)
+    to = to.select(F.col("scope").alias("s"), F.col("node").alias("n"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("ids").alias("ids2"), F.col("done").alias("done2"))
+    if len(targets) > 2:  # a table of rounds has a part for each; as many as a shuffle makes will do
+        to = to.coalesce(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rest.join(to, rest["scope"].eqNullSafe(to["s"]) & (rest["ptr"] == to["n"])).select(
         "scope",
         "node",
         F.col("ptr2").alias("ptr"),
@@ -73,7 +79,6 @@ def _doubled(t: DataFrame, keep_path: bool) -> DataFrame:
         (F.concat("ids2", F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(0)))) if keep_path else F.col("ids")).alias("ids"),
         F.col("done2").alias("done"),
     )
-    return t.where("done").unionByName(moved)
 
 
 def descendants(resolved: DataFrame, scope: str = "scope") -> DataFrame:

@@ -18,11 +18,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local session may go without: it gets a temporary
+    one; on a cluster, where no other machine would see that, a missing setting is an error."""
     sc = spark.sparkContext
     if (now := sc._jsc.sc().getCheckpointDir()).isDefined():
         return now.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"ripplegraph-checkpoints-{os.getpid()}"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -33,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a frame that came from ``checkpointed``, once nothing reads it any more."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or not (path := plan.rdd().getCheckpointFile()).isDefined():
+        return
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path.get())
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it holds at most ``rows`` rows, else as it is for a shuffled join.
 
