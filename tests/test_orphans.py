@@ -51,6 +51,28 @@ def test_evidence_and_links(spark, rows):
     ], key=repr)
 
 
+def test_many_snapshots_of_one_moment(spark, rows):
+    names = [f"s{i:04}" for i in range(1200)]
+    snaps = [(s, "R", s, at(1)) for s in names] + [("z", "R", "cz", at(1) + timedelta(microseconds=1)), ("n", None, "cn", at(1))]
+    nodes = [(s, "keep", None, None, at(1), "z", 1) for s in [*names, "z", "n"]] + [(s, "late", None, None, at(1), "z", 1) for s in [*names[1100:], "z"]] + [("z", "gone", None, None, at(1), "z", 1)]
+    edges = [(s, "f", "late", "keep", at(1), "z", 1) for s in [*names, "z"]] + [(s, "e", "gone", "keep", at(1), "z", 1) for s in (names[500], "z")] + [("n", "e", "gone", "keep", at(1), "z", 1)]
+    links = [("s1150", "o\0p", "evidence", "ev"), ("s1150", "o\0p", "file", "ev\1"), ("s1150", "o\0p", "test", "ev\1")]
+    got = rows(run(spark, snapshots=snaps, nodes=nodes, edges=edges, sem_links=links, evidence=[("ev", at(1))]))
+    want = [("edges", s, "f", "from_id", "late") for s in names[:1100]] + [("edges", "s0500", "e", "from_id", "gone"), ("edges", "n", "e", "from_id", "gone"), ("sem_links", "s1150", "o\0p", "ref", "ev\1")]
+    assert got == sorted(want, key=repr)
+
+
+def test_a_key_of_a_small_share_is_split_too(spark, monkeypatch):
+    """However small a key's share of all references, no task follows many more of them than the limit."""
+    monkeypatch.setattr(orphans, "HOT_ROWS", 10)
+    events = [("warm", 1, REFERENCE_OPENS, f"w{i}") for i in range(50)] + [(f"k{i}", 1, REFERENCE_OPENS, f"r{i}") for i in range(9950)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = orphan_spans(spark.createDataFrame(events, "key string, seq long, op int, ident string")).where("ident like 'w%'")
+    parts = [len([r for r in p if r]) for p in seen.select("ident").rdd.glom().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(parts) == 50 and max(parts) < 50
+
+
 def test_empty(spark, rows):
     assert rows(run(spark)) == []
 
