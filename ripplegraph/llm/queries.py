@@ -56,11 +56,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    sized = token_counts(docs)
-    named = docs.select("doc_id", F.lower(F.trim("source")).alias("source")).where("source is not null")
-    sized = checkpointed(named.join(sized, "doc_id"))
-    return mix(sized, read(spark, d, "mix_targets"))
+    docs = read(spark, d, "documents").withColumn("source", F.lower(F.trim("source"))).where("source is not null")
+    return mix(checkpointed(token_counts(docs, keep=("source",))), read(spark, d, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -53,3 +53,20 @@ def test_empty_table_and_bad_sizes(spark):
     assert run(spark, []).collect() == [] and run(spark, []).columns == ["doc_id", "ids"]
     with pytest.raises(ValueError, match="overlap"):
         run(spark, [], chunk=8, overlap=8)
+
+
+def test_a_long_run_inside_a_long_text(spark):
+    """Only the stretch without a place to cut is put together; all else stays in pieces of a chunk."""
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcde") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    texts = [words(300) + " " + "x" * 700 + " " + words(300), "y" * 500 + words(200), words(200) + " " * 400, "z" * 900]
+    want = {i: _tokenizer(PATH).encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {x.doc_id: list(x.ids) for x in run(spark, texts, chunk=100, overlap=40).collect()} == want
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {x.doc_id: (x.n_tokens, x.source) for x in token_counts(df, PATH, 100, 40, keep=("source",)).collect()}
+    assert got == {i: (len(v), f"s{i}") for i, v in want.items()}
+
+
+def test_other_tokenizers_are_refused(spark):
+    with pytest.raises(ValueError, match="byte-level"):
+        encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path("word_bpe_49k"))
