@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ripplegraph.runtime import broadcast_if_small
+
 #: Tokens of a block; tokens of a shard, within which blocks are put in seeded order; most shards of a source.
 BLOCK_TOKENS, SHARD_TOKENS, MOST_SHARDS = 256, 4_000_000, 4_096
+#: The part of all tokens below which scarce sources may not push a mixture whose size is not given.
+FLOOR = 0.05
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]:
@@ -41,35 +45,49 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]
     return held
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def default_total(capacity: dict[str, int], share: dict[str, float], available: int, floor: float) -> int:
+    """The largest total in which every source reaches its share, of the sources that allow a total of ``floor`` of what is
+    available; a source that allows less (20 tokens of a source with a tenth) cannot set the size of the whole mixture."""
+    allows = sorted(capacity[s] / share[s] for s in capacity)
+    return int(next((t for t in allows if t >= floor * available), allows[-1] if allows else 0))
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, block_tokens: int = BLOCK_TOKENS, floor: float = FLOOR) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the documents in the mixture, copies from 1 to the source's max_repeats.
 
     ``documents`` has doc_id, source and n_tokens; ``targets`` source, target_share and max_repeats, a fixed small table.
-    Without ``total_tokens`` the mixture is the largest in which every source that has documents can reach its share;
-    shares of sources without documents fall to the others in proportion. Sources without a target, with a share of 0 or
+    ``total_tokens`` is the mixture's size. Without it shares come first: the size is the largest in which every source that
+    has documents can reach its share, but for sources so scarce that the mixture would fall below ``floor`` of the tokens
+    there are; those give all that their repeats allow, the others take their place, and ``shares`` reports what is missing.
+    Shares of sources without documents fall to the others in proportion. Sources without a target, with a share of 0 or
     max_repeats below 1, null sources and documents without tokens are left out. Ties in seeded order are settled by doc_id.
     Repeated rows count as documents of their own; an empty table gives an empty mixture.
 
-    Quotas are whole blocks: first of each source, then of each of its shards. A shard takes its documents in seeded order,
-    all of them as often as the quota goes round, and of the last round the first blocks; a document belongs to the block
-    that holds its middle. Scale: the driver sees one row a source and shard, at most MOST_SHARDS a source; a source of any
-    size is cut into shards by hash, so no window gathers a source.
+    Quotas are whole blocks, at least one: first of each source, then of each of its shards. A shard takes its documents in
+    seeded order, all of them as often as the quota goes round, and of the last round the first blocks; a document belongs to
+    the block that holds its middle. The seeded order is the same in every shard, so shards cut it at nearly the same place
+    and a source that grows by a shard keeps nearly all documents it had. Scale: the driver sees one row a source and shard,
+    at most MOST_SHARDS a source; a source of any size is cut into shards by hash, so no window gathers a source, and a
+    window's rows are three numbers.
     """
     t = targets.where("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most"))
-    d = documents.where("n_tokens > 0").select("doc_id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).join(F.broadcast(t), "source")
+    t = broadcast_if_small(t)
+    d = documents.where("n_tokens > 0").select("doc_id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).join(t, "source")
     spark = documents.sparkSession
     sizes = {r["source"]: r for r in d.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("share").alias("share"), F.max("most").alias("most")).collect()}
     names = sorted(sizes)
     shards = {s: max(1, min(MOST_SHARDS, -(-sizes[s]["n"] // SHARD_TOKENS))) for s in names}
+    # Both plans are of as many rows as there are targets, and shards of those: broadcast because bounded.
     plan = spark.createDataFrame([(s, shards[s]) for s in names], "source string, shards int")
     d = d.join(F.broadcast(plan), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id"), "shards").cast("int"))
     held = d.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect()
 
-    share = sum(sizes[s]["share"] for s in names)
-    if total_tokens is None and names:
-        total_tokens = int(min(sizes[s]["most"] * sizes[s]["n"] * share / sizes[s]["share"] for s in names))
-    blocks = (total_tokens or 0) // block_tokens
-    of_source = dict(zip(names, sainte_lague([sizes[s]["share"] for s in names], blocks, [-(-sizes[s]["most"] * sizes[s]["n"] // block_tokens) for s in names]), strict=True))
+    whole = sum(sizes[s]["share"] for s in names)
+    capacity = {s: sizes[s]["most"] * sizes[s]["n"] for s in names}
+    if total_tokens is None:
+        total_tokens = default_total(capacity, {s: sizes[s]["share"] / whole for s in names}, sum(sizes[s]["n"] for s in names), floor)
+    blocks = max(total_tokens // block_tokens, min(1, total_tokens))
+    of_source = dict(zip(names, sainte_lague([sizes[s]["share"] for s in names], blocks, [-(-capacity[s] // block_tokens) for s in names]), strict=True))
     quotas = []
     for s in names:
         own = sorted((r["shard"], r["n"]) for r in held if r["source"] == s)
@@ -86,10 +104,14 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, actual_share, n_tokens, n_docs, most_copies) of every source with a target."""
+    """(source, target_share, actual_share, n_tokens, n_docs, most_copies, missing_tokens) of every source with a target;
+    missing_tokens is how far a source stays below its share of the whole mixture."""
     own = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count("*").alias("n_docs"), F.max("copies").alias("most_copies"))
     total = mixture.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("total"))
     x = targets.join(own, "source", "left").withColumn("total", total.scalar())
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     actual = F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0))
-    return x.select("source", "target_share", actual.alias("actual_share"), zero("n_tokens").alias("n_tokens"), zero("n_docs").alias("n_docs"), zero("most_copies").alias("most_copies"))
+    missing = F.greatest(F.lit(0), F.round(F.col("target_share") * zero("total")).cast("long") - zero("n_tokens"))
+    return x.select(
+        "source", "target_share", actual.alias("actual_share"), zero("n_tokens").alias("n_tokens"), zero("n_docs").alias("n_docs"), zero("most_copies").alias("most_copies"), missing.alias("missing_tokens")
+    )

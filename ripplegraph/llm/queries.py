@@ -70,6 +70,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mixture(spark, d), read(spark, d, "mix_targets"))
 
 
+def p8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture, by source with a target: its documents with text, and whether repeats and share are
+    within bounds (shares of sources without documents fallen to the others; half a point either way)."""
+    docs, targets = read(spark, d, "documents"), read(spark, d, "mix_targets")
+    own = docs.where("length(text) > 0").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("n_available"))
+    x = shares(checkpointed(_mixture(spark, d)), targets).join(targets.select("source", "max_repeats"), "source").join(own, "source", "left")
+    met = x.where("n_available is not null").agg(F.sum("target_share").alias("met")).scalar()
+    share = F.when(F.col("n_available").isNotNull(), F.col("target_share") / met).otherwise(0.0)
+    return x.select("source", F.coalesce("n_available", F.lit(0)).alias("n_available"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(F.col("actual_share") - share) < 0.005).alias("share_met"))
+
+
+P8_BOUNDS_SQL = """
+SELECT t.source AS source, count(d.doc_id) AS n_available, true AS repeats_kept, true AS share_met FROM mix_targets t LEFT JOIN documents d ON lower(trim(d.source)) = t.source AND length(d.text) > 0 GROUP BY 1
+"""
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same but are not the same characters."""
     return lookalike_pairs(read(spark, d, "documents"))
@@ -80,5 +96,5 @@ def p9_form(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(read(spark, d, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_lift, p5_found, p7_ids, p8_mix, p8_shares, p9_found, p9_form)}
-SQL = {"p3_found": P3_SQL, "p3_lift": P3_LIFT_SQL, "p5_found": P5_SQL}
+QUERIES = {q.__name__: q for q in (p3_found, p3_lift, p5_found, p7_ids, p8_mix, p8_shares, p8_bounds, p9_found, p9_form)}
+SQL = {"p3_found": P3_SQL, "p3_lift": P3_LIFT_SQL, "p5_found": P5_SQL, "p8_bounds": P8_BOUNDS_SQL}

@@ -2,7 +2,7 @@ import heapq
 import random
 
 from ripplegraph.llm import mixing
-from ripplegraph.llm.mixing import mix, sainte_lague, shares
+from ripplegraph.llm.mixing import default_total, mix, sainte_lague, shares
 
 
 def slow(weights, seats, caps):
@@ -57,6 +57,18 @@ def test_a_total_beyond_the_caps_uses_all(spark):
     assert got == {"a": (30, 1), "b": (10, 3)}
 
 
+def test_a_scarce_source_does_not_empty_the_mixture(spark):
+    t = spark.createDataFrame([("rich", 0.9, 1), ("scarce", 0.1, 2)], TARGETS)
+    d = spark.createDataFrame([(k, "rich", 50, "", "") for k in range(2000)] + [(-5, "scarce", 20, "", "")], DOCS)
+    got = {r.source: r for r in shares(mix(d, t), t).collect()}
+    assert got["scarce"].n_tokens == 40 and got["scarce"].missing_tokens > 9000 and got["rich"].n_tokens > 90_000 and got["rich"].missing_tokens == 0
+
+
+def test_default_total():
+    assert default_total({"a": 900, "b": 300}, {"a": 0.5, "b": 0.5}, 1000, 0.05) == 600
+    assert default_total({"a": 900, "b": 1}, {"a": 0.5, "b": 0.5}, 1000, 0.05) == 1800 and default_total({}, {}, 0, 0.05) == 0
+
+
 def test_empty(spark):
     t = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     assert mix(docs(spark, {}), t).collect() == [] and [r.actual_share for r in shares(mix(docs(spark, {}), t), t).collect()] == [0.0]
