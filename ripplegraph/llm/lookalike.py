@@ -20,13 +20,13 @@ from ripplegraph.runtime import checkpointed
 
 #: Letters, numerals and signs of other scripts that look like a character of the key's script.
 LOOKALIKES = {
-    # Latin, from Cyrillic, Greek, Armenian, Cherokee and phonetic letters
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ",
-    "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜϺᎷ", "N": "Ν",
-    "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ",
-    "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ",
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ",
-    "n": "ո", "o": "оοօ", "p": "р", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "ѵ", "w": "ԝ", "x": "х", "y": "уү",
+    # Latin, from Cyrillic, Greek, Armenian, Cherokee, Lisu, Hebrew and phonetic letters
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟꓚ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "ꓝ", "G": "ԌᏀꓖ",
+    "H": "НΗᎻꓧ", "I": "ІΙӀꓲ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗ", "L": "Ꮮꓡ", "M": "МΜϺᎷꓟ", "N": "Νꓠ",
+    "O": "ОΟՕꓳ", "P": "РΡᏢꓑ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ",
+    "W": "ԜᎳꓪ", "X": "ХΧꓫ", "Y": "ҮΥꓬ", "Z": "ΖᏃꓜ",
+    "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ",
+    "n": "ո", "o": "оοօס", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уүγ",
     # signs
     "!": "ǃ", "%": "٪", "*": "∗٭", "-": "‐‑−", "/": "⁄∕", ":": "∶꞉։", ";": ";", "\\": "∖⧵", "|": "∣ǀ", "~": "∼",
     "·": "∙⋅·", "μ": "µ", "Σ": "∑", "Π": "∏", "Δ": "∆",
@@ -88,44 +88,83 @@ def tables() -> tuple[dict[str, str], dict[str, str]]:
     return one | {"\t": " "}, many
 
 
+@cache
+def composing() -> list[str]:
+    """Characters that normalisation may change or join to the one before; text without any is in its form already."""
+    second = set()
+    changed = []
+    for o in range(0x80, sys.maxunicode + 1):
+        c = chr(o)
+        parts = unicodedata.decomposition(c)
+        if parts and not parts.startswith("<"):
+            second.update(chr(int(x, 16)) for x in parts.split()[1:])
+        if unicodedata.combining(c) or 0x1161 <= o <= 0x1175 or 0x11A8 <= o <= 0x11C2 or (parts and unicodedata.normalize("NFC", c) != c):
+            changed.append(c)
+    return sorted({*changed, *second})
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _any_of(chars: list[str]) -> str:
+    """A regular expression for one of ``chars``, as ranges of code points."""
+    ranges: list[list[int]] = []
+    for o in sorted(map(ord, chars)):
+        if ranges and o == ranges[-1][1] + 1:
+            ranges[-1][1] = o
+        else:
+            ranges.append([o, o])
+    at = lambda o: f"\\x{{{o:X}}}"
+    return "[" + "".join(at(a) if a == b else f"{at(a)}-{at(b)}" for a, b in ranges) + "]"
+
+
+#: Characters of a part of the table that one call translates. DuckDB builds the part anew for each text, so parts are small
+#: and only texts that hold one of their characters meet them.
+_PART = 128
+
+
 @cache
 def form_sql(table: str) -> str:
     """The embedded SQL: (doc_id, text, form) from (doc_id, text)."""
     one, many = tables()
+    guarded = lambda chars, then: f"CASE WHEN regexp_matches(t, {_quoted(_any_of(chars))}) THEN {then} ELSE t END"
     steps = f"regexp_replace(text, {_quoted(LINES)}, chr(10), 'g')"
     steps = f"regexp_replace({steps}, {_quoted(INVISIBLE)}, '', 'g')"
     steps = f"regexp_replace({steps}, {_quoted(JOINER)}, '\\1\\2', 'g')"
     spelled = "t"
     for c, to in many.items():
         spelled = f"replace({spelled}, {_quoted(c)}, {_quoted(to)})"
-    long = f"CASE WHEN regexp_matches(t, {_quoted('[' + ''.join(many) + ']')}) THEN {spelled} ELSE t END"
-    single = f"translate(t, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    stages = [guarded(list(many), spelled)]
+    chars = sorted(one)
+    for at in range(0, len(chars), _PART):
+        part = chars[at : at + _PART]
+        stages.append(guarded(part, f"translate(t, {_quoted(''.join(part))}, {_quoted(''.join(one[c] for c in part))})"))
+    stages.append(guarded(composing(), "nfc_normalize(t)"))
     plain = "regexp_full_match(text, '[ -~\\n]*')"
-    return (
-        f"WITH a AS (SELECT doc_id, text, {plain} AS p, CASE WHEN {plain} THEN text ELSE {steps} END AS t FROM {table}), "
-        f"b AS (SELECT doc_id, text, p, CASE WHEN p THEN t ELSE {long} END AS t FROM a), "
-        f"c AS (SELECT doc_id, text, p, CASE WHEN p THEN t ELSE {single} END AS t FROM b) "
-        "SELECT doc_id, text, CASE WHEN p THEN t ELSE nfc_normalize(t) END AS form FROM c"
-    )
+    ctes = [f"s0 AS (SELECT doc_id, text, {steps} AS t FROM {table} WHERE NOT {plain})"]
+    ctes += [f"s{i + 1} AS (SELECT doc_id, text, {stage} AS t FROM s{i})" for i, stage in enumerate(stages)]
+    return f"WITH {', '.join(ctes)} SELECT doc_id, text, t AS form FROM s{len(stages)} UNION ALL SELECT doc_id, text, text FROM {table} WHERE {plain} OR text IS NULL"
+
+
+#: Rows of a batch that DuckDB sees at once.
+_ROWS = 1024
 
 
 def _run(sql: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The SQL over each Arrow batch, seen as the table ``texts``, in a DuckDB of one thread per task."""
+    """The SQL over each Arrow batch, seen as the table ``texts``, in a DuckDB of one thread per task that never spills."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         try:
             for b in batches:
-                con.register("texts", pa.Table.from_batches([b]))
-                got = con.sql(sql).to_arrow_table()
-                con.unregister("texts")
-                yield from got.cast(schema).to_batches()
+                for at in range(0, b.num_rows, _ROWS):
+                    con.register("texts", pa.Table.from_batches([b.slice(at, _ROWS)]))
+                    got = con.sql(sql).to_arrow_table()
+                    con.unregister("texts")
+                    yield from got.cast(schema).to_batches()
         finally:
             con.close()
 
@@ -144,6 +183,17 @@ def consistent_form(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, form string")
 
 
+def _alike(documents: DataFrame) -> DataFrame:
+    """(form, body, doc_id) of the documents whose form several different texts have; form and body are 128-bit hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("form", pa.string()), ("body", pa.string())])
+    sql = f"SELECT doc_id, md5(form) AS form, md5(text) AS body FROM ({form_sql('texts')}) WHERE regexp_matches(form, '[^\\s\\pZ\\pC]')"
+    d = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = d.mapInArrow(_run(sql, schema), "doc_id long, form string, body string")
+    hashed = checkpointed(hashed.select("doc_id", F.unhex("form").alias("form"), F.unhex("body").alias("body")).distinct())
+    texts = hashed.groupBy("form", "body").agg(F.count("*").alias("n")).groupBy("form").agg(F.count("*").alias("n")).where("n > 1")
+    return checkpointed(hashed.join(texts.select("form"), "form", "left_semi"))
+
+
 def lookalike_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), doc_id_a < doc_id_b, of documents whose texts differ but have one form.
 
@@ -153,14 +203,21 @@ def lookalike_pairs(documents: DataFrame) -> DataFrame:
     Scale: behind the form only 128-bit hashes of form and text move. Only forms with two texts or more go on; pairs are
     sought between the distinct texts of a form and only then spread to the documents that have them, so copies are never
     compared, and what is made is what comes out. A text that very many documents share is split by the adaptive skew join.
+    Where so many look alike that their pairs are too many to write, ``lookalike_classes`` says the same in a row a document.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("form", pa.string()), ("body", pa.string())])
-    sql = f"SELECT doc_id, md5(form) AS form, md5(text) AS body FROM ({form_sql('texts')}) WHERE regexp_matches(form, '[^\\s\\pZ\\pC]')"
-    hashed = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = checkpointed(hashed.mapInArrow(_run(sql, schema), "doc_id long, form string, body string").select("doc_id", F.unhex("form").alias("form"), F.unhex("body").alias("body")).distinct())
-    several = hashed.groupBy("form").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x <> y").select("form")
-    live = hashed.join(several, "form", "left_semi")
+    live = _alike(documents)
     a, b = (live.select("form", F.col("body").alias(k)).distinct() for k in "ab")
     texts = a.join(b, "form").where("a < b").select("a", "b")
     pairs = texts.join(live.select(F.col("body").alias("a"), F.col("doc_id").alias("i")), "a").join(live.select(F.col("body").alias("b"), F.col("doc_id").alias("j")), "b")
     return pairs.where("i <> j").select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b")).distinct()
+
+
+def lookalike_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links) of each document that looks like one with other characters: the class is named by its
+    least doc_id, n_links counts the documents of the class whose text differs. Cases as in ``lookalike_pairs``; a doc_id
+    with several texts has a row for each class and text. Rows stay as many as documents, whatever the size of a class."""
+    live = _alike(documents)
+    bodies = live.groupBy("form", "body").agg(F.count("*").alias("same"), F.min("doc_id").alias("least"))
+    classes = bodies.groupBy("form").agg(F.sum("same").alias("size"), F.min("least").alias("class_id"))
+    x = live.join(bodies.select("form", "body", "same"), ["form", "body"]).join(classes, "form")
+    return x.select("doc_id", "class_id", (F.col("size") - F.col("same")).alias("n_links"))

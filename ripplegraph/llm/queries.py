@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.lookalike import consistent_form, lookalike_pairs
+from ripplegraph.llm.lookalike import consistent_form, lookalike_classes, lookalike_pairs
 from ripplegraph.llm.mixing import mix, shares
 from ripplegraph.llm.pairs import commit_baskets, pair_counts
 from ripplegraph.llm.tokens import encode, token_counts
@@ -91,10 +91,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(read(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as classes: a row a document, with the number of documents it looks like."""
+    return lookalike_classes(read(spark, d, "documents"))
+
+
 def p9_form(spark: SparkSession, d: str) -> DataFrame:
     """The one consistent form of every text."""
     return consistent_form(read(spark, d, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_lift, p5_found, p7_ids, p8_mix, p8_shares, p8_bounds, p9_found, p9_form)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_lift, p5_found, p7_ids, p8_mix, p8_shares, p8_bounds, p9_found, p9_classes, p9_form)}
 SQL = {"p3_found": P3_SQL, "p3_lift": P3_LIFT_SQL, "p5_found": P5_SQL, "p8_bounds": P8_BOUNDS_SQL}
