@@ -20,47 +20,39 @@ def _ascii_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKD", x.lower()).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf(T.StringType())
-def _fnv_units(s: pd.Series) -> pd.Series:
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        h, raw = _FNV_START, x.encode("utf-16-be")
-        for i in range(0, len(raw), 2):
-            h = ((h ^ (raw[i] << 8 | raw[i + 1])) * _FNV_PRIME) & _MASK
-        return f"{h:08x}"
-
-    return s.map(one)
-
-
 def slugify(text: str | Column, most: int = 60, ascii_only: bool = False) -> Column:
     """Lower case, accents folded, runs of other characters to ``-``, trimmed, then cut to ``most`` characters; ``empty`` if none is left.
 
-    Accents need Python; ``ascii_only`` says the text has none and keeps the expression in the JVM.
+    Accents need Python, which sees only the texts that are not ASCII; ``ascii_only`` says that there are none.
     """
     c = F.col(text) if isinstance(text, str) else text
-    folded = F.lower(c) if ascii_only else _ascii_fold(c)
+    folded = F.lower(c) if ascii_only else F.coalesce(_ascii_fold(F.when(F.octet_length(c) > F.length(c), c)), F.lower(c))
     s = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(c.isNull(), None).when(s == "", "empty").otherwise(F.substring(s, 1, most))
 
 
-def fnv1a(text: str | Column, ascii_only: bool = False) -> Column:
-    """32-bit FNV-1a over UTF-16 code units, 8 hex digits; for text known to be ASCII within the JVM."""
+def fnv1a(text: str | Column) -> Column:
+    """32-bit FNV-1a over UTF-16 code units, 8 hex digits, within the JVM: a character beyond the basic plane is two units."""
     c = F.col(text) if isinstance(text, str) else text
-    if not ascii_only:
-        return _fnv_units(c)
-    step = lambda h, b: (h.bitwiseXOR(F.ascii(b)) * F.lit(_FNV_PRIME).cast("long")).bitwiseAND(F.lit(_MASK).cast("long"))
-    h = F.aggregate(F.split(c, ""), F.lit(_FNV_START).cast("long"), lambda h, b: F.when(b == "", h).otherwise(step(h, b)))
-    return F.lower(F.lpad(F.hex(h), 8, "0"))
+    num = lambda n: F.lit(n).cast("long")
+    step = lambda h, unit: (h.bitwiseXOR(unit) * num(_FNV_PRIME)).bitwiseAND(num(_MASK))
+
+    def add(h: Column, char: Column) -> Column:
+        o = F.ascii(char).cast("long")
+        high = num(0xD800) + F.shiftright(o - 0x10000, 10)
+        low = num(0xDC00) + (o - 0x10000).bitwiseAND(num(0x3FF))
+        return F.when(char == "", h).when(o < 0x10000, step(h, o)).otherwise(step(step(h, high), low))
+
+    return F.lower(F.lpad(F.hex(F.aggregate(F.split(c, ""), num(_FNV_START), add)), 8, "0"))
 
 
 def symbol_id(kind: Column, path: Column, name: Column, start: Column) -> Column:
     return F.concat_ws(":", F.lit("sym"), kind, normalize_path(path), name, start.cast("string"))
 
 
-def edge_id(kind: Column, from_id: Column, to_id: Column, ascii_only: bool = False) -> Column:
+def edge_id(kind: Column, from_id: Column, to_id: Column) -> Column:
     """``edge:{kind}:{fnv1a(from->to)}``: 32 bits, so for output only; group and join by (kind, from, to)."""
-    return F.concat_ws(":", F.lit("edge"), kind, fnv1a(F.concat(from_id, F.lit("->"), to_id), ascii_only))
+    return F.concat_ws(":", F.lit("edge"), kind, fnv1a(F.concat(from_id, F.lit("->"), to_id)))
 
 
 def claim_id(kind: Column, statement: Column, subjects: Column) -> Column:

@@ -6,10 +6,12 @@ Text is parsed a file at a time into rows (blocks, fields, diagnostics); everyth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.ids import SEMANTIC_KINDS, is_semantic_id, link_of, semantic_kind
@@ -218,17 +220,48 @@ def invalid_ids(m: dict[str, DataFrame]) -> DataFrame:
 
 
 #: Reasons of a check in order of precedence.
-CHECK_ORDER = ("SEMANTIC_DSL_INVALID", "DUPLICATE_SEMANTIC_ID", "INVALID_SEMANTIC_ID", "DANGLING_SEMANTIC_REFERENCE", "STALE_REPOSITORY_LINK")
+CHECK_ORDER = (
+    "SEMANTIC_DSL_INVALID", "DUPLICATE_SEMANTIC_ID", "INVALID_SEMANTIC_ID", "DANGLING_SEMANTIC_REFERENCE", "STALE_REPOSITORY_LINK", "ACTIVE_CHANGE_POINTER_INVALID", "ACTIVE_CHANGE_POINTER_MISSING",
+    "ACTIVE_CHANGE_POINTER_MISMATCH", "ACTIVE_CHANGE_OBSOLETE", "EVIDENCE_BASELINE_INVALID", "EVIDENCE_BASELINE_STALE",
+)
+#: Lifecycles of changes under way, and of closed ones.
+ACTIVE, TERMINAL = ("active", "partial", "blocked", "stale"), ("verified", "superseded")
 
 
-def check_model(m: dict[str, DataFrame], resolved: DataFrame | None = None) -> DataFrame:
-    """(rank, reason, n) of everything wrong with a model, in order of precedence; no rows if nothing is."""
+def lifecycle_findings(changes: DataFrame, pointers: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
+    """(repo, reason, subject): what is wrong with the pointers to active changes, and with recorded baselines.
+
+    ``changes`` has repo, id, status and content; ``pointers`` (repo, state, change_id, content), state being ``valid`` or
+    ``invalid``, and no row where there is none; ``baselines`` (repo, baseline) as ``verification_baseline`` gives them.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda df, reason, subject=none: df.select("repo", F.lit(reason).alias("reason"), subject.alias("subject"))
+    active = changes.where(F.col("status").isin(*ACTIVE))
+    good = pointers.where("state = 'valid'").select("repo", F.col("change_id").alias("picked"), F.col("content").alias("seen"))
+    x = good.join(changes.select("repo", F.col("id").alias("picked"), "status", "content"), ["repo", "picked"], "left").withColumn("over", F.col("status").isin(*TERMINAL))
+    others = active.join(good, "repo").where(F.col("id") != F.col("picked"))
+    found = [
+        row(pointers.where("state = 'invalid'"), "ACTIVE_CHANGE_POINTER_INVALID"), row(x.where("status is null"), "ACTIVE_CHANGE_POINTER_INVALID", F.col("picked")),
+        row(active.join(pointers.select("repo"), "repo", "left_anti"), "ACTIVE_CHANGE_POINTER_MISSING", F.col("id")), row(x.where("over"), "ACTIVE_CHANGE_OBSOLETE", F.col("picked")),
+        row(x.where(~F.col("over") & ~F.col("content").eqNullSafe(F.col("seen"))), "ACTIVE_CHANGE_POINTER_MISMATCH", F.col("picked")), row(others, "ACTIVE_CHANGE_OBSOLETE", F.col("id")),
+    ]
+    if baselines is not None:
+        found += [row(baselines.where(F.col("baseline") == b), f"EVIDENCE_BASELINE_{b.upper()}") for b in ("invalid", "stale")]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def check_model(m: dict[str, DataFrame], resolved: DataFrame | None = None, lifecycle: DataFrame | None = None) -> DataFrame:
+    """(rank, reason, n) of everything wrong with a model, in order of precedence; no rows if nothing is. ``lifecycle`` are
+    ``lifecycle_findings``; a repository counts once a reason."""
     found = {
         "SEMANTIC_DSL_INVALID": m["diagnostics"].where("level = 'error'"), "DUPLICATE_SEMANTIC_ID": duplicate_ids(m), "INVALID_SEMANTIC_ID": invalid_ids(m), "DANGLING_SEMANTIC_REFERENCE": dangling_references(m),
     }
     if resolved is not None:
         found["STALE_REPOSITORY_LINK"] = resolved.where("not resolved")
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(CHECK_ORDER.index(k)).alias("rank"), F.lit(k).alias("reason"), "n") for k, df in found.items()]
+    if lifecycle is not None:
+        order = F.array(*(F.lit(k) for k in CHECK_ORDER))
+        parts.append(lifecycle.groupBy("reason").agg(F.count_distinct("repo").alias("n")).select((F.array_position(order, F.col("reason")) - 1).cast("int").alias("rank"), "reason", "n"))
     return reduce(DataFrame.unionByName, parts).where("n > 0")
 
 
@@ -266,6 +299,22 @@ def slice_model(m: dict[str, DataFrame], seeds: DataFrame, max_nodes: int = 60)
     return at.select("seed_set", F.explode("picked").alias("p"), "cut").select("seed_set", "p.id", "p.hop", F.col("cut").alias("truncated"))
 
 
+def slice_parts(m: dict[str, DataFrame], sliced: DataFrame, critical: tuple[str, ...] = ("critical", "security")) -> DataFrame:
+    """(seed_set, part, ref): what the ids of a slice are (goals, invariants, decisions, assumptions, changes, evidence, unknowns;
+    safety for critical invariants), the repository links of all of them, and the proofs its changes still need."""
+    names = {"goal": "intentions", "invariant": "invariants", "decision": "decisions", "assumption": "assumptions", "change": "changes", "evidence": "evidence", "unknown": "open_unknowns"}
+    part = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in names.items()))
+    what = m["nodes"].select("id", "kind", "status", "tags").unionByName(m["changes"].select("id", "kind", "status", "tags"))
+    x = checkpointed(sliced.select("seed_set", "id").join(what, "id"))
+    safe = x.where((F.col("kind") == "invariant") & F.arrays_overlap("tags", F.array(*(F.lit(t) for t in critical))))
+    links = sliced.select("seed_set", F.col("id").alias("owner_id")).join(m["links"], "owner_id").select("seed_set", F.lit("links").alias("part"), F.concat_ws(":", "kind", "ref").alias("ref"))
+    proven = m["nodes"].where(F.col("status").isin(*PROVEN)).select(F.col("id").alias("ref"))
+    need = x.where("kind = 'change'").select("seed_set", F.col("id").alias("change_id")).join(m["change_refs"].where("field = 'requires_evidence'"), "change_id").join(proven, "ref", "left_anti")
+    return reduce(DataFrame.unionByName, (
+        x.select("seed_set", part.alias("part"), F.col("id").alias("ref")), safe.select("seed_set", F.lit("safety").alias("part"), F.col("id").alias("ref")), links, need.select("seed_set", F.lit("next_proofs").alias("part"), "ref"),
+    )).distinct()
+
+
 def superseded_decisions(m: dict[str, DataFrame], preserved: DataFrame) -> DataFrame:
     """(change_id, decision_id): decisions that justify what a change preserves but are superseded, contradicted or stale."""
     r = m["relations"]
@@ -275,36 +324,72 @@ def superseded_decisions(m: dict[str, DataFrame], preserved: DataFrame) -> DataF
     return preserved.join(d, "ref").select("change_id", F.col("id").alias("decision_id")).distinct()
 
 
-def change_findings(m: dict[str, DataFrame], touched: DataFrame, prints: DataFrame, resolved: DataFrame, verdicts: DataFrame, critical: tuple[str, ...] = ("critical", "security")) -> DataFrame:
+@dataclass(frozen=True)
+class Policy:
+    """What a repository may set of how its changes are judged; what it leaves out has these values."""
+
+    critical_tags: tuple[str, ...] = ("critical", "security")
+    open_unknown: str = "warn"
+    superseded_decision: str = "warn"
+    proof_for_active: bool = True
+
+    @classmethod
+    def of(cls, given: dict | None) -> Policy:
+        """From the names of a configuration block; null means the defaults."""
+        names = {"criticalInvariantTags": "critical_tags", "openUnknownSeverity": "open_unknown", "supersededDecisionSeverity": "superseded_decision", "requireProofForActiveChange": "proof_for_active"}
+        known = {names[k]: tuple(v) if isinstance(v, list) else v for k, v in (given or {}).items() if k in names}
+        return cls(**known)
+
+
+def change_findings(m: dict[str, DataFrame], touched: DataFrame, prints: DataFrame, resolved: DataFrame, verdicts: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(change_id, kind, severity, ref): what stands between each change and a verified verdict.
 
     ``touched`` has (change_id, id, severity): graph nodes that the change's diff touches, with the worst finding on each
     (block, warn or none). ``prints`` are footprints, ``verdicts`` (change_id, verdict) of the underlying diffs. An
     invariant that is touched under a finding is unproven, whatever the finding's severity.
     """
-    n = m["nodes"].select("id", "kind", "status", F.arrays_overlap("tags", F.array(*(F.lit(c) for c in critical))).alias("critical"))
+    critical = F.arrays_overlap("tags", F.array(*(F.lit(c) for c in policy.critical_tags or ("\0",))))
+    n = m["nodes"].select("id", "kind", "status", critical.alias("critical"))
     ref = m["change_refs"].join(n.select(F.col("id").alias("ref"), F.col("kind").alias("ref_kind"), F.col("status").alias("ref_status"), "critical"), "ref", "left")
-    row = lambda df, kind, severity: df.select("change_id", F.lit(kind).alias("kind"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), "ref")
+    row = lambda df, kind, severity: df.select("change_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "ref")
+    level = lambda s: "block" if s == "block" else "warn"
     keep = ref.where("field = 'preserves'")
     inv = keep.where("ref_kind = 'invariant'")
     hit = touched.where("severity in ('block', 'warn')").join(prints, "id").select("change_id", F.col("owner_id").alias("ref")).distinct()
     unproven = inv.where("ref_status <> 'contradicted'").join(hit, ["change_id", "ref"], "left_semi")
     active = m["changes"].where("status = 'active'").select(F.col("id").alias("change_id"))
+    weak = unproven.where("not critical").join(active, "change_id", "left_semi")
     need, unk = ref.where("field = 'requires_evidence'"), ref.where("field = 'unknown'")
-    scope = m["change_refs"].select("change_id", F.col("ref").alias("owner_id")).unionByName(m["changes"].select(F.col("id").alias("change_id"), F.col("id").alias("owner_id")))
+    scope = m["change_refs"].select("change_id", F.col("ref").alias("owner_id")).unionByName(m["changes"].select(F.col("id").alias("change_id"), F.col("id").alias("owner_id"))).distinct()
     stale = scope.join(resolved.where("not resolved"), "owner_id").select("change_id", "ref").distinct()
     old = superseded_decisions(m, keep.select("change_id", "ref")).withColumnRenamed("decision_id", "ref")
     under = verdicts.select("change_id", "verdict", F.lit("").alias("ref"))
     return reduce(DataFrame.unionByName, (
         row(under.where("verdict = 'BLOCK'"), "underlying_block", "block"), row(under.where("verdict = 'WARN'"), "underlying_warn", "warn"),
         row(keep.where("ref_kind is null or ref_kind <> 'invariant'"), "dangling_reference", "stale"), row(inv.where("ref_status = 'contradicted'"), "invariant_contradicted", "block"),
-        row(unproven.where("critical"), "critical_invariant_unproven", "block"), row(unproven.where("not critical").join(active, "change_id", "left_semi"), "invariant_unproven", "warn"),
-        row(old, "superseded_decision", "warn"), row(need.where("ref_kind is null"), "dangling_reference", "stale"),
+        row(unproven.where("critical"), "critical_invariant_unproven", "block"), row(weak if policy.proof_for_active else weak.limit(0), "invariant_unproven", "warn"),
+        row(old, "superseded_decision", level(policy.superseded_decision)), row(need.where("ref_kind is null"), "dangling_reference", "stale"),
         row(need.where(F.col("ref_kind").isNotNull() & ~F.col("ref_status").isin(*PROVEN)), "required_evidence_pending", "warn"),
-        row(unk.where("coalesce(critical, false)"), "critical_open_unknown", "block"), row(unk.where("not coalesce(critical, false)"), "open_unknown", "warn"), row(stale, "stale_link", "stale"),
+        row(unk.where("coalesce(critical, false)"), "critical_open_unknown", "block"), row(unk.where("not coalesce(critical, false)"), "open_unknown", level(policy.open_unknown)), row(stale, "stale_link", "stale"),
     ))
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """``findings`` with pos, numbering those of a change: blocking, stale, then warning ones, ties by kind and reference."""
+    rank = F.when(F.col("severity") == "block", 0).when(F.col("severity") == "stale", 1).otherwise(2)
+    return findings.withColumn("pos", F.row_number().over(W.partitionBy("change_id").orderBy(rank, "kind", "ref")))
+
+
+#: Verdicts of diffs, the better before the worse.
+DIFF_VERDICTS = ("PASS", "WARN", "BLOCK")
+
+
+def worst_verdict(verdict: str = "verdict") -> Column:
+    """Of a group's verdicts of diffs the worst."""
+    ranked = F.array(*(F.lit(v) for v in DIFF_VERDICTS))
+    return F.get(ranked, F.max(F.array_position(ranked, F.col(verdict)).cast("int") - 1))
+
+
 def change_verdicts(changes: DataFrame, findings: DataFrame) -> DataFrame:
     """(change_id, verdict, lifecycle, n_findings): BLOCKED over STALE over PARTIAL over VERIFIED."""
     any_of = lambda s: F.coalesce(F.bool_or(F.col("severity") == s), F.lit(False))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.ids import claim_id
 from ripplegraph.functions.scoring import POLICIES, by_status, clamp01, confidence, reachability, role_match, weighted
+from ripplegraph.operators.graph import is_deprecated, statement_of
 from ripplegraph.operators.versions import evidence_id
+from ripplegraph.runtime import checkpointed
 
 #: Kinds that are code, the module included.
 CODE = ("module", "function", "class", "interface", "type", "enum")
@@ -22,17 +25,17 @@ def _linked(n: DataFrame, edges: DataFrame, kind: str, inwards: bool) -> DataFra
     return n.join(g.select("id", F.col(f"o.{other}").alias("others")), "id", "left").withColumn("others", F.coalesce("others", F.array().cast("array<string>")))
 
 
-def build_claims(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, kind, statement, subject_node_ids, evidence_ids, authority, freshness, confidence, verification_status, tags).
+def claim_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, kind, statement, subjects, verification_status, tags, extra) of all claims, without their evidence.
 
     Nine rules, each a frame of (kind, statement, subjects, status, tags): invariants, capabilities, declared contracts,
     exported interfaces and types, behaviours, decisions, risks, deprecations and contradictions. Status comes from
-    evidence: an invariant is tested if a node it constrains is. Evidence is that of all subjects, joined at the end.
-    Subjects keep their order, and repeats in it count for the id.
+    evidence: an invariant is tested if a node it constrains is. Subjects keep their order, and repeats in it count for the
+    id. ``extra`` is evidence of an edge, where edges carry any.
     """
     tested = edges.where("kind = 'tested_by'").select(F.col("from_id").alias("s"), F.lit(True).alias("t")).distinct()
     of = lambda kind: nodes.where(F.col("kind") == kind)
-    said = lambda default: F.coalesce(F.col("metadata")["statement"], default)
+    said = lambda default: F.coalesce(statement_of(nodes), default)
     one = lambda *tags: F.array(*(F.lit(t) for t in tags))
 
     def claim(df: DataFrame, kind: str, statement: Column, subjects: Column, status: Column, tags: Column, extra: Column | None = None) -> DataFrame:
@@ -51,8 +54,9 @@ def build_claims(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     con, beh, risk = _linked(of("contract"), edges, "declares", True), _linked(of("test"), edges, "covers", False).where("size(others) > 0"), _linked(of("risk"), edges, "related_to", True)
     api = nodes.where("kind in ('interface', 'type') and exported")
     docs = of("document")
-    old = docs.where((F.col("metadata")["deprecated"] == "true") | F.array_contains("tags", "deprecated"))
-    against = edges.where("kind = 'contradicts'").select(F.col("from_id").alias("id"), F.col("to_id").alias("target"), F.transform("evidence", evidence_id).alias("extra"))
+    old = docs.where(is_deprecated(nodes))
+    proof = F.transform("evidence", evidence_id) if "evidence" in edges.columns else F.array().cast("array<string>")
+    against = edges.where("kind = 'contradicts'").select(F.col("from_id").alias("id"), F.col("to_id").alias("target"), proof.alias("extra"))
     against = docs.join(against, "id").join(nodes.select(F.col("id").alias("target"), F.col("name").alias("target_name")), "target", "left")
     lit = F.lit
     claims = reduce(DataFrame.unionByName, (
@@ -66,7 +70,21 @@ def build_claims(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         claim(old, "deprecation", F.concat(lit('Deprecated documentation "'), name, lit('" — its assertions are no longer authoritative.')), F.array("id"), lit("deprecated"), one("deprecation", "documentation")),
         claim(against, "assumption", F.concat(lit('Documentation "'), name, lit('" contradicts "'), F.coalesce("target_name", "target"), lit('".')), F.array("id", "target"), lit("contradicted"), one("contradiction", "documentation"), F.col("extra")),
     ))
-    claims = claims.withColumn("id", claim_id(F.col("kind"), F.col("statement"), F.col("subjects")))
+    return claims.withColumn("id", claim_id(F.col("kind"), F.col("statement"), F.col("subjects")))
+
+
+def claims_by_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The claims of ``build_claims`` where nobody asks for evidence or confidence: what their status alone gives."""
+    st = F.col("verification_status")
+    return claim_rows(nodes, edges).select(
+        "id", "kind", "statement", F.array_distinct("subjects").alias("subject_node_ids"), F.array().cast("array<string>").alias("evidence_ids"), by_status(st, 0).alias("authority"), by_status(st, 2).alias("freshness"), st, "tags"
+    )
+
+
+def build_claims(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, kind, statement, subject_node_ids, evidence_ids, authority, freshness, confidence, verification_status, tags):
+    ``claim_rows`` with the evidence of all subjects, joined at the end, and the scores it gives."""
+    claims = claim_rows(nodes, edges)
     proof = nodes.select(F.col("id").alias("s"), F.transform("evidence", lambda r: F.struct(evidence_id(r).alias("i"), r["source_kind"].alias("k"))).alias("p"))
     # The evidence of a contradicting edge is that edge's alone; the documents' target lends none.
     lend = F.when(F.col("kind") == "assumption", F.slice("subjects", 1, 1)).otherwise(F.col("subjects"))
@@ -87,6 +105,16 @@ def contradictions(claims: DataFrame) -> DataFrame:
     return claims.where("verification_status in ('deprecated', 'contradicted')")
 
 
+def ranked_contradictions(claims: DataFrame) -> DataFrame:
+    """(pos, id, ...) of the claims that are not normative, the surest first, ties by id. Positions are given by ranges of the
+    order, so no task numbers all of them."""
+    x = checkpointed(contradictions(claims).withColumn("_o", F.struct((-F.col("confidence")).alias("c"), F.col("id").alias("i"))).repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id()))
+    before = x.groupBy("_p").agg(F.count("*").alias("k")).withColumn("skip", F.coalesce(F.sum("k").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    x = x.join(F.broadcast(before.select("_p", "skip")), "_p")  # a row a partition
+    within = F.row_number().over(W.partitionBy("_p").orderBy("_o"))
+    return x.select((F.col("skip") + within).alias("pos"), *claims.columns)
+
+
 def evaluate_claims(claims: DataFrame, nodes: DataFrame, hops: DataFrame, question: str, contexts: list[str] | None = None, open_contradictions: DataFrame | None = None) -> DataFrame:
     """(id, kind, eligible, score, hop, the five gates, the components) of every claim for one question.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import normalize_path
+from ripplegraph.runtime import broadcast_if_small, checkpointed, stored
 
 
 def parse_name_status(logs: DataFrame) -> DataFrame:
@@ -29,17 +30,38 @@ def commit_sets(commit_files: DataFrame) -> DataFrame:
     return x.select(F.col("repository_identity").alias("repo"), "commit_id", normalize_path("file").alias("file")).distinct()
 
 
+#: Files of a commit beyond which its other side is cut into blocks, each met by all of its changed files in another task.
+BLOCK = 256
+
+
+def _shared_commits(a: DataFrame, b: DataFrame, commits: DataFrame, min_support: int) -> DataFrame:
+    """(repo, file, co_file, commits) of each ``file`` of ``a`` and ``co_file`` of ``b`` that share so many commits.
+
+    Files with fewer commits than that are dropped before pairing, which loses nothing. A wide commit is cut into blocks of
+    its ``b`` side, so that it is many keys of the join; counts combine before their shuffle.
+    """
+    if min_support > 1:
+        rare = commits.groupBy("repo", "file").agg(F.count("*").alias("k")).where(F.col("k") >= min_support).select("repo", "file")
+        a, b = a.join(rare, ["repo", "file"], "left_semi"), b.join(rare.withColumnRenamed("file", "co_file"), ["repo", "co_file"], "left_semi")
+    wide = commits.groupBy("repo", "commit_id").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
+    wide = broadcast_if_small(checkpointed(wide.select("repo", "commit_id", F.ceil(F.col("k") / BLOCK).alias("blocks"))))
+    key, blocks = ["repo", "commit_id"], F.coalesce("blocks", F.lit(1))
+    a = a.join(wide, key, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("blocks")
+    b = b.join(wide, key, "left").withColumn("block", F.pmod(F.xxhash64("co_file"), blocks)).drop("blocks")
+    pairs = a.join(b, [*key, "block"]).where("file <> co_file").groupBy("repo", "file", "co_file").agg(F.count("*").alias("commits"))
+    return pairs.where(F.col("commits") >= min_support)
+
+
 def co_change_counts(commits: DataFrame, changed: DataFrame, min_support: int = 2) -> DataFrame:
     """(repo, file, co_file, commits) of each changed file and each file beyond the change that it shares commits with.
 
     ``changed`` has file. The changed side is reduced by a semi join before the self join, the other side by an anti join,
     so the join is changed x unchanged within a commit, not all pairs.
     """
-    c = changed.select("file").distinct()
+    c, commits = changed.select("file").distinct(), stored(commits)
     a = commits.join(c, "file", "left_semi")
     b = commits.join(c, "file", "left_anti").withColumnRenamed("file", "co_file")
-    pairs = a.join(b, ["repo", "commit_id"]).groupBy("repo", "file", "co_file").agg(F.count("*").alias("commits"))
-    return pairs.where(F.col("commits") >= min_support)
+    return _shared_commits(a, b, commits, min_support)
 
 
 def co_changes(commits: DataFrame, changed: DataFrame, min_support: int = 2, max_per_file: int = 8) -> DataFrame:
@@ -55,11 +77,10 @@ def co_changes_per_diff(commits: DataFrame, diff_files: DataFrame, min_support:
 
     Pairs are counted once for all diffs; a diff then leaves out its own files, and only what it keeps is ranked.
     """
-    d = diff_files.select("diff_id", "file").distinct()
+    d, commits = diff_files.select("diff_id", "file").distinct(), stored(commits)
     a = commits.join(d.select("file").distinct(), "file", "left_semi")
-    b = commits.withColumnRenamed("file", "co_file")
-    pairs = a.join(b, ["repo", "commit_id"]).where("file <> co_file").groupBy("repo", "file", "co_file").agg(F.count("*").alias("commits"))
-    x = d.join(pairs.where(F.col("commits") >= min_support), "file").join(d.withColumnRenamed("file", "co_file"), ["diff_id", "co_file"], "left_anti")
+    pairs = _shared_commits(a, commits.withColumnRenamed("file", "co_file"), commits, min_support)
+    x = d.join(pairs, "file").join(d.withColumnRenamed("file", "co_file"), ["diff_id", "co_file"], "left_anti")
     w = W.partitionBy("diff_id", "repo", "file").orderBy(F.desc("commits"), "co_file")
     x = x.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= max_per_file)
     return x.select("diff_id", "repo", "file", "co_file", "commits", "pos")

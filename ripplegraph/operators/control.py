@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.hashing import canonical_json, canonical_map, fingerprint, json_text
+from ripplegraph.operators.hierarchy import resolve_hierarchy
 from ripplegraph.runtime import checkpointed
 
 #: Relations that carry impact, relations that refine, relations that carry a rationale.
@@ -252,26 +253,124 @@ def attestations_in_force(attestations: DataFrame) -> DataFrame:
     return attestations.withColumn("fresh", F.coalesce(ok, F.lit(False)))
 
 
-def evaluate_obligations(obligations: DataFrame, clauses: DataFrame, attestations: DataFrame) -> DataFrame:
-    """(subject, obligation, satisfied, n_missing): an obligation holds if each of its clauses is met by an attestation in
-    force of a status the clause accepts.
+#: What can be asked to be proved.
+OBLIGATIONS = (
+    "baseline_captured", "behavior_characterized", "target_reviewed", "replacement_present", "shadow_equivalent", "cutover_approved", "observation_window_passed", "static_dependencies_zero", "runtime_dependencies_zero",
+    "invariants_preserved", "data_migration_complete", "rollback_ready", "deletion_approved",
+)
+#: What has to be proved before a deletion may be approved.
+BEFORE_DELETION = (
+    "replacement_present", "shadow_equivalent", "cutover_approved", "observation_window_passed", "static_dependencies_zero", "runtime_dependencies_zero", "invariants_preserved", "data_migration_complete", "rollback_ready",
+)
+#: Fixed values: (obligation, clause, status, kind of reference): an obligation holds if each clause is met by one of its
+#: statuses, with such a reference where one is named.
+MATRIX = (
+    ("baseline_captured", 0, "statically_observed", ""), ("baseline_captured", 0, "dynamically_observed", ""), ("behavior_characterized", 0, "test_observed", ""), ("behavior_characterized", 0, "dynamically_observed", ""),
+    ("target_reviewed", 0, "human_declared", "architecture"), ("replacement_present", 0, "statically_observed", ""), ("shadow_equivalent", 0, "test_observed", ""), ("shadow_equivalent", 1, "dynamically_observed", ""),
+    ("cutover_approved", 0, "human_declared", ""), ("cutover_approved", 1, "test_observed", ""), ("cutover_approved", 1, "dynamically_observed", ""), ("observation_window_passed", 0, "dynamically_observed", ""),
+    ("static_dependencies_zero", 0, "statically_observed", ""), ("runtime_dependencies_zero", 0, "dynamically_observed", ""), ("invariants_preserved", 0, "test_observed", ""),
+    ("data_migration_complete", 0, "dynamically_observed", ""), ("data_migration_complete", 0, "test_observed", ""), ("rollback_ready", 0, "test_observed", ""), ("deletion_approved", 0, "human_declared", ""),
+)
+
+
+def sufficiency(spark: SparkSession) -> DataFrame:
+    """The matrix as (obligation, clause, status, kinds)."""
+    return spark.createDataFrame(MATRIX, "obligation string, clause int, status string, kinds string")
+
+
+def with_prerequisites(asked: DataFrame, needs: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``asked`` (subject, obligation) with all that its obligations need first, directly or through others."""
+    needs = {"deletion_approved": BEFORE_DELETION} if needs is None else needs
+    whole: dict[str, set[str]] = {}
+    for o in needs:  # a small configured table
+        seen, todo = {o}, [o]
+        while todo:
+            todo += [x for x in needs.get(todo.pop(), ()) if x not in seen and not seen.add(x)]
+        whole[o] = seen
+    more = F.coalesce(*(F.when(F.col("obligation") == o, F.array(*(F.lit(x) for x in sorted(xs)))) for o, xs in whole.items()), F.array("obligation")) if whole else F.array("obligation")
+    return asked.select("subject", F.explode(more).alias("obligation")).distinct()
+
 
-    ``clauses`` has (obligation, clause, status) in conjunctive form; an obligation without clauses is never satisfied.
+def evaluate_obligations(asked: DataFrame, clauses: DataFrame, attestations: DataFrame) -> DataFrame:
+    """(subject, obligation, satisfied, reasons): an obligation holds if each of its clauses is met by a usable attestation.
+
+    ``asked`` has subject, obligation and commit_id; ``clauses`` (obligation, clause, status, kinds); ``attestations`` (subject,
+    obligation, commit_id, epistemic_status, reference_kind, non_llm, fresh), a row a reference. Usable are attestations of
+    the subject and commit, fresh, neither inferred nor supposed, with a reference that no model wrote. Reasons: none at all,
+    of another subject or commit, all stale, or of too little weight. An obligation without clauses is never satisfied.
     """
-    want = obligations.select("subject", "obligation").distinct().join(clauses.select("obligation", "clause").distinct(), "obligation", "left")
-    met = attestations.where("fresh").select("subject", "obligation", F.col("epistemic_status").alias("status")).join(clauses, ["obligation", "status"]).select("subject", "obligation", "clause").distinct()
-    x = want.join(met.withColumn("met", F.lit(True)), ["subject", "obligation", "clause"], "left")
-    g = x.groupBy("subject", "obligation").agg(F.count_if(F.col("met").isNull()).alias("n_missing"))
-    return g.select("subject", "obligation", (F.col("n_missing") == 0).alias("satisfied"), "n_missing")
+    a = attestations.withColumn("sure", ~F.col("epistemic_status").isin("llm_inferred", "hypothetical"))
+    any_ = a.groupBy("obligation").agg(F.lit(True).alias("known"))
+    q = asked.select("subject", "obligation", "commit_id").distinct()
+    own = q.join(a.withColumnRenamed("commit_id", "of"), ["subject", "obligation"], "left")
+    here = F.coalesce(F.col("of") == F.col("commit_id"), F.lit(False))
+    usable = here & F.col("sure") & F.col("fresh") & F.col("non_llm")
+    some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    g = own.groupBy("subject", "obligation", "commit_id").agg(
+        some(F.col("of").isNotNull()).alias("own"), some(here).alias("here"), some(here & F.col("sure")).alias("sure"), some(here & F.col("sure") & F.col("fresh")).alias("live")
+    )
+    c = F.broadcast(clauses)  # a configured table of a few rows an obligation
+    met = own.where(usable).join(c, "obligation").where((F.col("epistemic_status") == F.col("status")) & ((F.col("kinds") == "") | (F.col("kinds") == F.col("reference_kind")))).select("subject", "obligation", "commit_id", "clause").distinct()
+    met = met.groupBy("subject", "obligation", "commit_id").agg(F.count("*").alias("met"))
+    want = clauses.groupBy("obligation").agg(F.count_distinct("clause").alias("want"))
+    x = g.join(met, ["subject", "obligation", "commit_id"], "left").join(F.broadcast(want), "obligation", "left").join(F.broadcast(any_), "obligation", "left")
+    ok = F.coalesce(F.col("met") == F.col("want"), F.lit(False))
+    known = F.coalesce("known", F.lit(False))
+    why = F.array_compact(F.array(
+        F.when(~known, "proof_missing"), F.when(known & ~F.col("own"), "proof_subject_mismatch"), F.when(known & ~F.col("here"), "proof_commit_mismatch"), F.when(F.col("sure") & ~F.col("live"), "proof_stale"),
+    ))
+    reasons = F.when(ok, F.array().cast("array<string>")).when(F.size(why) > 0, F.array_sort(why)).otherwise(F.array(F.lit("proof_epistemically_insufficient")))
+    return x.select("subject", "obligation", "commit_id", ok.alias("satisfied"), reasons.alias("reasons"))
+
+
+#: Fixed values: (profile, kind, from, to, risk, least obligations) of the steps of a plan, in order.
+PROFILES = (
+    ("capture_baseline", "capture", "OBSERVED", "MODELED", "R0", ("baseline_captured",)), ("characterize_behavior", "characterize", "MODELED", "TARGET_PROPOSED", "R0", ("behavior_characterized",)),
+    ("define_target_proofs", "introduce", "TARGET_PROPOSED", "PROOFS_DEFINED", "R1", ("target_reviewed",)), ("introduce_parallel", "introduce", "PROOFS_DEFINED", "PARALLEL_IMPLEMENTATION", "R1", ("replacement_present",)),
+    ("shadow_validate", "shadow_compare", "PARALLEL_IMPLEMENTATION", "SHADOW_VALIDATED", "R2", ("shadow_equivalent", "invariants_preserved", "rollback_ready")),
+    ("cutover_replacement", "cutover", "SHADOW_VALIDATED", "CUTOVER", "R3", ("cutover_approved", "invariants_preserved", "rollback_ready")),
+    ("observe_cutover", "observe", "CUTOVER", "LEGACY_REMOVABLE", "R2", ("observation_window_passed", "rollback_ready")), ("authorize_deletion", "deletion_check", "LEGACY_REMOVABLE", "DELETED", "R3", (*BEFORE_DELETION, "deletion_approved")),
+)
+#: Reasons that a traversal may end with, by its status.
+TERMINAL_REASONS = {"success": (), "budget_exhausted": ("BUDGET_EXHAUSTED",), "refused": ("INDEX_STALE",), "empty": ("COORDINATE_UNKNOWN", "MAPPING_MISSING", "REFINEMENT_DISCONNECTED")}
+#: Reasons of a freshness status in canonical order.
+UNSEALED_REASONS = ("REPOSITORY_NOT_INITIALIZED", "REPOSITORY_NOT_INDEXED", "INDEX_SNAPSHOT_MISSING", "INDEX_SNAPSHOT_INVALID", "GIT_STATE_UNAVAILABLE", "STORE_SCHEMA_UNAVAILABLE")
+STALE_REASONS = tuple(m[0] for m in MISMATCHES)
+REASON_ORDER = (*UNSEALED_REASONS, *STALE_REASONS, "WORKING_TREE_DIRTY")
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    """The steps of a plan as (ord, profile, kind, from_state, to_state, risk, obligations)."""
+    return spark.createDataFrame([(k, *p[:5], list(p[5])) for k, p in enumerate(PROFILES)], "ord int, profile string, kind string, from_state string, to_state string, risk string, obligations array<string>")
+
+
+def _listed(values: tuple[str, ...]) -> Column:
+    return F.array(*(F.lit(v) for v in values)).cast("array<string>")
+
+
+def verification_baseline(recorded: DataFrame) -> DataFrame:
+    """(repo, baseline) of (repo, recorded JSON text, head, state_hash as they are now): missing, invalid, stale or valid."""
+    r = F.from_json("recorded", "version int, headCommit string, workingStateHash string, verdict string, recordedAt string")
+    whole = (r["version"] == 2) & r["headCommit"].rlike("^[0-9a-f]{40,64}$") & r["workingStateHash"].rlike("^sha256:[0-9a-f]{64}$") & r["verdict"].isin("PASS", "WARN", "BLOCK") & F.try_to_timestamp(r["recordedAt"]).isNotNull()
+    known = F.coalesce(whole, F.lit(False)) & F.col("head").isNotNull() & F.col("state_hash").isNotNull()
+    same = (r["headCommit"] == F.col("head")) & (r["workingStateHash"] == F.col("state_hash"))
+    return recorded.select("repo", F.when(F.col("recorded").isNull(), "missing").when(~known, "invalid").when(same, "valid").otherwise("stale").alias("baseline"))
 
 
 def violations(**tables: DataFrame) -> DataFrame:
     """(rule, subject) of broken constraints among the tables given; none where all holds.
 
-    ``elements`` and ``relations``: ends exist, category and level both or neither. ``attestations``: expiry not before
-    observation. ``steps`` (plan, ord, id, depends_on): each step depends on the one before, the first on none. ``paths``
-    (path_id, nodes, edges): one edge fewer than nodes. ``lists`` (list_id, items): unique and in order. ``changes``
-    (change_id, before_id, after_id): one id on both sides. ``digests`` (id, stored, computed): equal.
+    ``elements`` and ``relations``: ends exist, category and level both or neither. ``coordinates`` (id, plane): the id is its
+    plane's. ``attestations``: expiry not before observation. ``steps`` (plan, ord, id, depends_on): each depends on the one
+    before, the first on none, and none on itself through others. ``plan_steps`` (id, profile, kind, from_state, to_state, risk,
+    rollback, obligations): as its profile says, with a way back where the risk asks for one. ``plans`` (id, status, reason,
+    n_details, has_target, change_id, context_id, commit_id, current_commit, n_steps): what its status asks for. ``paths``
+    (path_id, nodes, edges): one edge fewer than nodes. ``budgets`` (id, most, consumed, remaining): consumed and remaining are
+    all. ``lists`` (list_id, items): unique and in order. ``changes`` (change_id, before_id, after_id): one id on both sides.
+    ``statuses`` (id, verdict, reasons, allowed, sealed): reasons unique, in order and the verdict's, and, where ``seals``
+    (id, verdict, reasons) are given, those of the seal. ``coverages`` (id, covered, missing): disjoint. ``terminals`` (id,
+    status, reason): the reason is the status's. ``envelopes`` (id, verdict, status, reasons, has_payload): refused where
+    stale. ``digests`` (id, stored, computed): equal. A link of ``steps`` with null ends is no dependency.
     """
     out = []
     add = lambda rule, df, c: out.append(df.select(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("subject")))
@@ -279,19 +378,67 @@ def violations(**tables: DataFrame) -> DataFrame:
         for end in ("from_id", "to_id"):
             add(f"relation_{end}_is_element", tables["relations"].join(tables["elements"].select(F.col("id").alias(end)), end, "left_anti"), end)
         add("level_and_category_go_together", tables["elements"].where(F.col("level").isNull() != F.col("category").isNull()), "id")
-    if "attestations" in tables:
-        add("expiry_not_before_observation", tables["attestations"].where("expires_at < observed_at"), "id")
-    if "steps" in tables:
+    if (t := tables.get("coordinates")) is not None:
+        prefix = F.when(F.col("plane") == "observed", "sha256:").otherwise(F.concat("plane", F.lit(":")))
+        add("id_is_of_its_plane", t.where(~F.startswith("id", prefix)), "id")
+    if (t := tables.get("attestations")) is not None:
+        add("expiry_not_before_observation", t.where("expires_at < observed_at"), "id")
+    if (t := tables.get("steps")) is not None:
         before = F.lag("id").over(W.partitionBy("plan").orderBy("ord"))
-        add("step_depends_on_the_one_before", tables["steps"].withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col("depends_on"))), "id")
-    if "paths" in tables:
-        add("path_has_one_edge_fewer_than_nodes", tables["paths"].where("size(edges) <> size(nodes) - 1"), "path_id")
-    if "lists" in tables:
-        add("list_is_unique_and_in_order", tables["lists"].where(F.col("items") != F.array_sort(F.array_distinct("items"))), "list_id")
-    if "changes" in tables:
-        add("change_keeps_its_id", tables["changes"].where("before_id <> after_id"), "change_id")
-    if "digests" in tables:
-        add("digest_is_recomputable", tables["digests"].where(~F.col("stored").eqNullSafe(F.col("computed"))), "id")
+        add("step_depends_on_the_one_before", t.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col("depends_on"))), "id")
+        loops = resolve_hierarchy(t.select("plan", F.col("id").alias("child"), F.col("depends_on").alias("parent")), "plan")
+        add("steps_are_no_cycle", loops.where("depth = -1"), "node_id")
+    if (t := tables.get("plan_steps")) is not None:
+        p = F.broadcast(profiles(t.sparkSession).select("profile", *(F.col(c).alias(f"_{c}") for c in ("kind", "from_state", "to_state", "risk", "obligations"))))  # eight rows
+        x = t.join(p, "profile", "left")
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("kind", "from_state", "to_state", "risk")))
+        add("step_is_as_its_profile", x.where(F.col("_kind").isNull() | ~same), "id")
+        add("profile_obligations_are_there", x.where(same & (F.size(F.array_except("_obligations", "obligations")) > 0)), "id")
+        risky = F.col("risk").isin("R2", "R3")
+        add("risk_has_a_rollback", t.where(risky & F.col("rollback").isNull()), "id")
+        add("risk_has_rollback_ready", t.where(risky & ~F.array_contains("obligations", "rollback_ready")), "id")
+    if (t := tables.get("plans")) is not None:
+        ready, blocked = F.col("status") == "READY", F.col("status") == "BLOCKED"
+        add("blocked_plan_says_why", t.where(blocked & (F.col("reason").isNull() | (F.col("n_details") == 0))), "id")
+        add("ready_plan_is_not_blocked", t.where(ready & (F.col("reason").isNotNull() | (F.col("n_details") > 0))), "id")
+        add("ready_plan_is_whole", t.where(ready & (~F.col("has_target") | (F.col("n_steps") != len(PROFILES)))), "id")
+        add("plan_is_of_its_change", t.where(F.col("change_id") != F.col("context_id")), "id")
+        add("plan_is_of_its_commit", t.where(F.col("commit_id") != F.col("current_commit")), "id")
+    if (t := tables.get("paths")) is not None:
+        add("path_has_one_edge_fewer_than_nodes", t.where("size(edges) <> size(nodes) - 1"), "path_id")
+    if (t := tables.get("budgets")) is not None:
+        add("budget_adds_up", t.where("consumed + remaining <> most"), "id")
+    if (t := tables.get("lists")) is not None:
+        add("list_is_unique_and_in_order", t.where(F.col("items") != F.array_sort(F.array_distinct("items"))), "list_id")
+    if (t := tables.get("changes")) is not None:
+        add("change_keeps_its_id", t.where("before_id <> after_id"), "change_id")
+    if (t := tables.get("statuses")) is not None:
+        order = F.transform("reasons", lambda r: F.array_position(_listed(REASON_ORDER), r))
+        add("reasons_are_unique_and_in_order", t.where(order != F.array_sort(F.array_distinct(order))), "id")
+        of = F.when(F.col("verdict") == "FRESH", _listed(())).when(F.col("verdict") == "DIRTY_KNOWN", _listed(("WORKING_TREE_DIRTY",))).when(F.col("verdict") == "STALE", _listed(STALE_REASONS)).otherwise(_listed(UNSEALED_REASONS))
+        lacking = (F.col("verdict") != "FRESH") & (F.size("reasons") == 0)
+        add("reasons_are_the_verdicts", t.where(lacking | (F.size(F.array_except("reasons", of)) > 0)), "id")
+        add("only_fresh_or_known_is_allowed", t.where(F.col("allowed") != F.col("verdict").isin("FRESH", "DIRTY_KNOWN")), "id")
+        add("only_unsealed_has_no_seal", t.where(~F.col("sealed") & (F.col("verdict") != "UNSEALED")), "id")
+        if "seals" in tables:
+            s = tables["seals"].select("id", F.col("verdict").alias("_v"), F.col("reasons").alias("_r"))
+            add("status_is_that_of_the_seal", t.where("sealed").join(s, "id").where((F.col("verdict") != F.col("_v")) | (F.array_join("reasons", ",") != F.col("_r"))), "id")
+    if (t := tables.get("coverages")) is not None:
+        add("covered_and_missing_are_disjoint", t.where(F.arrays_overlap("covered", "missing")), "id")
+    if (t := tables.get("terminals")) is not None:
+        fits = reduce(Column.__or__, ((F.col("status") == s) & (F.col("reason").isNull() if not rs else F.col("reason").isNotNull() & F.col("reason").isin(*rs)) for s, rs in TERMINAL_REASONS.items()))
+        add("reason_is_the_statuss", t.where(~F.coalesce(fits, F.lit(False))), "id")
+    if (t := tables.get("envelopes")) is not None:
+        add("stale_queries_refuse", t.where(F.col("verdict").isin("STALE", "UNSEALED") & ((F.col("status") != "refused") | ~F.array_contains("reasons", "INDEX_STALE"))), "id")
+        add("success_has_a_payload", t.where((F.col("status") == "success") & ~F.col("has_payload")), "id")
+    if (t := tables.get("digests")) is not None:
+        add("digest_is_recomputable", t.where(~F.col("stored").eqNullSafe(F.col("computed"))), "id")
     return reduce(DataFrame.unionByName, out)
 
 
+def evidence_set_digest(rows: DataFrame, by: str) -> DataFrame:
+    """(by, digest) of each group's references (kind, locator, digest): the hash of their canonical JSON, each once and in order."""
+    one = F.concat(F.lit('{"digest":'), json_text(F.col("digest")), F.lit(',"kind":'), json_text(F.col("kind")), F.lit(',"locator":'), json_text(F.col("locator")), F.lit("}"))
+    x = rows.select(by, "kind", "locator", "digest", one.alias("j")).distinct()
+    g = x.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "locator", "digest", "j"))), lambda r: r["j"]), ",").alias("j"))
+    return g.select(by, F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("["), "j", F.lit("]")), 256)).alias("digest"))

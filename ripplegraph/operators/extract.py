@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import normalize_path
 
-#: Folders that are never walked, and names that make a file a test.
+#: Folders that are never walked (a tool's own folder is the caller's to add), and names that make a file a test.
 IGNORED_FOLDERS = ["node_modules", ".git", "dist", "build", "coverage", ".turbo", ".next"]
 TEST_FOLDERS = ["test", "tests", "__tests__"]
+#: Patterns of names and imports that tell a file's role.
+CODE_NAME, TEST_NAME, DOCUMENT_NAME, SQL_NAME = r"\.(ts|tsx|mts|cts)$", r"\.(test|spec)\.(ts|tsx|mts|cts)$", r"\.mdx?$", r"\.sql$"
+TEST_IMPORT = "from\\s+[\"'](vitest|bun:test|node:test)[\"']"
 #: Patterns of a unified diff.
 OLD_FILE, NEW_FILE = r"^--- (?:a/(.+)|/dev/null)\s*$", r"^\+\+\+ (?:b/(.+)|/dev/null)\s*$"
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -21,9 +24,9 @@ FRONT_MATTER = r"\A---[^\S\n]*\n((?s:.*?\n)??)---[^\S\n]*(?:\n|\z)"
 CREATE_TABLE = r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"'`]?([A-Za-z0-9_]+)[\"'`]?"
 
 
-def is_excluded(path: Column, excludes: list[str]) -> Column:
+def is_excluded(path: Column, excludes: list[str], ignored: list[str] = IGNORED_FOLDERS) -> Column:
     """Whether a folder of the path is ignored, or the path holds an exclude pattern with its stars taken out."""
-    hit = F.arrays_overlap(F.split(path, "/"), F.array(*(F.lit(x) for x in IGNORED_FOLDERS)))
+    hit = F.arrays_overlap(F.split(path, "/"), F.array(*(F.lit(x) for x in ignored)))
     for e in excludes:
         hit = hit | F.contains(path, F.lit(e.replace("*", "")))
     return hit
@@ -33,14 +36,14 @@ def classify_path(path: Column, content: Column | None = None, migrations: tuple
     """migration, document, test, source or other, by name first; a test import in the content also makes a test."""
     parts = F.split(path, "/")
     any_of = lambda names: F.arrays_overlap(parts, F.array(*(F.lit(n) for n in names)))
-    code = path.rlike(r"\.(ts|tsx|mts|cts)$")
+    code = path.rlike(CODE_NAME)
     under = any_of(["migrations", "migration"])
     for m in migrations:
         under = under | F.startswith(path, F.lit(m))
-    test = path.rlike(r"\.(test|spec)\.(ts|tsx|mts|cts)$") | any_of(TEST_FOLDERS)
+    test = path.rlike(TEST_NAME) | any_of(TEST_FOLDERS)
     if content is not None:
-        test = test | F.coalesce(content.rlike("from\\s+[\"'](vitest|bun:test|node:test)[\"']"), F.lit(False))
-    return F.when(path.rlike(r"\.sql$") | (under & code), "migration").when(path.rlike(r"\.mdx?$"), "document").when(code & test, "test").when(code, "source").otherwise("other")
+        test = test | F.coalesce(content.rlike(TEST_IMPORT), F.lit(False))
+    return F.when(path.rlike(SQL_NAME) | (under & code), "migration").when(path.rlike(DOCUMENT_NAME), "document").when(code & test, "test").when(code, "source").otherwise("other")
 
 
 def parse_diffs(diffs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import normalize_path
-from ripplegraph.operators.versions import delivered_snapshots
+from ripplegraph.operators.versions import delivered_snapshots, evidence_id
 from ripplegraph.runtime import broadcast_if_small, checkpointed
 
 
@@ -16,8 +16,8 @@ def current_graph(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, proo
     """(nodes, edges) of each repository's latest delivered snapshot, one row per id, the latest delivered.
 
     Nodes get normalised paths, sets instead of nulls, and ``repo``. Rows are combined by id before the shuffle. Without
-    ``proofs`` there is neither evidence nor metadata, and nodes have start_line and end_line instead: of evidence only line
-    numbers are then read from the files.
+    ``proofs`` there is neither evidence nor metadata, and nodes have start_line, end_line, statement and deprecated instead:
+    of evidence only line numbers are then read from the files.
     """
     last = delivered_snapshots(snapshots, nodes).groupBy("repository_identity").agg(F.max(F.struct("captured_at", "snapshot_id")).alias("s"))
     last = broadcast_if_small(checkpointed(last.select(F.col("repository_identity").alias("repo"), "s.snapshot_id")))
@@ -28,8 +28,9 @@ def current_graph(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, proo
         return best.select("repo", "id", "x.*")
 
     if not proofs:
-        nodes = nodes.withColumns(dict(zip(("start_line", "end_line"), _lines(F.col("evidence.start_line"), F.col("evidence.end_line")), strict=True)))
-    facts = ["evidence", "metadata"] if proofs else ["start_line", "end_line"]
+        start, end = _lines(F.col("evidence.start_line"), F.col("evidence.end_line"))
+        nodes = nodes.withColumns({"start_line": start, "end_line": end, "statement": F.col("metadata")["statement"], "deprecated": is_deprecated(nodes)})
+    facts = ["evidence", "metadata"] if proofs else ["start_line", "end_line", "statement", "deprecated"]
     n = newest(nodes, ["kind", "name", "file_path", "bounded_context", "exported", "tags", *facts], ["kind", "name", "file_path"])
     n = n.withColumns({"file_path": normalize_path("file_path"), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
     e = newest(edges, ["kind", "from_id", "to_id", *facts[:1]] if proofs else ["kind", "from_id", "to_id"], ["kind", "from_id", "to_id"])
@@ -63,12 +64,34 @@ def _lines(starts: Column, ends: Column) -> tuple[Column, Column]:
     return start, F.when(start.isNotNull(), F.coalesce(F.array_max(both), start))
 
 
-def node_ranges(nodes: DataFrame) -> DataFrame:
-    """(id, start_line, end_line): first and last line over a node's evidence."""
+def evidence_records(rows: DataFrame) -> DataFrame:
+    """(id, file_path, start_line, end_line, source_kind, excerpt) of all evidence of ``rows`` (evidence, seq), one a id, the
+    first by seq and place in its list."""
+    e = rows.select("seq", F.posexplode("evidence").alias("pos", "e")).withColumn("id", evidence_id(F.col("e")))
+    return e.groupBy("id").agg(F.min_by("e", F.struct("seq", "pos")).alias("e")).select("id", normalize_path("e.file_path").alias("file_path"), "e.start_line", "e.end_line", "e.source_kind", "e.excerpt")
+
+
+def with_lines(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with start_line and end_line, the first and last line over their evidence."""
     if "start_line" in nodes.columns:
-        return nodes.select("id", "start_line", "end_line")
+        return nodes
     start, end = _lines(F.col("evidence.start_line"), F.col("evidence.end_line"))
-    return nodes.select("id", start.alias("start_line"), end.alias("end_line"))
+    return nodes.withColumns({"start_line": start, "end_line": end})
+
+
+def node_ranges(nodes: DataFrame) -> DataFrame:
+    return with_lines(nodes).select("id", "start_line", "end_line")
+
+
+def is_deprecated(nodes: DataFrame) -> Column:
+    """Whether a node says of itself that it is deprecated, by tag or metadata."""
+    if "deprecated" in nodes.columns:
+        return F.col("deprecated")
+    return F.coalesce(F.array_contains("tags", "deprecated"), F.lit(False)) | F.coalesce(F.col("metadata")["deprecated"] == "true", F.lit(False))
+
+
+def statement_of(nodes: DataFrame) -> Column:
+    return F.col("statement") if "statement" in nodes.columns else F.col("metadata")["statement"]
 
 
 def oriented(edges: DataFrame, kinds: list[str] | None = None, direction: str = "out") -> DataFrame:
@@ -130,8 +153,9 @@ def pagerank(adjacency: DataFrame, iterations: int = 30, damping: float = 0.85,
     Edges carry their source's degree and are hashed by source once; they stay so, in memory and on disk, and a round
     moves ranks and sums but no edges. Lineage of the ranks is cut by a checkpoint every few rounds.
     """
+    adjacency = checkpointed(adjacency)
     degree = adjacency.groupBy("src").agg(F.count("*").alias("degree"))
-    e = checkpointed(adjacency.join(degree, "src"))
+    e = adjacency.join(degree, "src")
     spread = int(adjacency.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = e.repartition(spread, "src").persist(StorageLevel.MEMORY_AND_DISK)
     rank = checkpointed(e.select(F.col("src").alias("node")).distinct())
@@ -140,8 +164,9 @@ def pagerank(adjacency: DataFrame, iterations: int = 30, damping: float = 0.85,
     for i in range(iterations):
         flow = e.join(rank, e["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("in"))
         rank = flow.select(F.col("dst").alias("node"), ((1 - damping) / count + damping * F.col("in")).alias("rank"))
-        if (i + 1) % cut_every == 0:
+        if (i + 1) % cut_every == 0 or i + 1 == iterations:
             rank = checkpointed(rank)
+    e.unpersist()
     return rank
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions.ids import edge_id, slugify
 from ripplegraph.functions.paths import normalize_path
 from ripplegraph.operators.extract import classify_path, extract_documents, extract_migrations, parse_markers
+from ripplegraph.runtime import stored
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<doc>/\*\*(?!/).*?\*/)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<name>[A-Za-z_$][\w$]*)"""
@@ -328,7 +329,7 @@ def index_repository(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]
     code = f.where("role in ('source', 'test')")
     own = F.when(F.col("role") == "test", F.concat(F.lit("test:"), "rel_path")).otherwise(F.concat(F.lit("mod:"), "rel_path"))
     mods = code.select("rel_path", "role", own.alias("id"))
-    x = extract_files(code).cache()
+    x = stored(extract_files(code))
 
     def ev(path, start, end, kind):  # noqa: ANN001, ANN202
         return F.array(F.struct(path.alias("file_path"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), kind.alias("source_kind"), F.lit(None).cast("string").alias("excerpt")))

@@ -9,7 +9,7 @@ from ripplegraph.operators import control as c
 from ripplegraph.operators.authored import capability_wiring as capability_wiring_of
 from ripplegraph.operators.refinement import parse_relations
 from ripplegraph.operators.retrieval import suite_scores as suite_scores_of
-from ripplegraph.plans.authored_queries import _model
+from ripplegraph.plans.authored_queries import LINKS, OWNERS, REFS, _model
 from ripplegraph.plans.graph_sql import GRAPH
 from ripplegraph.plans.impact_queries import graph
 from ripplegraph.runtime import read
@@ -42,14 +42,14 @@ def level_coverage(spark: SparkSession, d: str) -> DataFrame:
     return c.level_coverage(x.where("level <> 2"))
 
 
-_RELATIONS = """SELECT concat('r', p_partkey) AS id, CASE p_partkey % 3 WHEN 0 THEN 'decomposes_to' WHEN 1 THEN 'realizes' ELSE 'implements' END AS kind, concat('p', p_partkey) AS a, concat('p', (p_partkey * 7 + 1) % 997) AS b,
- CASE WHEN p_partkey % 23 = 0 THEN 'llm_inferred' ELSE 'human_declared' END AS epistemic_status FROM part"""
+_RELATIONS = """SELECT concat('r', l_orderkey, '-', l_linenumber) AS id, CASE l_linenumber % 3 WHEN 0 THEN 'decomposes_to' WHEN 1 THEN 'realizes' ELSE 'implements' END AS kind, concat('p', l_partkey) AS a, concat('p', (l_orderkey * 7 + l_linenumber) % 997) AS b,
+ CASE WHEN l_orderkey % 23 = 0 THEN 'llm_inferred' ELSE 'human_declared' END AS epistemic_status FROM lineitem"""
 
 
 def _refinement(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    r = _sql(spark, d, _RELATIONS, "part").withColumnRenamed("a", "source").withColumnRenamed("b", "target")
+    r = _sql(spark, d, _RELATIONS, "lineitem").withColumnRenamed("a", "source").withColumnRenamed("b", "target")
     ev = r.select(F.col("id").alias("relation_id"), F.explode(F.array("source", "target")).alias("digest"))
-    ok = ev.where("length(digest) % 5 <> 0").select("digest")
+    ok = ev.where("digest not like '%7'").select("digest")
     return _sql(spark, d, _CURRENT, "part"), c.certifying(r, ev, ok)
 
 
@@ -111,16 +111,30 @@ def freshness_class(spark: SparkSession, d: str) -> DataFrame:
     return c.classify_freshness(_sql(spark, d, _SEALS, "customer"), "clean")
 
 
-_ATTESTED = """SELECT concat('u', user_id % 40) AS subject, concat('o', event_id % 13) AS obligation, CASE event_id % 4 WHEN 0 THEN 'test_observed' WHEN 1 THEN 'human_declared' WHEN 2 THEN 'llm_inferred' ELSE 'statically_observed' END AS epistemic_status,
- ts AS observed_at, CASE WHEN event_id % 3 = 0 THEN '2024-01-02 00:00:00' ELSE '2024-01-20 12:00:00' END AS expires_at, CASE WHEN event_id % 50 = 0 THEN 'never' ELSE '2024-01-15 00:00:00' END AS evaluated_at FROM events WHERE event_type = 'purchase'"""
-_CLAUSES = [(f"o{i}", k, s) for i in range(13) for k, s in ((0, "test_observed"), (0, "statically_observed"), (1, "human_declared"))]
+_STATUSES = "['test_observed', 'human_declared', 'llm_inferred', 'statically_observed', 'dynamically_observed']"
+_ATTESTED = f"""SELECT concat('a', event_id) AS id, concat('u', user_id % 200) AS subject, {list(c.OBLIGATIONS)}[event_id % {len(c.OBLIGATIONS)} + 1] AS obligation, {_STATUSES}[user_id * 7 % 5 + 1] AS epistemic_status, CASE WHEN event_id % 7 = 0 THEN 'old' ELSE 'head' END AS commit_id,
+ CASE WHEN event_id % 11 = 0 THEN 'test' ELSE 'architecture' END AS reference_kind, event_id % 13 <> 0 AS non_llm, ts AS observed_at, CASE WHEN event_id % 3 = 0 THEN '2024-01-02 00:00:00' ELSE '2025-01-20 12:00:00' END AS expires_at,
+ CASE WHEN event_id % 50 = 0 THEN 'never' ELSE '2024-06-15 00:00:00' END AS evaluated_at FROM events"""
+
+
+def _attested(spark: SparkSession, d: str) -> DataFrame:
+    text = _ATTESTED
+    for listed in (str(list(c.OBLIGATIONS)), _STATUSES):  # lists are indexed from 1 in both engines, but spelled differently
+        text = text.replace(f"{listed}[", f"element_at(array({listed[1:-1]}), ", 1)
+    return spark.sql(text.replace(" + 1]", " + 1)").replace("FROM events", "FROM {t}"), t=read(spark, d, "events"))
 
 
 def obligation_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Obligations of subjects against attestations in force."""
-    a = c.attestations_in_force(_sql(spark, d, _ATTESTED, "events"))
-    clauses = spark.createDataFrame(_CLAUSES, "obligation string, clause int, status string")
-    return c.evaluate_obligations(a, clauses, a)
+    """Obligations of subjects by the published matrix, against attestations built from events: whether they hold, and why not."""
+    a = c.attestations_in_force(_attested(spark, d))
+    asked = a.select("subject", "obligation", F.lit("head").alias("commit_id"))
+    return c.evaluate_obligations(asked, c.sufficiency(spark), a).select("subject", "obligation", "satisfied", F.array_join("reasons", ",").alias("reasons"))
+
+
+def prerequisites(spark: SparkSession, d: str) -> DataFrame:
+    """Everything that the obligations of each subject ask for, directly or through others."""
+    a = _attested(spark, d)
+    return c.with_prerequisites(a.where("non_llm").select("subject", "obligation"))
 
 
 def integrity_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +190,12 @@ def suite_scores(spark: SparkSession, d: str) -> DataFrame:
     return suite_scores_of(x, 0.5).select("suite", F.round("mean_score", 6).alias("mean_score"), "n_tasks", "passed")
 
 
-_R = f"r0 AS ({_RELATIONS}), t AS ({_CURRENT}), r AS (SELECT * FROM r0 WHERE epistemic_status <> 'llm_inferred' AND length(a) % 5 <> 0 AND length(b) % 5 <> 0)"
+_PLANE = f"""WITH RECURSIVE {GRAPH}, o AS ({OWNERS}), {REFS}, lks AS ({LINKS}), am AS (SELECT id, kind FROM o WHERE kind <> 'change'),
+co AS (SELECT 'repo:' || id id, kind k FROM n UNION SELECT 'semantic:' || id, kind FROM am),
+lt AS (SELECT owner_id, lks.kind, n.id FROM lks JOIN n ON n.file_path = lks.ref WHERE lks.kind = 'file' UNION ALL SELECT owner_id, kind, ref FROM lks WHERE kind NOT IN ('file', 'claim', 'evidence')),
+se AS (SELECT f, t, relation FROM (SELECT 'repo:' || from_id f, 'repo:' || to_id t, kind relation FROM e UNION SELECT 'semantic:' || id, 'semantic:' || ref, field FROM r WHERE id IN (SELECT id FROM am) UNION SELECT 'repo:' || id, 'semantic:' || owner_id, 'repository_link:' || kind FROM lt)
+  WHERE f IN (SELECT id FROM co) AND t IN (SELECT id FROM co))"""
+_R = f"r0 AS ({_RELATIONS}), t AS ({_CURRENT}), r AS (SELECT * FROM r0 WHERE epistemic_status <> 'llm_inferred' AND a NOT LIKE '%7' AND b NOT LIKE '%7')"
 _STEP = "{0} AS (SELECT r.id rid, CASE WHEN {1} THEN a ELSE b END src, CASE WHEN {1} THEN b ELSE a END dst FROM r), {0}1 AS (SELECT {0}.* FROM {0} JOIN t x ON x.id = src JOIN t y ON y.id = dst WHERE y.level - x.level = {2})"
 _LIFT = f"{_R}, {_STEP.format('u', 'kind <> ' + repr('decomposes_to'), 1)}, p AS (SELECT t.id AS source, t.id || '>' || a.dst || '>' || b.dst AS path, [t.id, a.dst, b.dst] ids, a.rid || ',' || b.rid o FROM t JOIN u1 a ON a.src = t.id JOIN u1 b ON b.src = a.dst WHERE t.level = 1)"
 SQL = {
@@ -191,13 +210,25 @@ SELECT coalesce(a.f, b.f) AS from_id, coalesce(a.t, b.t) AS to_id, coalesce(a.r,
     "refinement_missing": f"WITH {_LIFT}, f AS (SELECT source, arg_min(ids, o) ids FROM p GROUP BY 1), h AS (SELECT source, level FROM (SELECT source, unnest(ids) id FROM f) JOIN t USING (id)) SELECT source, CAST(l AS INTEGER) AS level FROM f, range(5) x(l) WHERE (source, l) NOT IN (SELECT (source, CAST(level AS BIGINT)) FROM h)",
     "impact_reach": f"""WITH RECURSIVE {GRAPH}, u AS (SELECT DISTINCT from_id src, to_id dst FROM e WHERE kind IN {c.IMPACT_RELATIONS}), s AS (SELECT repo source_set, id FROM n WHERE kind = 'function' AND list_contains(tags, 'critical')),
 w AS (SELECT source_set, id, 0 depth FROM s UNION SELECT source_set, u.dst, depth + 1 FROM w JOIN u ON u.src = w.id WHERE depth < 8) SELECT source_set, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0""",
+    "impact_paths": f"""WITH RECURSIVE {GRAPH}, u AS (SELECT DISTINCT from_id src, to_id dst FROM e WHERE kind IN {c.IMPACT_RELATIONS}), s AS (SELECT repo source_set, id FROM n WHERE kind = 'function' AND list_contains(tags, 'critical')),
+w AS (SELECT source_set, id, 0 depth FROM s UNION SELECT source_set, u.dst, depth + 1 FROM w JOIN u ON u.src = w.id WHERE depth < 8), b AS (SELECT source_set, id, min(depth) depth FROM w GROUP BY 1, 2),
+p AS (SELECT source_set, id tail, [id] p FROM s UNION ALL SELECT p.source_set, u.dst, list_append(p.p, u.dst) FROM p JOIN b ON b.source_set = p.source_set AND b.id = p.tail AND b.depth = len(p.p) - 1 JOIN u ON u.src = p.tail WHERE len(p.p) <= 8 AND NOT list_contains(p.p, u.dst))
+SELECT source_set, tail AS id, array_to_string(p, '>') AS path FROM p WHERE (source_set, tail) NOT IN (SELECT (source_set, id) FROM s) QUALIFY row_number() OVER (PARTITION BY source_set, tail ORDER BY len(p), array_to_string(p, chr(0))) <= 2""",
+    "coordinate_graph": f"{_PLANE} SELECT 'coordinate' AS what, k AS name, count(*) AS n FROM co GROUP BY 2 UNION ALL SELECT 'edge', relation, count(*) FROM se GROUP BY 2",
+    "explain_why": f"""{_PLANE}, y AS (SELECT 'semantic:' || id id FROM am WHERE kind <> 'decision'), x AS (SELECT DISTINCT f, t FROM se WHERE relation IN {c.RATIONALE}),
+p AS (SELECT 'semantic:' || id AS source, 'semantic:' || id AS tail, ['semantic:' || id] p FROM am UNION ALL SELECT source, x.t, list_append(p.p, x.t) FROM p JOIN x ON x.f = p.tail WHERE p.tail NOT IN (FROM y) AND len(p.p) <= 8 AND NOT list_contains(p.p, x.t))
+SELECT source, tail AS rationale, array_to_string(p, '>') AS path FROM p WHERE tail IN (FROM y) AND len(p) = (SELECT min(len(q.p)) FROM p q WHERE q.source = p.source AND q.tail = p.tail)""",
     "freshness_class": f"""WITH s AS ({_SEALS}), x AS (SELECT *, indexed_root IS NULL OR indexed_graph_hash IS NULL miss, list_filter([CASE WHEN head IS NULL OR indexed_head IS NULL OR diff_hash IS NULL THEN 'GIT_STATE_UNAVAILABLE' END, CASE WHEN store_version IS NULL THEN 'STORE_SCHEMA_UNAVAILABLE' END], lambda v: v IS NOT NULL) un,
  list_filter([{', '.join(f"CASE WHEN {a} IS DISTINCT FROM {b} THEN '{r}' END" for r, a, b in c.MISMATCHES)}], lambda v: v IS NOT NULL) mm FROM s)
 SELECT seal_id, CASE WHEN miss OR len(un) > 0 THEN 'UNSEALED' WHEN len(mm) > 0 THEN 'STALE' WHEN diff_hash = 'clean' THEN 'FRESH' ELSE 'DIRTY_KNOWN' END AS verdict,
  CASE WHEN miss THEN 'INDEX_SNAPSHOT_MISSING' WHEN len(un) > 0 THEN array_to_string(un, ',') WHEN len(mm) > 0 THEN array_to_string(mm, ',') WHEN diff_hash = 'clean' THEN '' ELSE 'WORKING_TREE_DIRTY' END AS reasons FROM x""",
-    "obligation_eval": f"""WITH a AS ({_ATTESTED}), f AS (SELECT DISTINCT subject, obligation, epistemic_status s FROM a WHERE observed_at <= try_cast(evaluated_at AS TIMESTAMP) AND try_cast(evaluated_at AS TIMESTAMP) <= CAST(expires_at AS TIMESTAMP)),
-k AS (SELECT subject, obligation, bool_or(s IN ('test_observed', 'statically_observed')) c0, bool_or(s = 'human_declared') c1 FROM (SELECT DISTINCT subject, obligation FROM a) LEFT JOIN f USING (subject, obligation) GROUP BY 1, 2)
-SELECT subject, obligation, coalesce(c0, false) AND coalesce(c1, false) AS satisfied, CAST(CASE WHEN coalesce(c0, false) THEN 0 ELSE 1 END + CASE WHEN coalesce(c1, false) THEN 0 ELSE 1 END AS BIGINT) AS n_missing FROM k""",
+    "obligation_eval": f"""WITH a AS ({_ATTESTED}), m AS (SELECT * FROM (VALUES {', '.join(str(r) for r in c.MATRIX)}) t(obligation, clause, status, kinds)),
+q AS (SELECT DISTINCT subject, obligation FROM a), v AS (SELECT *, coalesce(observed_at <= try_cast(evaluated_at AS TIMESTAMP) AND try_cast(evaluated_at AS TIMESTAMP) <= CAST(expires_at AS TIMESTAMP), false) fresh, epistemic_status <> 'llm_inferred' sure FROM a),
+k AS (SELECT subject, obligation, bool_or(commit_id = 'head') at_head, bool_or(commit_id = 'head' AND sure) sure_head, bool_or(commit_id = 'head' AND sure AND fresh) fresh_head, bool_or(commit_id = 'head' AND sure AND fresh AND non_llm) usable FROM v GROUP BY 1, 2),
+s AS (SELECT subject, obligation, bool_and(met) ok FROM (SELECT q.subject, q.obligation, clause, bool_or(coalesce(v.commit_id = 'head' AND fresh AND sure AND non_llm AND v.epistemic_status = m.status AND (m.kinds = '' OR m.kinds = v.reference_kind), false)) met
+  FROM q JOIN m USING (obligation) LEFT JOIN v ON v.subject = q.subject AND v.obligation = q.obligation GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT subject, obligation, ok AS satisfied, CASE WHEN ok THEN '' WHEN NOT at_head THEN 'proof_commit_mismatch' WHEN sure_head AND NOT fresh_head THEN 'proof_stale' ELSE 'proof_epistemically_insufficient' END AS reasons FROM k JOIN s USING (subject, obligation)""",
+    "prerequisites": f"""WITH a AS ({_ATTESTED}) SELECT DISTINCT subject, obligation FROM a WHERE non_llm UNION SELECT subject, unnest({list(c.BEFORE_DELETION)}) FROM a WHERE non_llm AND obligation = 'deletion_approved'""",
     "capability_wiring": f"""WITH {GRAPH} SELECT i.to_id AS capability, coalesce(array_to_string(list_sort(list(DISTINCT b.to_id) FILTER (b.to_id IS NOT NULL)), ','), '') AS invariants, coalesce(array_to_string(list_sort(list(DISTINCT n.bounded_context) FILTER (n.bounded_context IS NOT NULL)), ','), '') AS contexts
 FROM e i LEFT JOIN e b ON b.kind = 'constrained_by' AND b.from_id = i.from_id LEFT JOIN n ON n.id = i.from_id WHERE i.kind = 'implements_capability' GROUP BY 1""",
     "relation_parse": """SELECT p_brand AS file, concat('r.', p_partkey) AS id, CASE WHEN p_partkey % 2 = 0 THEN 'realizes' ELSE 'decomposes_to' END AS kind, concat('size ', p_size) AS target, 'sha256:' || sha256(CAST(p_partkey AS VARCHAR)) AS digest FROM part WHERE p_partkey % 10 <> 3
@@ -210,6 +241,6 @@ UNION ALL SELECT 'step_depends_on_the_one_before', CAST(o_orderkey AS VARCHAR) F
 UNION ALL SELECT 'path_has_one_edge_fewer_than_nodes', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 37 = 0 AND p_size % 4 + 1 <> 1 UNION ALL SELECT 'list_is_unique_and_in_order', CAST(p_partkey AS VARCHAR) FROM part WHERE p_brand >= p_type UNION ALL SELECT 'change_keeps_its_id', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 53 = 0""",
 }
 QUERIES = {q.__name__: q for q in (
-    snapshot_diff, relation_diff, level_coverage, certifying_relations, refinement_lift, refinement_lower, refinement_missing, impact_paths, impact_reach, coordinate_graph, freshness_class, obligation_eval, integrity_violations, explain_why, coordinate_fingerprint,
+    snapshot_diff, relation_diff, level_coverage, certifying_relations, refinement_lift, refinement_lower, refinement_missing, impact_paths, impact_reach, coordinate_graph, freshness_class, obligation_eval, prerequisites, integrity_violations, explain_why, coordinate_fingerprint,
     capability_wiring, relation_parse, suite_scores,
 )}

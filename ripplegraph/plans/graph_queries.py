@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.scoring import POLICIES
+from ripplegraph.functions.scoring import POLICIES, by_status
 from ripplegraph.operators import claims as cl
 from ripplegraph.operators import cochange, retrieval
 from ripplegraph.operators import graph as g
 from ripplegraph.operators.context import MAX_HOPS
 from ripplegraph.operators.context import REACHING as _REACHABILITY
-from ripplegraph.plans.graph_sql import GRAPH, HUNKS, PATH
-from ripplegraph.plans.impact_queries import graph
+from ripplegraph.plans.graph_sql import CLAIM_ID, DIFF_CO_CHANGE, GRAPH, NINE_CLAIMS, PATH, SEEDED_GRAPH
+from ripplegraph.plans.impact_queries import graph, seeded
 from ripplegraph.runtime import checkpointed, read
 
 _G = f"WITH {GRAPH}"
@@ -107,12 +107,12 @@ def edge_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def claims_build(spark: SparkSession, d: str) -> DataFrame:
     """Claims derived from the graph, with status and confidence."""
-    c = cl.build_claims(*graph(spark, d, proofs=True))
+    c = cl.build_claims(*graph(spark, d, proofs=True, keep=True))
     return c.select("kind", "statement", F.array_join(F.array_sort("subject_node_ids"), ",").alias("subjects"), "verification_status", F.round("confidence", 6).alias("confidence"), F.size("evidence_ids").cast("long").alias("n_evidence"))
 
 
 _LIST = "coalesce(list_transform(evidence, lambda r: struct_pack(i := concat('ev:', r.source_kind, ':', " + PATH.format("r.file_path") + ", ':', coalesce(r.start_line, 0), ':', coalesce(r.end_line, 0)), k := r.source_kind)), [])"
-_CLAIMS = f"""{_G}, p AS (SELECT id s, {_LIST} p FROM n), t AS (SELECT DISTINCT from_id s FROM e WHERE kind = 'tested_by'),
+CLAIMS = f"""{_G}, p AS (SELECT id s, {_LIST} p FROM n), t AS (SELECT DISTINCT from_id s FROM e WHERE kind = 'tested_by'),
 l AS (SELECT i.id, i.kind, e.from_id o, e.id eid FROM n i JOIN e ON e.to_id = i.id AND e.kind = CASE i.kind WHEN 'invariant' THEN 'constrained_by' ELSE 'implements_capability' END WHERE i.kind IN ('invariant', 'capability')),
 g AS (SELECT id, count(*) k, bool_or(o IN (FROM t)) tested, list(o ORDER BY eid) o FROM l GROUP BY 1),
 c AS (SELECT 'invariant' kind, coalesce(metadata['statement'], 'Invariant: ' || name) statement, list_concat([id], coalesce(o, [])) subj, CASE WHEN tested THEN 'tested' WHEN list_contains(tags, 'from-doc') THEN 'documented' ELSE 'inferred' END st FROM n LEFT JOIN g USING (id) WHERE kind = 'invariant'
@@ -121,19 +121,14 @@ c AS (SELECT 'invariant' kind, coalesce(metadata['statement'], 'Invariant: ' ||
 q AS (SELECT c.*, list_sort(list_distinct(subj)) ds, row_number() OVER () rn FROM c),
 v AS (SELECT rn, list_distinct(flatten(list(p.p))) ev FROM (SELECT rn, unnest(ds) s FROM q) u JOIN p USING (s) GROUP BY 1)
 """
-_STATUS = "CASE st WHEN 'statically_verified' THEN {} WHEN 'tested' THEN {} WHEN 'documented' THEN {} ELSE {} END"
-_CONFIDENCE = f"0.5 * {_STATUS.format(0.95, 0.85, 0.6, 0.4)} + 0.3 * {_STATUS.format(0.9, 0.85, 0.7, 0.6)} + 0.2 * least(1.0, coalesce(len(list_distinct(list_transform(ev, lambda x: x.k))), 0) / 3)"
-CLAIMS_SQL = f"""{_CLAIMS} SELECT kind, statement, array_to_string(ds, ',') AS subjects, st AS verification_status, round(CAST({_CONFIDENCE} AS DOUBLE), 6) AS confidence, CAST(coalesce(len(list_distinct(list_transform(ev, lambda x: x.i))), 0) AS BIGINT) AS n_evidence FROM q LEFT JOIN v USING (rn)"""
+STATUS = "CASE st WHEN 'statically_verified' THEN {} WHEN 'tested' THEN {} WHEN 'documented' THEN {} ELSE {} END"
+_CONFIDENCE = f"0.5 * {STATUS.format(0.95, 0.85, 0.6, 0.4)} + 0.3 * {STATUS.format(0.9, 0.85, 0.7, 0.6)} + 0.2 * least(1.0, coalesce(len(list_distinct(list_transform(ev, lambda x: x.k))), 0) / 3)"
+CLAIMS_SQL = f"""{CLAIMS} SELECT kind, statement, array_to_string(ds, ',') AS subjects, st AS verification_status, round(CAST({_CONFIDENCE} AS DOUBLE), 6) AS confidence, CAST(coalesce(len(list_distinct(list_transform(ev, lambda x: x.i))), 0) AS BIGINT) AS n_evidence FROM q LEFT JOIN v USING (rn)"""
 
 
 _HIT = "m AS (SELECT id FROM n WHERE contains(lower(name), 'ledger') OR contains(lower(id), 'ledger'))"
 _SEEDS = "sd AS (SELECT repo seed_set, min(id) id FROM n WHERE kind = 'module' GROUP BY 1)"
-_FNV = "printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))"
-_SLUG = "left(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40)"
-_CLAIM_ID = f"concat('claim:', kind, ':', {_SLUG.format('statement')}, '-', {_FNV.format("array_to_string(subj, '|') || '::' || statement")})"
-
-
-def _oriented(kinds: str) -> str:
+def oriented_sql(kinds: str) -> str:
     return f"u AS (SELECT from_id src, to_id dst FROM e WHERE kind IN {kinds} UNION SELECT to_id, from_id FROM e WHERE kind IN {kinds})"
 
 
@@ -141,32 +136,40 @@ def _scores_sql(preferred: list[str], required: list[str] | None, disallowed: li
     """Gates and scores of the claims q, with hops over the reference's edges from the nodes that ``seeds`` selects."""
     n = len(preferred)
     fit = " ".join(f"WHEN '{k}' THEN {1 - i / n * 0.3}" for i, k in enumerate(preferred))
-    strength = _STATUS.format(1.0, 0.85, 0.5, 0.3)
+    strength = STATUS.format(1.0, 0.85, 0.5, 0.3)
     within = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-    return f"""{_CLAIMS.replace('WITH', 'WITH RECURSIVE', 1)}, {_oriented(tuple(_REACHABILITY))}, sd AS ({seeds}), w AS (SELECT id, 0 hop FROM sd UNION SELECT u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < {hops}),
+    return f"""{CLAIMS.replace('WITH', 'WITH RECURSIVE', 1)}, {oriented_sql(tuple(_REACHABILITY))}, sd AS ({seeds}), w AS (SELECT id, 0 hop FROM sd UNION SELECT u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < {hops}),
 h AS (SELECT id, min(hop) hop FROM w GROUP BY 1), f AS (SELECT rn, bool_or(n.kind IN ('module', 'function', 'class', 'interface', 'type', 'enum')) code, min(hop) hop FROM (SELECT rn, unnest(ds) s FROM q) u JOIN n ON n.id = u.s LEFT JOIN h ON h.id = u.s GROUP BY 1),
-z AS (SELECT {_CLAIM_ID} AS id, kind, CAST(hop AS INTEGER) AS hop, st NOT IN {within(disallowed)} AS status_allowed, {'true' if required is None else f'st IN {within(required)}'} AS sufficient, NOT coalesce(code, false) OR NOT EXISTS (FROM sd) OR hop IS NOT NULL AS reachable,
- 0.25 * CASE kind {fit} ELSE 0.3 END + 0.25 * {_STATUS.format(0.95, 0.85, 0.6, 0.4)} + 0.15 * CASE WHEN hop IS NOT NULL THEN 1.0 / (1 + hop) WHEN code THEN 0 ELSE 0.3 END + 0.2 * {strength} + 0.15 * {_STATUS.format(0.9, 0.85, 0.7, 0.6)} AS raw FROM q LEFT JOIN f USING (rn)),
+z AS (SELECT {CLAIM_ID} AS id, kind, CAST(hop AS INTEGER) AS hop, st NOT IN {within(disallowed)} AS status_allowed, {'true' if required is None else f'st IN {within(required)}'} AS sufficient, NOT coalesce(code, false) OR NOT EXISTS (FROM sd) OR hop IS NOT NULL AS reachable,
+ 0.25 * CASE kind {fit} ELSE 0.3 END + 0.25 * {STATUS.format(0.95, 0.85, 0.6, 0.4)} + 0.15 * CASE WHEN hop IS NOT NULL THEN 1.0 / (1 + hop) WHEN code THEN 0 ELSE 0.3 END + 0.2 * {strength} + 0.15 * {STATUS.format(0.9, 0.85, 0.7, 0.6)} AS raw FROM q LEFT JOIN f USING (rn)),
 y AS (SELECT *, status_allowed AND sufficient AND reachable AS eligible, CASE WHEN status_allowed AND sufficient AND reachable THEN CAST(raw AS DOUBLE) ELSE 0.0 END AS score FROM z)"""
 
 
 def claim_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of all claims."""
-    return cl.build_claims(*graph(spark, d, proofs=True)).select("id", "kind", "statement")
+    return cl.claim_rows(*graph(spark, d, keep=True)).select("id", "kind", "statement")
 
 
 def claim_scores(spark: SparkSession, d: str) -> DataFrame:
     """Gates and scores of all claims for a security question from the tagged entry points."""
-    n, e = graph(spark, d, proofs=True)
+    n, e = graph(spark, d, proofs=True, keep=True)
     seeds = n.where(F.array_contains("tags", "security") & (F.col("kind") == "function")).select(F.lit("all").alias("seed_set"), "id")
     hops = g.bfs(n, g.oriented(e, _REACHABILITY, "both"), seeds, MAX_HOPS).select("id", "hop")
     x = cl.evaluate_claims(checkpointed(cl.build_claims(n, e)), n, hops, "security")
     return x.select("id", "kind", "eligible", F.round("score", 6).alias("score"), "hop", "status_allowed", "sufficient", "reachable")
 
 
+def contradiction_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Claims that are not normative, the surest first, over the graph with what the tables lack."""
+    n, e, _ = seeded(spark, d)
+    st = F.col("verification_status")
+    c = cl.claim_rows(n, e).select("id", "kind", "statement", st, by_status(st, 0).alias("confidence"))
+    return cl.ranked_contradictions(c).select("pos", "id", "verification_status")
+
+
 def authoritative_claims(spark: SparkSession, d: str) -> DataFrame:
     """The 10 best claims for a question about business rules."""
-    n, e = graph(spark, d, proofs=True)
+    n, e = graph(spark, d, proofs=True, keep=True)
     x = cl.evaluate_claims(checkpointed(cl.build_claims(n, e)), n, spark.createDataFrame([], "id string, hop int"), "business_rule")
     return x.where("eligible").orderBy(F.desc(F.round("score", 9)), "id").limit(10).select("id", "kind", F.round("score", 6).alias("score"))
 
@@ -224,15 +227,15 @@ s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) pos FROM s WHERE score > 0 {{skip}})"""
 
 
-def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, d, "documents")
     ranks = retrieval.bm25(docs, _queries(docs), 20, skip_self=True)
-    own = docs.where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("repository_identity").alias("r"), F.col("source").alias("s"))
-    other = docs.select("doc_id", "repository_identity", "source")
-    met = ranks.join(own, "query_id").join(other, "doc_id")
-    same = met.where("r = repository_identity").select("query_id", "doc_id")
-    all_same = own.join(docs.where("source is not null"), (F.col("r") == F.col("repository_identity")) & (F.col("s") == F.col("source"))).where("query_id <> doc_id").select("query_id", "doc_id")
-    return ranks, all_same, same
+    place = docs.select("doc_id", F.col("repository_identity").alias("r"), F.col("source").alias("s"))
+    own = docs.where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("repository_identity").alias("q_r"), F.col("source").alias("q_s"))
+    met = ranks.join(own, "query_id").join(place, "doc_id")
+    met = met.select("query_id", "doc_id", "pos", ((F.col("q_r") == F.col("r")) & (F.col("q_s") == F.col("s"))).alias("hit"), (F.col("q_r") == F.col("r")).alias("close"))
+    sizes = place.groupBy(F.col("r").alias("q_r"), F.col("s").alias("q_s")).agg((F.count("*") - 1).alias("n_truth"))
+    return met, own.join(sizes, ["q_r", "q_s"]).select("query_id", "n_truth")
 
 
 def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +278,7 @@ def known_slug_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WORDS = "SELECT DISTINCT doc_id task_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) w FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL"
-_STOP = "(" + ", ".join(f"'{w}'" for w in retrieval.STOPWORDS) + ")"
+STOP = "(" + ", ".join(f"'{w}'" for w in retrieval.STOPWORDS) + ")"
 
 
 def task_caps(spark: SparkSession, d: str) -> DataFrame:
@@ -302,7 +305,7 @@ SQL = {
     "kind_counts": f"{_G} SELECT 'node' AS what, kind, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT 'edge', kind, count(*) FROM e GROUP BY ALL",
     "neighbors": f"""{_G}, o AS (SELECT DISTINCT from_id a, to_id b FROM e WHERE kind = 'calls'), u AS (SELECT a, b FROM o UNION SELECT b, a FROM o)
 SELECT a AS id, (SELECT count(*) FROM o WHERE o.a = u.a) AS n_out, (SELECT count(*) FROM o WHERE o.b = u.a) AS n_in, count(*) AS n_both FROM u GROUP BY u.a""",
-    "bfs_distances": f"WITH RECURSIVE {GRAPH}, {_oriented(_KINDS)}, {_SEEDS}, w AS (SELECT seed_set, id, 0 hop FROM sd UNION SELECT seed_set, u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < 4) SELECT seed_set, id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1, 2",
+    "bfs_distances": f"WITH RECURSIVE {GRAPH}, {oriented_sql(_KINDS)}, {_SEEDS}, w AS (SELECT seed_set, id, 0 hop FROM sd UNION SELECT seed_set, u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < 4) SELECT seed_set, id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1, 2",
     "reachable_out": f"WITH RECURSIVE {GRAPH}, u AS (SELECT DISTINCT from_id src, to_id dst FROM e WHERE kind IN ('imports', 'calls', 'declares')), {_SEEDS}, w AS (SELECT seed_set, id, 0 hop FROM sd UNION SELECT seed_set, u.dst, hop + 1 FROM w JOIN u ON u.src = w.id JOIN n ON n.id = u.dst WHERE hop < 8) SELECT seed_set, id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1, 2",
     "call_paths": f"{_PATHS} SELECT start, array_to_string(p, ' -> ') AS path, CAST(len(p) AS INTEGER) AS n_nodes FROM pp",
     "impact_path_top": f"{_PATHS}, k AS (SELECT repo, array_to_string(p, ',') path, CAST(len(p) AS INTEGER) n_nodes FROM pp JOIN n ON n.id = pp.start) SELECT repo, path, n_nodes, CAST(row_number() OVER (PARTITION BY repo ORDER BY n_nodes DESC, path) AS INTEGER) AS pos FROM k QUALIFY pos <= 6",
@@ -311,24 +314,23 @@ SELECT a AS id, (SELECT count(*) FROM o WHERE o.a = u.a) AS n_out, (SELECT count
     "node_merge": "SELECT id, CAST(sum(coalesce(len(evidence), 0)) AS BIGINT) AS n_evidence, coalesce(array_to_string(list_sort(list_distinct(flatten(list(coalesce(tags, []))))), ','), '') AS tags, coalesce(bool_or(exported), false) AS exported FROM nodes WHERE id IS NOT NULL GROUP BY id",
     "edge_merge": "SELECT kind, from_id, to_id, CAST(sum(coalesce(len(evidence), 0)) AS BIGINT) AS n_evidence FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL GROUP BY 1, 2, 3",
     "claims_build": CLAIMS_SQL,
-    "claim_ids": f"{_CLAIMS} SELECT {_CLAIM_ID} AS id, kind, statement FROM q",
+    "claim_ids": f"{CLAIMS} SELECT {CLAIM_ID} AS id, kind, statement FROM q",
     "claim_scores": _scores_sql(*POLICIES["security"], "SELECT id FROM n WHERE kind = 'function' AND list_contains(tags, 'security')", MAX_HOPS) + " SELECT id, kind, eligible, round(score, 6) AS score, hop, status_allowed, sufficient, reachable FROM y",
+    "contradiction_ranks": f"WITH {SEEDED_GRAPH}, {NINE_CLAIMS}, k AS (SELECT {CLAIM_ID} AS id, st FROM c WHERE st IN ('deprecated', 'contradicted')) SELECT row_number() OVER (ORDER BY st, id) AS pos, id, st AS verification_status FROM k",
     "authoritative_claims": _scores_sql(*POLICIES["business_rule"], "SELECT id FROM n WHERE false", 1) + " SELECT id, kind, round(score, 6) AS score FROM y WHERE eligible ORDER BY round(y.score, 9) DESC, id LIMIT 10",
-    "lexical_name_rank": f"""{_G}, q AS (SELECT DISTINCT doc_id task_id, unnest({_TOK.format('text')}) w FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL), k AS (SELECT * FROM q WHERE length(w) >= 4 AND w NOT IN {_STOP}),
+    "lexical_name_rank": f"""{_G}, q AS (SELECT DISTINCT doc_id task_id, unnest({_TOK.format('text')}) w FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL), k AS (SELECT * FROM q WHERE length(w) >= 4 AND w NOT IN {STOP}),
 p AS (SELECT DISTINCT file_path, id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^A-Za-z0-9]+'), lambda t: t <> '')) part FROM n WHERE file_path IS NOT NULL),
 a AS (SELECT DISTINCT task_id, file_path, w, id FROM k JOIN p ON starts_with(part, w)), b AS (SELECT task_id, file_path, w FROM k JOIN (SELECT DISTINCT file_path, lower(string_split(file_path, '/')[-1]) base FROM n WHERE file_path IS NOT NULL) ON contains(base, w))
 SELECT task_id, file_path, count(*) AS hits FROM (SELECT task_id, file_path FROM a UNION ALL SELECT task_id, file_path FROM b) GROUP BY 1, 2""",
     "co_change_pairs_raw": f"{_CO} SELECT * FROM p",
     "co_change": f"{_CO} SELECT *, CAST(row_number() OVER (PARTITION BY repo, file ORDER BY commits DESC, co_file) AS INTEGER) AS pos FROM p WHERE commits >= 2 QUALIFY pos <= 8",
-    "diff_co_change": f"""WITH c AS (SELECT DISTINCT repository_identity repo, commit_id, {PATH.format('file')} f FROM commit_files WHERE commit_id IS NOT NULL AND file IS NOT NULL), d AS (SELECT DISTINCT diff_id, {PATH.format('file_path')} f FROM hunks),
-p AS (SELECT a.repo, a.f AS file, b.f AS co_file, count(*) AS commits FROM c a JOIN c b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.f <> b.f WHERE a.f IN (SELECT f FROM d) GROUP BY 1, 2, 3)
-SELECT diff_id, repo, file, co_file, commits, CAST(row_number() OVER (PARTITION BY diff_id, repo, file ORDER BY commits DESC, co_file) AS INTEGER) AS pos FROM d JOIN p ON p.file = d.f WHERE commits >= 2 AND (diff_id, co_file) NOT IN (SELECT (diff_id, f) FROM d) QUALIFY pos <= 8""",
+    "diff_co_change": f"WITH {DIFF_CO_CHANGE} SELECT * FROM dco",
     "name_status_parse": f"""WITH c AS (SELECT DISTINCT repository_identity log_id, commit_id, {PATH.format('file')} f FROM commit_files WHERE commit_id IS NOT NULL AND file IS NOT NULL),
 x AS (SELECT log_id, commit_id, f FROM c UNION SELECT log_id, commit_id, 'old/' || f FROM c WHERE length(f) % 5 = 0) SELECT log_id, f AS file, count(*) AS commits FROM x GROUP BY 1, 2""",
     "bm25_topk": f"{_BM25.format(skip='')} SELECT query_id, doc_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM r WHERE pos <= 10",
     "recall_mrr": f"{_SCORES} SELECT query_id, round(recall_5, 6) AS recall_5, round(recall_10, 6) AS recall_10, round(recall_20, 6) AS recall_20, round(reciprocal_rank, 6) AS reciprocal_rank, round(false_10, 6) AS false_10 FROM z",
     "retrieval_means": f"{_SCORES} SELECT round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(recall_20), 6) AS recall_20, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(false_10), 6) AS false_10, count(*) AS n_queries FROM z",
-    "lexical_entrypoints": f"""{_G}, q AS (SELECT * FROM ({_WORDS}) WHERE length(w) >= 4 AND w NOT IN {_STOP}), y AS (SELECT DISTINCT w FROM q), hit AS (SELECT w, id FROM y JOIN n ON contains(lower(concat_ws(' ', name, coalesce(file_path, ''))), w) WHERE kind IN ('function', 'class', 'interface', 'type', 'enum')),
+    "lexical_entrypoints": f"""{_G}, q AS (SELECT * FROM ({_WORDS}) WHERE length(w) >= 4 AND w NOT IN {STOP}), y AS (SELECT DISTINCT w FROM q), hit AS (SELECT w, id FROM y JOIN n ON contains(lower(concat_ws(' ', name, coalesce(file_path, ''))), w) WHERE kind IN ('function', 'class', 'interface', 'type', 'enum')),
 x AS (SELECT DISTINCT task_id, id FROM q JOIN hit USING (w)) SELECT task_id, id FROM x QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY id) <= 25""",
     "known_slug_match": f"""{_G}, q AS ({_WORDS}), s AS (SELECT DISTINCT regexp_replace(id, '^cap:', '') slug FROM n WHERE kind = 'capability'), p AS (SELECT slug, unnest(string_split(slug, '-')) p FROM s)
 SELECT DISTINCT task_id, slug FROM q JOIN p ON starts_with(q.w, p.p) WHERE length(p.p) >= 4""",
@@ -338,6 +340,6 @@ SELECT type, seq, item FROM r ORDER BY w DESC, seq LIMIT 16""",
     "inspect_relations": f"{_G}, {_HIT} SELECT e.kind AS kind, from_id, to_id, coalesce(a.name, from_id) AS from_name, coalesce(b.name, to_id) AS to_name FROM e LEFT JOIN n a ON a.id = from_id LEFT JOIN n b ON b.id = to_id WHERE from_id IN (FROM m) OR to_id IN (FROM m)",
 }
 QUERIES = {q.__name__: q for q in (
-    kind_counts, neighbors, bfs_distances, reachable_out, call_paths, impact_path_top, file_adjacency, pagerank_files, node_merge, edge_merge, claims_build, claim_ids, claim_scores, authoritative_claims,
+    kind_counts, neighbors, bfs_distances, reachable_out, call_paths, impact_path_top, file_adjacency, pagerank_files, node_merge, edge_merge, claims_build, claim_ids, claim_scores, contradiction_ranks, authoritative_claims,
     co_change_pairs_raw, co_change, diff_co_change, name_status_parse, bm25_topk, recall_mrr, retrieval_means, lexical_entrypoints, lexical_name_rank, known_slug_match, task_caps, inspect_match, inspect_relations,
 )}

@@ -65,10 +65,10 @@ def migration_constraints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_comment_text(spark: SparkSession, d: str) -> DataFrame:
-    """Doc comments at the head of documents, their frames stripped, by length and hash."""
-    x = read(spark, d, "documents").where(F.startswith(F.col("text"), F.lit("/**")) & F.contains("text", F.lit("*/")))
-    c = F.concat(F.substring_index("text", "*/", 1), F.lit("*/"))
-    return x.select("doc_id", F.sha2(extract.strip_doc_comment(c), 256).alias("text_hash"))
+    """All doc comments of all documents, their frames stripped, by place and hash."""
+    x = read(spark, d, "documents").where(F.contains("text", F.lit("/**")))
+    x = x.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)/\*\*.*?\*/"), F.lit(0))).alias("no", "comment"))
+    return x.select("doc_id", "no", F.sha2(extract.strip_doc_comment(F.col("comment")), 256).alias("text_hash"))
 
 
 def slug_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def slug_ids(spark: SparkSession, d: str) -> DataFrame:
 def edge_ids(spark: SparkSession, d: str) -> DataFrame:
     """32-bit ids of edges, and how many edges of a kind they would merge."""
     e = read(spark, d, "edges").where("from_id is not null and to_id is not null").select("kind", "from_id", "to_id").distinct()
-    e = e.withColumn("edge_id", ids.edge_id(F.col("kind"), F.col("from_id"), F.col("to_id"), ascii_only=True))
+    e = e.withColumn("edge_id", ids.edge_id(F.col("kind"), F.col("from_id"), F.col("to_id")))
     return e.groupBy("kind", "edge_id").agg(F.count("*").alias("n_merged"))
 
 
@@ -160,8 +160,14 @@ SQL = {
  CASE WHEN o_orderkey % 10 = 9 THEN '' ELSE concat('cap-', o_orderkey, ',x') END AS capabilities, CASE WHEN o_orderkey % 10 = 9 THEN '' ELSE concat('docs/', o_orderkey, '.md') END AS contradicts FROM orders""",
     "migration_tables": "SELECT p_partkey, 0 AS no, concat('t_', p_partkey) AS table_name FROM part UNION ALL SELECT p_partkey, 1, concat('b_', p_partkey) FROM part",
     "migration_constraints": "SELECT p_partkey, 2 AS line, concat('size-', p_size) AS slug, concat('at most ', p_size) AS statement FROM part UNION ALL SELECT p_partkey, 3, 'bare', '-' FROM part",
-    "doc_comment_text": r"""SELECT doc_id, sha256(array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(string_split(text, '*/')[1] || '*/', '^\s*/\*\*?', ''), '\*/\s*$', ''), '\r?\n'), lambda s: regexp_replace(regexp_replace(s, '^\s*\*[ \t]?', ''), '\s+$', '')), chr(10))) AS text_hash
- FROM documents WHERE starts_with(text, '/**') AND contains(text, '*/')""",
+    "doc_comment_text": r"""SELECT doc_id, CAST(no - 1 AS INTEGER) AS no, sha256(array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(c, '^\s*/\*\*?', ''), '\*/\s*$', ''), '\r?\n'), lambda s: regexp_replace(regexp_replace(s, '^\s*\*[ \t]?', ''), '\s+$', '')), chr(10))) AS text_hash
+ FROM (SELECT doc_id, unnest(l) c, generate_subscripts(l, 1) no FROM (SELECT doc_id, regexp_extract_all(text, '(?s)/\*\*.*?\*/') l FROM documents))""",
+    "fnv_units": """SELECT doc_id, printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), flatten(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN unicode(c) < 65536 THEN [CAST(unicode(c) AS BIGINT)] ELSE [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] END))),
+ lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS fnv FROM documents WHERE text IS NOT NULL""",
+    "semantic_ids": r"""SELECT ref, coalesce(kind, '-') AS kind, coalesce(kind IS NOT NULL AND regexp_full_match(regexp_replace(ref, '^[a-z]+\.', ''), '[a-z0-9]([a-z0-9.-]*[a-z0-9])?'), false) AS valid,
+ 'goal.' || coalesce(nullif(array_to_string(list_filter(list_transform(string_split(CASE WHEN starts_with(upper(ref), 'goal.') THEN upper(ref)[6:] ELSE upper(ref) END, '.'), lambda p: left(regexp_replace(regexp_replace(lower(p), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60)), lambda p: p <> '' AND p <> 'empty'), '.'), ''), 'unnamed') AS as_goal
+ FROM (SELECT ref, CASE WHEN contains(ref, '.') THEN CASE WHEN split_part(ref, '.', 1) = 'proof' THEN 'evidence' WHEN split_part(ref, '.', 1) IN ('goal', 'invariant', 'decision', 'assumption', 'unknown', 'change', 'evidence') THEN split_part(ref, '.', 1) END END kind
+ FROM (SELECT DISTINCT regexp_replace(owner_id, '^[^.]*\.', '') ref FROM sem_links WHERE owner_id IS NOT NULL))""",
     "slug_ids": """SELECT p_partkey, slug, 'cap:' || slug AS cap_id FROM (SELECT p_partkey, left(regexp_replace(regexp_replace(lower(concat(p_name, ' ', p_type)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) slug FROM part)""",
     "evidence_ids": f"SELECT *, id = computed AS same FROM (SELECT DISTINCT id, concat('ev:', source_kind, ':', {PATH.format('file_path')}, ':', coalesce(start_line, 0), ':', coalesce(end_line, 0)) AS computed FROM evidence)",
     "edge_ids": "SELECT kind, concat('edge:', kind, ':', printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(from_id || '->' || to_id, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))) AS edge_id, count(*) AS n_merged FROM (SELECT DISTINCT kind, from_id, to_id FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL) GROUP BY ALL",

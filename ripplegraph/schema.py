@@ -12,10 +12,12 @@ TABLES = {
 }
 #: Closed vocabularies, checked at the boundary.
 VOCABULARIES = {
-    ("nodes", "kind"): (
-        "repository package module symbol function class interface type enum test document migration capability invariant contract decision risk bounded_context external_integration"
-    ).split(),
-    ("edges", "kind"): (
-        "imports exports calls references extends implements depends_on tested_by covers verifies declares documents decides contradicts belongs_to constrained_by implements_capability related_to changes"
-    ).split(),
-}
+    ("nodes", "kind"): [
+        "repository", "package", "module", "symbol", "function", "class", "interface", "type", "enum", "test", "document", "migration", "capability", "invariant", "contract", "decision", "risk", "bounded_context",
+        "external_integration",
+    ],
+    ("edges", "kind"): [
+        "imports", "exports", "calls", "references", "extends", "implements", "depends_on", "tested_by", "covers", "verifies", "declares", "documents", "decides", "contradicts", "belongs_to", "constrained_by",
+        "implements_capability", "related_to", "changes",
+    ],
+}

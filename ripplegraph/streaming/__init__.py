@@ -1 +1 @@
-"""Keyed state over streams: intervals, orphan references and co-change counts as data arrives."""
+"""Keyed state over streams: intervals and orphan references as data arrives."""

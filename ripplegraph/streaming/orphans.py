@@ -30,6 +30,8 @@ def stream_orphans(events: DataFrame) -> DataFrame:
     """Spans (key, ident, since, until) as they end: a reference that had no parent got one, or went.
 
     ``events`` is a stream of (key, seq, op, ident), the codes of ``ripplegraph.operators.orphans``; within a key batches
-    must come in order of seq, within a batch any order will do. Hot keys are salted by the caller, as in ``orphan_spans``.
+    must come in order of seq, within a batch any order will do. The state of a key is all references to it; a key of very
+    many is given as several, its references parted by a hash of their ident and its parent's events copied to each, as
+    ``orphan_spans`` does.
     """
     return events.groupBy("key").applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

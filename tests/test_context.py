@@ -1,7 +1,7 @@
 import pytest
 
 from ripplegraph.operators.claims import build_claims
-from ripplegraph.operators.context import Task, context_pack, validate_candidates
+from ripplegraph.operators.context import RACE_UNKNOWN, Task, context_pack, context_packs, hypotheses, validate_candidates
 from ripplegraph.operators.graph import merge_edges, merge_nodes
 from ripplegraph.operators.typescript import index_repository, with_edge_ids
 from ripplegraph.runtime import stored
@@ -34,7 +34,10 @@ def test_pack_by_marker(spark, graph, rows):
     assert {"inv:capacity", "mig:db/1.sql", "sym:function:src/seat.ts:audit:6"} <= {r.id for r in p["primary"].collect()}
     assert [(r.file_path, r.priority) for r in p["reads"].orderBy("file_path").collect()] == [("db/1.sql", "high"), ("src/seat.ts", "critical"), ("test/seat.test.ts", "high")]
     assert "doc:docs/old.md" not in {r.id for r in p["secondary"].collect()}
-    assert rows(p["unknowns"]) == [('Capability "fly" referenced by the task was not found in the graph.',)]
+    assert rows(p["unknowns"]) == sorted([
+        ('Capability "fly" referenced by the task was not found in the graph.',), ('Hypothesis not yet verified: Risk surface: race on seats.',), (RACE_UNKNOWN,),
+        ('Hypothesis not yet verified: The "reserve" path can violate invariant "capacity" under the reported conditions.',),
+    ], key=repr)
     assert {r.kind for r in p["plan"].collect()} == {"run_test", "static_check", "reproduce"}
     assert rows(p["evidence"]) == [("ev:code:src/seat.ts:4:4",)] and all("deprec" not in r.kind for r in p["claims"].collect())
 
@@ -47,3 +50,17 @@ def test_pack_by_words(spark, graph):
 def test_seals(spark):
     df = spark.createDataFrame([(1, "a.ts", 0.5, "s", None), (2, "a.ts", 0.5, "s", ("src", "q", "wrong"))], "i int, file_path string, score double, snippet string, seal struct<source_hash:string,query_hash:string,result_hash:string>")
     assert [r.reason for r in validate_candidates(df, "src", "query").orderBy("i").collect()] == ["PROVIDER_SEAL_MISSING", "PROVIDER_SEAL_INVALID"]
+
+
+def test_many_tasks_have_their_own_packs(spark, graph, rows):
+    n, e = graph
+    tasks = spark.createDataFrame([("a", "oversold", ["reserve"], None), ("b", "nothing to see", None, ["other behaviour of it"]), ("c", "zzz", None, None)], "task_id string, text string, capabilities array<string>, expected array<string>")
+    p = context_packs(tasks, n, e, build_claims(n, e))
+    assert rows(p["entrypoints"]) == [("a", "sym:function:src/seat.ts:reserve:4"), ("b", "sym:function:src/other.ts:other:1")]
+    assert {r.task_id for r in p["reads"].collect()} == {"a", "b", "c"}  # c reaches nothing, so every invariant counts
+    assert [(r.task_id, r.statement) for r in p["hypotheses"].collect()] == [("a", 'The change primarily affects the "reserve" capability.')]
+
+
+def test_hypotheses_in_order(spark, rows):
+    t = spark.createDataFrame([("a", "bugfix", ["c"], ["i"], ["r"]), ("b", "feature", ["c"], ["i"], []), ("d", "feature", [], [], [])], "task_id string, mode string, capabilities array<string>, invariants array<string>, risks array<string>")
+    assert rows(hypotheses(t), "task_id", "pos", "confidence") == [("a", 0, 0.5), ("a", 1, 0.4), ("b", 0, 0.5)]

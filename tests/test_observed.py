@@ -32,7 +32,7 @@ def test_identity_depends_on_every_part(spark):
 
 def test_hashes_and_slugs(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(fnv1a(F.lit("mod:a->mod:b"))) == one(fnv1a(F.lit("mod:a->mod:b"), True)) == "8a96afdb"
+    assert one(fnv1a(F.lit("mod:a->mod:b"))) == "8a96afdb"
     assert [one(slugify(F.lit(t))) for t in ("Héllo, Wörld!", "—", "x" * 99, " a--b ")] == ["hello-world", "empty", "x" * 60, "a-b"]
     assert one(canonical_json(b=F.lit("1"), a=json_text(F.lit('q"\\')), c=F.lit(None).cast("string"))) == '{"a":"q\\"\\\\","b":1}'
     assert one(canonical_map(F.create_map(F.lit("z"), F.lit("1"), F.lit("a"), F.lit(None).cast("string")))) == '{"a":null,"z":"1"}'

@@ -32,13 +32,19 @@ def test_discovery(spark, rows, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(t)
     f = discover_files(spark, str(tmp_path), ["out/*"])
+    assert rows(discover_files(spark, str(tmp_path), ["out/*"], ignored=["node_modules", "docs"]), "rel_path")[0] == ("src/a.test.ts",)
     assert rows(f, "rel_path", "role") == [("docs/x.md", "document"), ("src/a.test.ts", "test"), ("src/a.ts", "source"), ("src/u.ts", "test")]
     assert rows(count_typescript(discover_files(spark, str(tmp_path), content=False))) == [(4,)]
 
 
 def test_candidates_in_three_forms(spark, rows):
-    t = [(1, '[{"path": "./a.ts", "score": 0.9}, {"nope": 1}]'), (2, '{"results": [{"filePath": "b.ts", "text": "s"}]}'), (3, '{"file": "c.ts"}\n\n{"file_path": "d.ts", "similarity": 0.1}\nbroken'), (4, ""), (5, None)]
-    assert rows(parse_candidates(spark.createDataFrame(t, "query_id int, text string"))) == [(1, "a.ts", 0.9, None), (2, "b.ts", 0.5, "s"), (3, "c.ts", 0.5, None), (3, "d.ts", 0.1, None)]
+    t = [
+        (1, '[{"path": "./a.ts", "score": 0.9}, {"nope": 1}, {"path": "src/b.ts", "file": "src/a.ts", "relevance": 0.8}]'), (2, '{"results": [{"filePath": "b.ts", "text": "s", "content": "c", "symbol": "f", "start": 3, "end_line": 9}]}'),
+        (3, '{"file": "c.ts"}\n\n{"path": "d\\\\e.ts", "similarity": 0.1}\nbroken'), (4, ""), (5, None),
+    ]
+    assert rows(parse_candidates(spark.createDataFrame(t, "query_id int, text string"))) == [
+        (1, "a.ts", 0.9, None, None, None, None), (1, "src/a.ts", 0.8, None, None, None, None), (2, "b.ts", 0.5, "f", "c", 3, 9), (3, "c.ts", 0.5, None, None, None, None), (3, "d/e.ts", 0.1, None, None, None, None),
+    ]
 
 
 def test_tasks(spark, rows):

@@ -1,9 +1,6 @@
-from datetime import datetime
-
 import pytest
 
 from ripplegraph.operators.orphans import PARENT_ARRIVES, PARENT_LEAVES, REFERENCE_OPENS
-from ripplegraph.streaming.cochange import stream_co_change
 from ripplegraph.streaming.intervals import stream_intervals
 from ripplegraph.streaming.orphans import stream_orphans
 
@@ -32,16 +29,12 @@ def run(spark, tmp_path):
 
 def test_intervals_close_holes(run):
     got = run([[("a", 1, 3, 1), ("a", 8, 9, 1), ("b", 5, 5, 1), ("b", None, 5, 1)], [("a", 4, 7, 2), ("b", 5, 5, 2)]], "entity string, start long, end long, version long", stream_intervals, "update")
-    assert got == [[("a", "gap", 4, 7, 1), ("a", "period", 1, 3, 1), ("a", "period", 8, 9, 1), ("b", "period", 5, 5, 1)], [("a", "period", 1, 9, 2)]]
+    assert got == [
+        [("a", "gap", 4, 7, 1, True), ("a", "period", 1, 3, 1, True), ("a", "period", 8, 9, 1, True), ("b", "period", 5, 5, 1, True)],
+        [("a", "gap", 4, 7, 2, False), ("a", "period", 1, 3, 2, False), ("a", "period", 1, 9, 2, True), ("a", "period", 8, 9, 2, False)],
+    ]
 
 
 def test_orphans_resolve_and_reopen(run):
     e = [[("k", 1, REFERENCE_OPENS, "r")], [("k", 4, PARENT_ARRIVES, None)], [("k", 6, PARENT_LEAVES, None)], [("k", 9, PARENT_ARRIVES, None)]]
     assert run(e, "key string, seq long, op int, ident string", stream_orphans, "append") == [[("k", "r", 1, 4)], [("k", "r", 6, 9)]]
-
-
-def test_co_change_counts_late_and_repeated_commits_once(run):
-    d = lambda day: datetime(2024, 1, day)
-    batches = [[("c1", ["a", "b", "a"], d(2)), ("c1", ["a", "b"], d(2)), ("c2", ["b", "a", None], d(3))], [("c3", ["z"], datetime(2024, 6, 1))], [("c4", ["z"], datetime(2024, 6, 2))]]
-    got = run(batches, "commit_id string, files array<string>, committed_at timestamp", stream_co_change, "append")
-    assert [r[1:] for g in got for r in g] == [("a", "b", 2)]
