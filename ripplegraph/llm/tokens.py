@@ -7,9 +7,10 @@ import json
 import os
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,13 +111,8 @@ def _cut(size: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for c in _chunks(text, size, overlap):
-                    rows.append((doc, *c))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _CHUNK_ROWS, strict=True)], schema=_CHUNK_ROWS)
-                        rows = []
-                if rows:
+                chunks = _chunks(text, size, overlap)
+                while rows := [(doc, *c) for c in islice(chunks, 256)]:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _CHUNK_ROWS, strict=True)], schema=_CHUNK_ROWS)
 
     return run
@@ -124,24 +120,22 @@ def _cut(size: int, overlap: int):
 
 def _counted_or_cut(path: str, size: int, overlap: int, schema: pa.Schema):
     """Of each text either its number of tokens, or its chunks where it is long; the columns behind the text go along."""
-    kept = len(schema) - 5
+    nothing = list(schema)[2:5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                rest = list(zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)) if kept else [()] * len(docs)
-                short = [i for i, t in enumerate(texts) if len(t) <= size]
-                rows = [(docs[i], len(ids), None, None, None, *rest[i]) for i, ids in zip(short, _ids(path, [texts[i] for i in short]), strict=True)]
-                for i, text in enumerate(texts):
-                    for c in _chunks(text, size, overlap) if len(text) > size else ():
-                        rows.append((docs[i], None, *c, *rest[i]))
-                        if len(rows) >= 256 + len(short):
-                            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                short = pc.less_equal(pc.fill_null(pc.utf8_length(part.column(1)), 0), size)
+                few = part.filter(short)
+                counts = pa.array(map(len, _ids(path, [t or "" for t in few.column(1).to_pylist()])), pa.int64())
+                none = [pa.nulls(few.num_rows, f.type) for f in nothing]
+                yield pa.RecordBatch.from_arrays([few.column(0), counts, *none, *few.columns[2:]], schema=schema)
+                for row in part.filter(pc.invert(short)).to_pylist():
+                    doc, text, *rest = row.values()
+                    chunks = _chunks(text, size, overlap)
+                    while rows := [(doc, None, *c, *rest) for c in islice(chunks, 256)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
