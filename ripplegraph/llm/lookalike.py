@@ -147,24 +147,34 @@ def form_sql(table: str) -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, text, t AS form FROM s{len(stages)} UNION ALL SELECT doc_id, text, text FROM {table} WHERE {plain} OR text IS NULL"
 
 
-#: Rows of a batch that DuckDB sees at once.
-_ROWS = 1024
+#: Bytes of batches that DuckDB is given at once: it plans anew each time, which takes as long as some thousand texts.
+_BYTES = 32_000_000
 
 
 def _run(sql: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The SQL over each Arrow batch, seen as the table ``texts``, in a DuckDB of one thread per task that never spills."""
+    """The SQL over Arrow batches, seen as the table ``texts``, in a DuckDB of one thread per task that never spills."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= _BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         try:
-            for b in batches:
-                for at in range(0, b.num_rows, _ROWS):
-                    con.register("texts", pa.Table.from_batches([b.slice(at, _ROWS)]))
-                    got = con.sql(sql).to_arrow_table()
-                    con.unregister("texts")
-                    yield from got.cast(schema).to_batches()
+            for table in some(batches):
+                con.register("texts", table)
+                got = con.sql(sql).to_arrow_table()
+                con.unregister("texts")
+                yield from got.cast(schema).to_batches(max_chunksize=10_000)
         finally:
             con.close()
 
