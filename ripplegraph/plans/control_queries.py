@@ -112,7 +112,7 @@ def freshness_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STATUSES = "['test_observed', 'human_declared', 'llm_inferred', 'statically_observed', 'dynamically_observed']"
-_ATTESTED = f"""SELECT concat('a', event_id) AS id, concat('u', user_id % 200) AS subject, {list(c.OBLIGATIONS)}[event_id % {len(c.OBLIGATIONS)} + 1] AS obligation, {_STATUSES}[user_id * 7 % 5 + 1] AS epistemic_status, CASE WHEN event_id % 7 = 0 THEN 'old' ELSE 'head' END AS commit_id,
+_ATTESTED = f"""SELECT concat('a', event_id) AS id, concat('u', user_id % 200) AS subject, {list(c.OBLIGATIONS)}[CAST(event_id % {len(c.OBLIGATIONS)} + 1 AS INT)] AS obligation, {_STATUSES}[CAST(user_id * 7 % 5 + 1 AS INT)] AS epistemic_status, CASE WHEN event_id % 7 = 0 THEN 'old' ELSE 'head' END AS commit_id,
  CASE WHEN event_id % 11 = 0 THEN 'test' ELSE 'architecture' END AS reference_kind, event_id % 13 <> 0 AS non_llm, ts AS observed_at, CASE WHEN event_id % 3 = 0 THEN '2024-01-02 00:00:00' ELSE '2025-01-20 12:00:00' END AS expires_at,
  CASE WHEN event_id % 50 = 0 THEN 'never' ELSE '2024-06-15 00:00:00' END AS evaluated_at FROM events"""
 
@@ -121,7 +121,7 @@ def _attested(spark: SparkSession, d: str) -> DataFrame:
     text = _ATTESTED
     for listed in (str(list(c.OBLIGATIONS)), _STATUSES):  # lists are indexed from 1 in both engines, but spelled differently
         text = text.replace(f"{listed}[", f"element_at(array({listed[1:-1]}), ", 1)
-    return spark.sql(text.replace(" + 1]", " + 1)").replace("FROM events", "FROM {t}"), t=read(spark, d, "events"))
+    return spark.sql(text.replace(" AS INT)]", " AS INT))").replace("FROM events", "FROM {t}"), t=read(spark, d, "events"))
 
 
 def obligation_eval(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +151,45 @@ def integrity_violations(spark: SparkSession, d: str) -> DataFrame:
     return c.violations(elements=elements, relations=relations, steps=steps, paths=paths, lists=lists, changes=changes)
 
 
+_FAULTS = f"""SELECT c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN 'FRESH' WHEN c_custkey % 3 = 0 THEN 'STALE' WHEN c_custkey % 3 = 1 THEN 'UNSEALED' ELSE 'DIRTY_KNOWN' END AS verdict, c_custkey % 8 AS p FROM customer"""
+
+
+def report_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Broken constraints among coordinates, plans and their steps, attestations, budgets, statuses, coverages, queries and
+    digests made of customers, with faults of every kind put in."""
+    t = _sql(spark, d, _FAULTS, "customer")
+    k, s = F.col("k"), F.col("k").cast("string")
+    on = lambda n, yes, no: F.when(k % n == 0, yes).otherwise(no)
+    lit, arr = F.lit, lambda *xs: F.array(*(F.lit(x) for x in xs)).cast("array<string>")
+    coordinates = t.select(F.concat(on(19, lit("repo:"), lit("semantic:")), s).alias("id"), on(23, lit("repo"), lit("semantic")).alias("plane"))
+    attestations = t.select(s.alias("id"), lit("2024-02-01").alias("observed_at"), on(29, lit("2024-01-31"), lit("2024-03-01")).alias("expires_at"))
+    steps = t.select((k - k % 4).alias("plan"), k.alias("ord"), s.alias("id"), F.when(k % 4 > 0, (k - 1).cast("string")).otherwise(on(5, (k + 3).cast("string"), lit(None))).alias("depends_on")).where(F.col("plan") > 0)
+    pr = c.profiles(spark).withColumnRenamed("ord", "p")
+    plan_steps = t.join(F.broadcast(pr), "p").select(
+        s.alias("id"), on(31, lit("unheard_of"), F.col("profile")).alias("profile"), "kind", "from_state", "to_state", on(7, lit("R3"), F.col("risk")).alias("risk"), on(11, lit(None), lit("back")).alias("rollback"),
+        on(13, F.array_except("obligations", arr("rollback_ready")), F.col("obligations")).alias("obligations"),
+    )
+    plans = t.select(
+        s.alias("id"), on(2, lit("READY"), lit("BLOCKED")).alias("status"), F.when(k % 2 == 1, on(15, lit(None), lit("open_unknowns"))).otherwise(on(14, lit("open_unknowns"), lit(None))).alias("reason"), (k % 2).alias("n_details"), (k % 22 != 0).alias("has_target"),
+        s.alias("change_id"), on(37, lit("other"), s).alias("context_id"), lit("c").alias("commit_id"), on(41, lit("d"), lit("c")).alias("current_commit"), lit(8).alias("n_steps"),
+    )
+    budgets = t.select(s.alias("id"), lit(10).alias("most"), (k % 10).alias("consumed"), (10 - k % 10 + on(43, lit(1), lit(0))).alias("remaining"))
+    reasons = F.when(F.col("verdict") == "FRESH", on(34, arr("HEAD_MISMATCH"), arr())).when(F.col("verdict") == "STALE", on(6, arr("HEAD_MISMATCH", "REPOSITORY_ROOT_MISMATCH"), arr("HEAD_MISMATCH"))).when(F.col("verdict") == "UNSEALED", on(5, arr("HEAD_MISMATCH"), arr("GIT_STATE_UNAVAILABLE"))).otherwise(on(10, arr(), arr("WORKING_TREE_DIRTY")))
+    statuses = t.select(s.alias("id"), "verdict", reasons.alias("reasons"), (F.col("verdict").isin("FRESH", "DIRTY_KNOWN") != (k % 47 == 0)).alias("allowed"), ((F.col("verdict") != "UNSEALED") & (k % 49 != 0)).alias("sealed"))
+    seals = t.select(s.alias("id"), on(51, lit("FRESH"), F.col("verdict")).alias("verdict"), F.array_join(reasons, ",").alias("reasons"))
+    coverages = t.select(s.alias("id"), F.array(k % 7).alias("covered"), F.array(k % 6).alias("missing"))
+    terminals = t.select(s.alias("id"), F.when(k % 4 == 0, "success").when(k % 4 == 1, "empty").when(k % 4 == 2, "refused").otherwise("budget_exhausted").alias("status"), F.when(k % 4 == 0, on(12, lit("INDEX_STALE"), lit(None))).when(k % 4 == 1, on(9, lit(None), lit("MAPPING_MISSING"))).when(k % 4 == 2, "INDEX_STALE").otherwise(on(15, lit("INDEX_STALE"), lit("BUDGET_EXHAUSTED"))).alias("reason"))
+    envelopes = t.select(s.alias("id"), "verdict", on(2, lit("refused"), lit("success")).alias("status"), on(4, arr("INDEX_STALE"), arr()).alias("reasons"), (k % 5 != 0).alias("has_payload"))
+    refs = t.select("k", F.explode(F.array(s, (k + 1).cast("string"), s)).alias("locator")).select("k", lit("commit").alias("kind"), "locator", F.concat(lit("sha256:"), "locator").alias("digest"))
+    one = lambda v: F.concat(lit('{"digest":"sha256:'), v, lit('","kind":"commit","locator":"'), v, lit('"}'))
+    lo, hi = F.least(s, (k + 1).cast("string")), F.greatest(s, (k + 1).cast("string"))
+    stored_ = F.concat(lit("sha256:"), F.sha2(F.concat(lit("["), one(lo), on(53, lit(""), F.concat(lit(","), one(hi))), lit("]")), 256))
+    digests = t.select("k", stored_.alias("stored")).join(c.evidence_set_digest(refs, "k").withColumnRenamed("digest", "computed"), "k").withColumnRenamed("k", "id")
+    return c.violations(
+        coordinates=coordinates, attestations=attestations, steps=steps, plan_steps=plan_steps, plans=plans, budgets=budgets, statuses=statuses, seals=seals, coverages=coverages, terminals=terminals, envelopes=envelopes, digests=digests
+    )
+
+
 def explain_why(spark: SparkSession, d: str) -> DataFrame:
     """What each authored coordinate rests on, and the path there."""
     (n, e), m = graph(spark, d), _model(spark, d)
@@ -195,7 +234,7 @@ co AS (SELECT 'repo:' || id id, kind k FROM n UNION SELECT 'semantic:' || id, ki
 lt AS (SELECT owner_id, lks.kind, n.id FROM lks JOIN n ON n.file_path = lks.ref WHERE lks.kind = 'file' UNION ALL SELECT owner_id, kind, ref FROM lks WHERE kind NOT IN ('file', 'claim', 'evidence')),
 se AS (SELECT f, t, relation FROM (SELECT 'repo:' || from_id f, 'repo:' || to_id t, kind relation FROM e UNION SELECT 'semantic:' || id, 'semantic:' || ref, field FROM r WHERE id IN (SELECT id FROM am) UNION SELECT 'repo:' || id, 'semantic:' || owner_id, 'repository_link:' || kind FROM lt)
   WHERE f IN (SELECT id FROM co) AND t IN (SELECT id FROM co))"""
-_R = f"r0 AS ({_RELATIONS}), t AS ({_CURRENT}), r AS (SELECT * FROM r0 WHERE epistemic_status <> 'llm_inferred' AND a NOT LIKE '%7' AND b NOT LIKE '%7')"
+_R = f"r0 AS ({_RELATIONS}), t AS ({_CURRENT}), r AS (SELECT * FROM r0 WHERE epistemic_status <> 'llm_inferred' AND id NOT IN (SELECT id FROM r0 WHERE a LIKE '%7' OR b LIKE '%7'))"
 _STEP = "{0} AS (SELECT r.id rid, CASE WHEN {1} THEN a ELSE b END src, CASE WHEN {1} THEN b ELSE a END dst FROM r), {0}1 AS (SELECT {0}.* FROM {0} JOIN t x ON x.id = src JOIN t y ON y.id = dst WHERE y.level - x.level = {2})"
 _LIFT = f"{_R}, {_STEP.format('u', 'kind <> ' + repr('decomposes_to'), 1)}, p AS (SELECT t.id AS source, t.id || '>' || a.dst || '>' || b.dst AS path, [t.id, a.dst, b.dst] ids, a.rid || ',' || b.rid o FROM t JOIN u1 a ON a.src = t.id JOIN u1 b ON b.src = a.dst WHERE t.level = 1)"
 SQL = {
@@ -235,12 +274,25 @@ FROM e i LEFT JOIN e b ON b.kind = 'constrained_by' AND b.from_id = i.from_id LE
 UNION ALL SELECT p_brand, '', 'RELATION_UNKNOWN_KIND', CAST(count(*) AS VARCHAR), '' FROM part WHERE p_partkey % 10 = 3 GROUP BY 1""",
     "suite_scores": """WITH x AS (SELECT concat(l_returnflag, '-', l_linenumber) suite, l_orderkey t, CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_tax > 0.01 THEN l_discount END s FROM lineitem)
 SELECT suite, round(avg(s), 6) AS mean_score, count(DISTINCT t) AS n_tasks, coalesce(bool_and(s >= 1), false) AND avg(s) >= 0.5 AS passed FROM x GROUP BY 1""",
+    "report_violations": f"""WITH t AS (SELECT *, CAST(k AS VARCHAR) id FROM ({_FAULTS})), pr AS (SELECT * FROM (VALUES {', '.join(str((i, r[0], r[4], list(r[5]))) for i, r in enumerate(c.PROFILES))}) x(p, profile, risk, obl)),
+ps AS (SELECT k, id, profile, pr.risk own, CASE WHEN k % 7 = 0 THEN 'R3' ELSE pr.risk END risk, CASE WHEN k % 13 = 0 THEN list_filter(obl, lambda x: x <> 'rollback_ready') ELSE obl END ob, obl FROM t JOIN pr USING (p)),
+st AS (SELECT *, CASE verdict WHEN 'FRESH' THEN CASE WHEN k % 34 = 0 THEN 'bad' ELSE 'ok' END WHEN 'STALE' THEN CASE WHEN k % 6 = 0 THEN 'order' ELSE 'ok' END WHEN 'UNSEALED' THEN CASE WHEN k % 5 = 0 THEN 'bad' ELSE 'ok' END ELSE CASE WHEN k % 10 = 0 THEN 'bad' ELSE 'ok' END END rs FROM t)
+SELECT 'id_is_of_its_plane' AS rule, concat(CASE WHEN k % 19 = 0 THEN 'repo:' ELSE 'semantic:' END, k) AS subject FROM t WHERE (k % 19 = 0) <> (k % 23 = 0) UNION ALL SELECT 'expiry_not_before_observation', id FROM t WHERE k % 29 = 0
+UNION ALL SELECT 'step_depends_on_the_one_before', id FROM t WHERE k >= 4 AND k % 20 = 0 UNION ALL SELECT 'steps_are_no_cycle', id FROM t WHERE k >= 4 AND (k - k % 4) % 20 = 0 AND k - k % 4 + 3 <= (SELECT max(k) FROM t)
+UNION ALL SELECT 'step_is_as_its_profile', id FROM ps WHERE k % 31 = 0 OR risk <> own UNION ALL SELECT 'profile_obligations_are_there', id FROM ps WHERE k % 31 <> 0 AND risk = own AND len(ob) < len(obl)
+UNION ALL SELECT 'risk_has_a_rollback', id FROM ps WHERE risk IN ('R2', 'R3') AND k % 11 = 0 UNION ALL SELECT 'risk_has_rollback_ready', id FROM ps WHERE risk IN ('R2', 'R3') AND NOT list_contains(ob, 'rollback_ready')
+UNION ALL SELECT 'blocked_plan_says_why', id FROM t WHERE k % 2 = 1 AND k % 15 = 0 UNION ALL SELECT 'ready_plan_is_not_blocked', id FROM t WHERE k % 14 = 0 UNION ALL SELECT 'ready_plan_is_whole', id FROM t WHERE k % 22 = 0
+UNION ALL SELECT 'plan_is_of_its_change', id FROM t WHERE k % 37 = 0 UNION ALL SELECT 'plan_is_of_its_commit', id FROM t WHERE k % 41 = 0 UNION ALL SELECT 'budget_adds_up', id FROM t WHERE k % 43 = 0
+UNION ALL SELECT 'reasons_are_unique_and_in_order', id FROM st WHERE rs = 'order' UNION ALL SELECT 'reasons_are_the_verdicts', id FROM st WHERE rs = 'bad' UNION ALL SELECT 'only_fresh_or_known_is_allowed', id FROM t WHERE k % 47 = 0
+UNION ALL SELECT 'only_unsealed_has_no_seal', id FROM t WHERE verdict <> 'UNSEALED' AND k % 49 = 0 UNION ALL SELECT 'status_is_that_of_the_seal', id FROM t WHERE verdict NOT IN ('UNSEALED', 'FRESH') AND k % 49 <> 0 AND k % 51 = 0
+UNION ALL SELECT 'covered_and_missing_are_disjoint', id FROM t WHERE k % 7 = k % 6 UNION ALL SELECT 'reason_is_the_statuss', id FROM t WHERE k % 4 = 0 AND k % 12 = 0 OR k % 4 = 1 AND k % 9 = 0 OR k % 4 = 3 AND k % 15 = 0
+UNION ALL SELECT 'stale_queries_refuse', id FROM t WHERE verdict IN ('STALE', 'UNSEALED') AND k % 4 <> 0 UNION ALL SELECT 'success_has_a_payload', id FROM t WHERE k % 2 = 1 AND k % 5 = 0 UNION ALL SELECT 'digest_is_recomputable', id FROM t WHERE k % 53 = 0""",
     "integrity_violations": """WITH el AS (SELECT concat('p', p_partkey) id, p_partkey % 41 = 0 nocat FROM part WHERE concat('p', p_partkey) NOT LIKE '%99'), re AS (SELECT concat('p', p_partkey) f, concat('p', p_partkey + 1) t FROM part)
 SELECT 'relation_from_id_is_element' AS rule, f AS subject FROM re WHERE f NOT IN (SELECT id FROM el) UNION ALL SELECT 'relation_to_id_is_element', t FROM re WHERE t NOT IN (SELECT id FROM el) UNION ALL SELECT 'level_and_category_go_together', id FROM el WHERE nocat
-UNION ALL SELECT 'step_depends_on_the_one_before', CAST(o_orderkey AS VARCHAR) FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) b FROM orders) WHERE b IS DISTINCT FROM CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END
+UNION ALL SELECT 'step_depends_on_the_one_before', CAST(o_orderkey AS VARCHAR) FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) b FROM orders) WHERE b IS DISTINCT FROM CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END UNION ALL SELECT 'steps_are_no_cycle', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 3 = 0
 UNION ALL SELECT 'path_has_one_edge_fewer_than_nodes', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 37 = 0 AND p_size % 4 + 1 <> 1 UNION ALL SELECT 'list_is_unique_and_in_order', CAST(p_partkey AS VARCHAR) FROM part WHERE p_brand >= p_type UNION ALL SELECT 'change_keeps_its_id', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 53 = 0""",
 }
 QUERIES = {q.__name__: q for q in (
-    snapshot_diff, relation_diff, level_coverage, certifying_relations, refinement_lift, refinement_lower, refinement_missing, impact_paths, impact_reach, coordinate_graph, freshness_class, obligation_eval, prerequisites, integrity_violations, explain_why, coordinate_fingerprint,
+    snapshot_diff, relation_diff, level_coverage, certifying_relations, refinement_lift, refinement_lower, refinement_missing, impact_paths, impact_reach, coordinate_graph, freshness_class, obligation_eval, prerequisites, integrity_violations, report_violations, explain_why, coordinate_fingerprint,
     capability_wiring, relation_parse, suite_scores,
 )}
