@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ripplegraph.functions.paths import code_unit_key, normalize_path
+from ripplegraph.runtime import broadcast_if_small
+
 
 def top_n(rows: DataFrame, by: list[str], score: str | Column, item: str | Column, most: int, limit: Column | None = None, pos: str = "pos") -> DataFrame:
     """The ``most`` rows of each group with the highest score, ``pos`` counting from 1; ``limit`` may narrow a group.
@@ -32,14 +35,12 @@ def co_change_top(co_changes: DataFrame, options: DataFrame) -> DataFrame:
     set; rows of an unknown option set are left out. ``options`` is the fixed table of option sets, a handful of rows: its
     largest max_per_file is the literal the group limit needs.
     """
-    from ripplegraph.functions.paths import code_unit_key, normalize_path
-
     most = options.agg(F.max("max_per_file")).first()[0] or 0
     x = co_changes.where("co_file is not null and commits is not null and file is not null").select(
         "repository_identity", normalize_path("file").alias("file"), normalize_path("co_file").alias("co_file"), "option_set", "commits", "mined_at"
     ).where("file <> co_file")
     x = x.groupBy("repository_identity", "file", "co_file").agg(F.max(F.struct("mined_at", "commits", "option_set")).alias("b"))
     x = x.select("repository_identity", "file", "co_file", "b.commits", "b.option_set")
-    x = x.join(F.broadcast(options.select("option_set", "min_support", "max_per_file").distinct()), "option_set").where("commits >= min_support")
+    x = x.join(broadcast_if_small(options.select("option_set", "min_support", "max_per_file").distinct()), "option_set").where("commits >= min_support")
     top = top_n(x, ["repository_identity", "file"], "commits", code_unit_key("co_file"), most, F.col("max_per_file"))
     return top.select("repository_identity", "file", "pos", "co_file")
