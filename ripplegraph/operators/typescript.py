@@ -1,7 +1,7 @@
 """TypeScript text to rows: symbols, imports and calls by a scanner of its own, names resolved across files by joins.
 
 There is no type checker here. A call is resolved by name: to a value imported under that name, else to a symbol declared
-in the file. Members of an imported namespace are resolved in its file. Lost against a compiler: members of objects, names that are re-exported or renamed on import,
+in the file. Members of an imported namespace are resolved in its file. Lost against a compiler: members of objects, names that are re-exported,
 and calls to parameters or destructured values.
 """
 
@@ -142,7 +142,8 @@ class Source:
 def extract_source(text: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
     """(symbols, imports, calls) of one file.
 
-    symbols: (ord, name, kind, start_line, end_line, exported, doc); imports: (specifier, names, line, namespace);
+    symbols: (ord, name, kind, start_line, end_line, exported, doc); imports: (specifier, names as they are here, line,
+    namespace, names as they are there);
     calls: (caller, callee, line, receiver), the receiver of ``a.b()`` being a.
     """
     s = Source(text)
@@ -237,21 +238,24 @@ def extract_source(text: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
                 stop += 1
             if stop < n and s.kind[stop] == "string":
                 names: list[str] = []
+                origins: list[str] = []
                 namespace = None
                 if not (s.is_(i + 1, "type") and not s.is_(i + 2, "from", ",")):
                     k = i + 1
                     while k < stop:
                         if s.name(k) and s.text[k] not in ("from", "as", "type"):
+                            origin = s.text[k]
                             if s.is_(k + 1, "as"):
                                 k += 2
                             if s.name(k) and not s.is_(k - 1, "type"):
                                 names.append(s.text[k])
+                                origins.append(origin)
                         elif s.is_(k, "*") and s.is_(k + 1, "as"):
                             namespace = s.name(k + 2)
                         elif s.is_(k, "type") and s.name(k + 1) and s.is_(k + 2, "as"):
                             k += 3
                         k += 1
-                imports.append((text[s.at[stop] + 1 : s.end[stop] - 1], names, s.line(i), namespace))
+                imports.append((text[s.at[stop] + 1 : s.end[stop] - 1], names, s.line(i), namespace, origins))
             i = stop + 1
         else:
             if s.is_(i + 1, "(") and word not in _NO_CALL and not s.is_(i - 1, "function", "new"):
@@ -293,12 +297,12 @@ def module_candidates(path: str, specifier: str) -> list[str]:
 _SCHEMA = pa.schema([
     ("rel_path", pa.string()),
     ("symbols", pa.list_(pa.struct([("ord", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("exported", pa.bool_()), ("doc", pa.string())]))),
-    ("imports", pa.list_(pa.struct([("specifier", pa.string()), ("names", pa.list_(pa.string())), ("line", pa.int32()), ("namespace", pa.string()), ("candidates", pa.list_(pa.string()))]))),
+    ("imports", pa.list_(pa.struct([("specifier", pa.string()), ("names", pa.list_(pa.string())), ("line", pa.int32()), ("namespace", pa.string()), ("origins", pa.list_(pa.string())), ("candidates", pa.list_(pa.string()))]))),
     ("calls", pa.list_(pa.struct([("caller", pa.string()), ("callee", pa.string()), ("line", pa.int32()), ("receiver", pa.string())]))),
 ])
 _DDL = (
     "rel_path string, symbols array<struct<ord:int,name:string,kind:string,start_line:int,end_line:int,exported:boolean,doc:string>>, "
-    "imports array<struct<specifier:string,names:array<string>,line:int,namespace:string,candidates:array<string>>>, calls array<struct<caller:string,callee:string,line:int,receiver:string>>"
+    "imports array<struct<specifier:string,names:array<string>,line:int,namespace:string,origins:array<string>,candidates:array<string>>>, calls array<struct<caller:string,callee:string,line:int,receiver:string>>"
 )
 
 
@@ -352,14 +356,15 @@ def index_repository(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]
     sym = x.select("rel_path", F.explode("symbols").alias("s")).select("rel_path", "s.*").withColumn("id", F.concat_ws(":", F.lit("sym"), "kind", "rel_path", "name", "start_line"))
     last = sym.groupBy("rel_path", "name").agg(F.max_by("id", "ord").alias("id"))
     imp = x.select("rel_path", F.explode("imports").alias("i")).select("rel_path", "i.*")
-    cand = imp.select("rel_path", "specifier", "line", "names", "namespace", F.posexplode("candidates").alias("pos", "target"))
+    cand = imp.select("rel_path", "specifier", "line", "names", "origins", "namespace", F.posexplode("candidates").alias("pos", "target"))
     to = cand.join(mods.select(c("rel_path").alias("target"), c("id").alias("to_id"), c("role").alias("to_role")), "target")
-    to = to.groupBy("rel_path", "specifier", "line", "names", "namespace").agg(F.min_by(F.struct("target", "to_id"), "pos").alias("t")).select("rel_path", "specifier", "line", "names", "namespace", "t.target", "t.to_id")
+    to = to.groupBy("rel_path", "specifier", "line", "names", "origins", "namespace").agg(F.min_by(F.struct("target", "to_id"), "pos").alias("t")).select("rel_path", "specifier", "line", "names", "origins", "namespace", "t.target", "t.to_id")
     from_ = to.join(mods.select("rel_path", c("id").alias("from_id"), "role"), "rel_path")
-    bound = from_.select("rel_path", "role", "from_id", "target", "line", F.explode("names").alias("name"))
+    bound = from_.select("rel_path", "role", "from_id", "target", "line", F.explode(F.arrays_zip("names", "origins")).alias("z")).select("rel_path", "role", "from_id", "target", "line", c("z.names").alias("name"), c("z.origins").alias("origin"))
+    imported = bound.join(last.select(c("rel_path").alias("target"), c("name").alias("origin"), c("id").alias("sym_id")), ["target", "origin"])
     value = bound.join(last.select(c("rel_path").alias("target"), "name", c("id").alias("sym_id")), ["target", "name"])
     call = x.select("rel_path", F.explode("calls").alias("k")).select("rel_path", "k.*")
-    known = value.select("rel_path", c("name").alias("callee"), c("sym_id").alias("to_id"), F.lit(0).alias("pref")).unionByName(last.select("rel_path", c("name").alias("callee"), c("id").alias("to_id"), F.lit(1).alias("pref")))
+    known = imported.select("rel_path", c("name").alias("callee"), c("sym_id").alias("to_id"), F.lit(0).alias("pref")).unionByName(last.select("rel_path", c("name").alias("callee"), c("id").alias("to_id"), F.lit(1).alias("pref")))
     known = known.groupBy("rel_path", "callee").agg(F.min_by("to_id", "pref").alias("to_id"))
     through = from_.where("namespace is not null").select("rel_path", c("namespace").alias("receiver"), "target").join(last.select(c("rel_path").alias("target"), c("name").alias("callee"), c("id").alias("to_id")), "target")
     plain = call.where("receiver is null").join(known, ["rel_path", "callee"]).select("rel_path", "caller", "line", "to_id")

@@ -198,13 +198,6 @@ def explain_why(spark: SparkSession, d: str) -> DataFrame:
     return c.explain_why(x, s, x.where("plane = 'B'")).select("source", "rationale", F.array_join("path", ">").alias("path"))
 
 
-def coordinate_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """One fingerprint of the whole coordinate graph."""
-    (n, e), m = graph(spark, d), _model(spark, d)
-    x = c.coordinates(n, m["nodes"])
-    return c.graph_fingerprint(x, c.structural_edges(x, e, m["relations"], m["links"], n))
-
-
 def capability_wiring(spark: SparkSession, d: str) -> DataFrame:
     """Invariants and contexts of each capability through what implements it."""
     n, e = graph(spark, d)
@@ -229,7 +222,7 @@ def suite_scores(spark: SparkSession, d: str) -> DataFrame:
     return suite_scores_of(x, 0.5).select("suite", F.round("mean_score", 6).alias("mean_score"), "n_tasks", "passed")
 
 
-_PLANE = f"""WITH RECURSIVE {GRAPH}, o AS ({OWNERS}), {REFS}, lks AS ({LINKS}), am AS (SELECT id, kind FROM o WHERE kind <> 'change'),
+PLANE = f"""WITH RECURSIVE {GRAPH}, o AS ({OWNERS}), {REFS}, lks AS ({LINKS}), am AS (SELECT id, kind FROM o WHERE kind <> 'change'),
 co AS (SELECT 'repo:' || id id, kind k FROM n UNION SELECT 'semantic:' || id, kind FROM am),
 lt AS (SELECT owner_id, lks.kind, n.id FROM lks JOIN n ON n.file_path = lks.ref WHERE lks.kind = 'file' UNION ALL SELECT owner_id, kind, ref FROM lks WHERE kind NOT IN ('file', 'claim', 'evidence')),
 se AS (SELECT f, t, relation FROM (SELECT 'repo:' || from_id f, 'repo:' || to_id t, kind relation FROM e UNION SELECT 'semantic:' || id, 'semantic:' || ref, field FROM r WHERE id IN (SELECT id FROM am) UNION SELECT 'repo:' || id, 'semantic:' || owner_id, 'repository_link:' || kind FROM lt)
@@ -253,8 +246,8 @@ w AS (SELECT source_set, id, 0 depth FROM s UNION SELECT source_set, u.dst, dept
 w AS (SELECT source_set, id, 0 depth FROM s UNION SELECT source_set, u.dst, depth + 1 FROM w JOIN u ON u.src = w.id WHERE depth < 8), b AS (SELECT source_set, id, min(depth) depth FROM w GROUP BY 1, 2),
 p AS (SELECT source_set, id tail, [id] p FROM s UNION ALL SELECT p.source_set, u.dst, list_append(p.p, u.dst) FROM p JOIN b ON b.source_set = p.source_set AND b.id = p.tail AND b.depth = len(p.p) - 1 JOIN u ON u.src = p.tail WHERE len(p.p) <= 8 AND NOT list_contains(p.p, u.dst))
 SELECT source_set, tail AS id, array_to_string(p, '>') AS path FROM p WHERE (source_set, tail) NOT IN (SELECT (source_set, id) FROM s) QUALIFY row_number() OVER (PARTITION BY source_set, tail ORDER BY len(p), array_to_string(p, chr(0))) <= 2""",
-    "coordinate_graph": f"{_PLANE} SELECT 'coordinate' AS what, k AS name, count(*) AS n FROM co GROUP BY 2 UNION ALL SELECT 'edge', relation, count(*) FROM se GROUP BY 2",
-    "explain_why": f"""{_PLANE}, y AS (SELECT 'semantic:' || id id FROM am WHERE kind <> 'decision'), x AS (SELECT DISTINCT f, t FROM se WHERE relation IN {c.RATIONALE}),
+    "coordinate_graph": f"{PLANE} SELECT 'coordinate' AS what, k AS name, count(*) AS n FROM co GROUP BY 2 UNION ALL SELECT 'edge', relation, count(*) FROM se GROUP BY 2",
+    "explain_why": f"""{PLANE}, y AS (SELECT 'semantic:' || id id FROM am WHERE kind <> 'decision'), x AS (SELECT DISTINCT f, t FROM se WHERE relation IN {c.RATIONALE}),
 p AS (SELECT 'semantic:' || id AS source, 'semantic:' || id AS tail, ['semantic:' || id] p FROM am UNION ALL SELECT source, x.t, list_append(p.p, x.t) FROM p JOIN x ON x.f = p.tail WHERE p.tail NOT IN (FROM y) AND len(p.p) <= 8 AND NOT list_contains(p.p, x.t))
 SELECT source, tail AS rationale, array_to_string(p, '>') AS path FROM p WHERE tail IN (FROM y) AND len(p) = (SELECT min(len(q.p)) FROM p q WHERE q.source = p.source AND q.tail = p.tail)""",
     "freshness_class": f"""WITH s AS ({_SEALS}), x AS (SELECT *, indexed_root IS NULL OR indexed_graph_hash IS NULL miss, list_filter([CASE WHEN head IS NULL OR indexed_head IS NULL OR diff_hash IS NULL THEN 'GIT_STATE_UNAVAILABLE' END, CASE WHEN store_version IS NULL THEN 'STORE_SCHEMA_UNAVAILABLE' END], lambda v: v IS NOT NULL) un,
@@ -293,6 +286,6 @@ UNION ALL SELECT 'step_depends_on_the_one_before', CAST(o_orderkey AS VARCHAR) F
 UNION ALL SELECT 'path_has_one_edge_fewer_than_nodes', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 37 = 0 AND p_size % 4 + 1 <> 1 UNION ALL SELECT 'list_is_unique_and_in_order', CAST(p_partkey AS VARCHAR) FROM part WHERE p_brand >= p_type UNION ALL SELECT 'change_keeps_its_id', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 53 = 0""",
 }
 QUERIES = {q.__name__: q for q in (
-    snapshot_diff, relation_diff, level_coverage, certifying_relations, refinement_lift, refinement_lower, refinement_missing, impact_paths, impact_reach, coordinate_graph, freshness_class, obligation_eval, prerequisites, integrity_violations, report_violations, explain_why, coordinate_fingerprint,
+    snapshot_diff, relation_diff, level_coverage, certifying_relations, refinement_lift, refinement_lower, refinement_missing, impact_paths, impact_reach, coordinate_graph, freshness_class, obligation_eval, prerequisites, integrity_violations, report_violations, explain_why,
     capability_wiring, relation_parse, suite_scores,
 )}

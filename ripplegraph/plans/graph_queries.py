@@ -201,12 +201,14 @@ def diff_co_change(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_status_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Commits read back from a log written in name-status form, one log a repository."""
+    """Commits read back from logs written in name-status form, each repository's history in many logs."""
     c = cochange.commit_sets(read(spark, d, "commit_files"))
-    line = F.when(F.pmod(F.length("file"), F.lit(5)) == 0, F.concat(F.lit("R100\told/"), "file", F.lit("\t"), "file")).otherwise(F.concat(F.lit("M\t"), "file"))
+    renamed = F.concat(F.lit("R100\told/"), "file", F.lit("\t"), "file")
+    line = F.when(F.pmod(F.length("file"), F.lit(5)) == 0, renamed).otherwise(F.concat(F.lit("M\t"), "file"))
     rec = c.groupBy("repo", "commit_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("r"))
-    logs = rec.groupBy(F.col("repo").alias("log_id")).agg(F.array_join(F.sort_array(F.collect_list("r")), "\x1e").alias("text"))
-    return cochange.parse_name_status(logs).groupBy("log_id", "file").agg(F.count("*").alias("commits"))
+    part = F.concat("repo", F.lit("#"), F.left(F.sha2("commit_id", 256), F.lit(3)))
+    logs = rec.groupBy(part.alias("log_id")).agg(F.array_join(F.sort_array(F.collect_list("r")), "\x1e").alias("text"))
+    return cochange.parse_name_status(logs).groupBy(F.regexp_replace("log_id", "#[0-9a-f]{3}$", "").alias("log_id"), "file").agg(F.count("*").alias("commits"))
 
 
 def _queries(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def repository_index(spark: SparkSession, d: str) -> DataFrame:
     return of(merge_nodes(n), "node").unionByName(of(merge_edges(e), "edge"))
 
 
-def _patches(spark: SparkSession, d: str) -> DataFrame:
+def patches(spark: SparkSession, d: str) -> DataFrame:
+    """Patches written from the hunk table, one a file of a diff; some with a line of no hunk."""
     h = impact.current_hunks(read(spark, d, "hunks")).where("old_start is not null and new_start is not null")
     num = lambda c: F.col(c).cast("string")
     body = F.concat(F.when(F.col("hunk_no") == 7, "?bad\n").otherwise(""), F.repeat(F.lit("-old\n"), F.col("old_lines")), F.repeat(F.lit("+new\n"), F.col("new_lines")))
@@ -51,7 +52,7 @@ def _patches(spark: SparkSession, d: str) -> DataFrame:
 
 def observed_hunks(spark: SparkSession, d: str) -> DataFrame:
     """Byte-exact hunks of patches built from the hunk table, per patch; those with a line of no hunk are refused whole."""
-    h = observed.observed_hunks(_patches(spark, d))
+    h = observed.observed_hunks(patches(spark, d))
     g = h.groupBy("patch_id").agg(F.count("path").alias("n_hunks"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("n_bytes"), F.max(F.col("error").isNotNull()).alias("refused"))
     return g
 

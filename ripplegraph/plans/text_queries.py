@@ -100,9 +100,8 @@ def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sha_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """A fingerprint of each region's nations, whatever order they come in."""
-    n = read(spark, d, "nation")
-    return hashing.fingerprint(n, ["n_regionkey"], F.col("n_nationkey"), F.col("n_name"), "nations:v1")
+    """A fingerprint of each brand's parts, whatever order they come in."""
+    return hashing.fingerprint(read(spark, d, "part"), ["p_brand"], F.col("p_partkey"), F.col("p_name"), "parts:v1")
 
 
 def canonical_metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -173,8 +172,8 @@ SQL = {
     "edge_ids": "SELECT kind, concat('edge:', kind, ':', printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(from_id || '->' || to_id, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))) AS edge_id, count(*) AS n_merged FROM (SELECT DISTINCT kind, from_id, to_id FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL) GROUP BY ALL",
     "hunk_identities": f"""WITH {HUNKS}, x AS (SELECT *, encode(string_split(file_path, '/')[1]) r, encode(file_path) p, encode(string_split(diff_id, ':')[-1]) b, encode(concat('@@ -', old_start)) raw FROM h WHERE old_start IS NOT NULL AND new_start IS NOT NULL)
 SELECT diff_id, file_path, hunk_no, 'sha256:' || sha256(encode('HUNKFRM0') || {_U.format('1')} || {_U.format('octet_length(r)')} || r || {_U.format('octet_length(p)')} || p || {' || '.join(_U.format(c) for c in ('old_start', 'old_lines', 'new_start', 'new_lines'))} || from_hex('00') || from_hex('01') || {_U.format('octet_length(b)')} || b || {_U.format('octet_length(raw)')} || raw) AS identity FROM x""",
-    "sha_fingerprint": """WITH x AS (SELECT n_regionkey, CAST(n_nationkey AS VARCHAR) k, sha256(n_name) h, sha256(CAST(n_nationkey AS VARCHAR)) g FROM nation), a AS (SELECT n_regionkey, left(g, 6) g, sha256(string_agg(h, chr(10) ORDER BY k)) h FROM x GROUP BY 1, 2),
-b AS (SELECT n_regionkey, left(g, 3) g, sha256(string_agg(h, chr(10) ORDER BY g)) h FROM a GROUP BY n_regionkey, left(g, 3)) SELECT n_regionkey, 'sha256:' || sha256(concat('nations:v1', chr(0), string_agg(h, chr(10) ORDER BY g))) AS fingerprint FROM b GROUP BY 1""",
+    "sha_fingerprint": """WITH x AS (SELECT p_brand, CAST(p_partkey AS VARCHAR) k, sha256(p_name) h, sha256(CAST(p_partkey AS VARCHAR)) g FROM part), a AS (SELECT p_brand, left(g, 6) g, sha256(string_agg(h, chr(10) ORDER BY k)) h FROM x GROUP BY 1, 2),
+b AS (SELECT p_brand, left(g, 3) g, sha256(string_agg(h, chr(10) ORDER BY g)) h FROM a GROUP BY p_brand, left(g, 3)) SELECT p_brand, 'sha256:' || sha256(concat('parts:v1', chr(0), string_agg(h, chr(10) ORDER BY g))) AS fingerprint FROM b GROUP BY 1""",
     "canonical_metadata": """SELECT DISTINCT snapshot_id, id, 'sha256:' || sha256(concat('edge:v1', chr(0), '{', array_to_string(list_filter(['"kind":"' || kind || '"', '"metadata":{' || coalesce(array_to_string(list_transform(list_sort(map_entries(metadata)), lambda e: concat('"', e.key, '":', coalesce('"' || e.value || '"', 'null'))), ','), '') || '}', '"to":"' || to_id || '"'], lambda x: x IS NOT NULL), ','), '}')) AS digest FROM edges WHERE id IS NOT NULL""",
     "question_kinds": "SELECT doc_id, CASE WHEN doc_id % 50 = 1 THEN 'security' WHEN doc_id % 50 = 2 THEN 'persistence' " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {w!r})' for w in words)} THEN '{q}'" for q, words in scoring.QUESTION_WORDS) + " ELSE 'business_rule' END AS question FROM documents WHERE text IS NOT NULL",
     "link_kinds": "SELECT ref, CASE WHEN starts_with(trim(ref), 'file:') THEN 'file' " + " ".join(f"WHEN starts_with(trim(ref), '{p}') THEN '{k}'" for p, k in ids.LINK_KINDS.items()) + " ELSE 'file' END AS kind, regexp_replace(trim(ref), '^file:', '') AS target FROM (SELECT DISTINCT ref FROM sem_links WHERE ref IS NOT NULL)",

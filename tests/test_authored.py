@@ -86,3 +86,25 @@ def test_unknowns_need_proof(spark, rows):
     text = "unknown unknown.a\n  statement: s\n  proved_by: proof.x\n\nunknown unknown.b\n  statement: s\n  proved_by: proof.y\n\nevidence proof.x\n  statement: s\n  status: tested\n\nevidence proof.y\n  statement: s\n"
     m = model(parse_blocks(spark.createDataFrame([("f", text)], "file string, text string")))
     assert rows(authored.resolvable_unknowns(m)) == [("unknown.a", 1, True), ("unknown.b", 0, False)]
+
+
+def test_the_worst_of_several_diffs_counts(spark, rows):
+    v = spark.createDataFrame([("a", "PASS"), ("a", "WARN"), ("b", "WARN"), ("b", "BLOCK"), ("b", "PASS"), ("c", "PASS")], "file string, verdict string")
+    assert rows(v.groupBy("file").agg(authored.worst_verdict().alias("w"))) == [("a", "WARN"), ("b", "BLOCK"), ("c", "PASS")]
+
+
+def test_policies_and_the_order_of_findings(spark, rows):
+    p = authored.Policy.of({"openUnknownSeverity": "block", "criticalInvariantTags": ["core"], "requireProofForActiveChange": False, "enabled": True})
+    assert p == authored.Policy(("core",), "block", "warn", False) and authored.Policy.of(None) == authored.Policy()
+    f = spark.createDataFrame([("c", "stale_link", "stale", "x"), ("c", "open_unknown", "warn", "u"), ("c", "underlying_block", "block", ""), ("c", "dangling_reference", "stale", "y"), ("d", "open_unknown", "warn", "u")], "change_id string, kind string, severity string, ref string")
+    assert rows(authored.in_order(f), "change_id", "pos", "kind") == [("c", 1, "underlying_block"), ("c", 2, "dangling_reference"), ("c", 3, "stale_link"), ("c", 4, "open_unknown"), ("d", 1, "open_unknown")]
+
+
+def test_pointers_to_active_changes(spark, rows):
+    c = spark.createDataFrame([("r", "change.a", "active", "x"), ("r", "change.b", "draft", "x"), ("q", "change.c", "verified", "x"), ("p", "change.d", "stale", "x"), ("p", "change.e", "partial", "x"), ("o", "change.f", "draft", "x")], "repo string, id string, status string, content string")
+    at = spark.createDataFrame([("q", "valid", "change.c", "x"), ("p", "valid", "change.d", "other"), ("o", "invalid", None, None), ("n", "valid", "change.z", "x")], "repo string, state string, change_id string, content string")
+    base = spark.createDataFrame([("r", "stale"), ("q", "invalid"), ("p", "valid"), ("o", "missing")], "repo string, baseline string")
+    assert rows(authored.lifecycle_findings(c, at, base)) == sorted([
+        ("r", "ACTIVE_CHANGE_POINTER_MISSING", "change.a"), ("q", "ACTIVE_CHANGE_OBSOLETE", "change.c"), ("p", "ACTIVE_CHANGE_POINTER_MISMATCH", "change.d"), ("p", "ACTIVE_CHANGE_OBSOLETE", "change.e"),
+        ("o", "ACTIVE_CHANGE_POINTER_INVALID", None), ("n", "ACTIVE_CHANGE_POINTER_INVALID", "change.z"), ("r", "EVIDENCE_BASELINE_STALE", None), ("q", "EVIDENCE_BASELINE_INVALID", None),
+    ], key=repr)

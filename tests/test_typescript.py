@@ -37,7 +37,7 @@ def test_symbols_imports_and_calls():
         ("K", "class", 14, 18, True), ("arrow", "function", 19, 21, False), ("short", "function", 22, 22, False), ("fn", "function", 23, 23, False),
     ]
     assert [x[6] for x in symbols if x[1] == "add"] == ["/** adds */"]
-    assert [(s, n) for s, n, _, _ in imports] == [("./m", ["a", "d"]), ("./z", []), ("pkg", ["def", "ns"])]
+    assert [(s, n) for s, n, *_ in imports] == [("./m", ["a", "d"]), ("./z", []), ("pkg", ["def", "ns"])]
     assert {(c, f) for c, f, _, r in calls if r is None} == {("inner", "a"), ("add", "foo"), ("add", "bar"), ("add", "baz"), ("add", "d"), ("add", "inner"), ("K", "init"), ("K", "a"), (None, "top")}
     assert ("arrow", "run", 20, "ns") in calls
 
@@ -73,3 +73,10 @@ def test_repository_becomes_a_graph(spark):
         ("decides", "doc:docs/a.md", "dec:docs-a-md"), ("documents", "doc:docs/a.md", "cap:adding"), ("belongs_to", "mod:src/m.ts", "repo:app"), ("declares", "mod:src/m.ts", s),
     }
     assert want <= set(edges) and len(edges[("calls", "sym:function:src/use.ts:go:3", s)].evidence) == 2
+
+
+def test_calls_follow_names_renamed_on_import(spark, rows):
+    files = [("src/m.ts", "export function pay() {}\nexport function charge() {}\n"), ("src/use.ts", 'import { pay as charge, type Odd as Even } from "./m";\nexport function go() { charge(); }\n'), ("test/m.test.ts", 'import { pay as p } from "../src/m";\np();\n')]
+    assert [(n, o) for _, n, _, _, o in extract_source(files[1][1])[1]] == [(["charge"], ["pay"])]
+    _, e = index_repository(spark.createDataFrame(files, "rel_path string, content string"), "app")
+    assert rows(e.where("kind in ('calls', 'tested_by')"), "kind", "from_id", "to_id") == [("calls", "sym:function:src/use.ts:go:2", "sym:function:src/m.ts:pay:1"), ("calls", "test:test/m.test.ts", "sym:function:src/m.ts:pay:1")]
