@@ -210,12 +210,16 @@ def verified_digests(relations: DataFrame, hunks: DataFrame, nodes: DataFrame, c
     """digest of all evidence that is as stated: a known hunk, a node whose fingerprint it is, the head commit, or a file's bytes.
 
     ``hunks`` has identity; ``nodes`` (id, digest); ``commits`` commit_id, the heads; ``files`` (rel_path, content).
+
+    Scale: digests are worked out, so the planner takes them for far smaller than they are and would broadcast them all; the
+    joins are merged.
     """
+    held = lambda df: df.hint("merge")
     e = relations.select(F.explode("evidence").alias("e")).select("e.kind", "e.locator", "e.digest").distinct()
-    h = e.where("kind = 'observed_diff_hunk'").join(hunks.select(F.col("identity").alias("digest")), "digest", "left_semi")
-    n = e.where("kind = 'semantic_node'").join(nodes.select(F.col("id").alias("locator"), "digest"), ["locator", "digest"], "left_semi")
+    h = e.where("kind = 'observed_diff_hunk'").join(held(hunks.select(F.col("identity").alias("digest"))), "digest", "left_semi")
+    n = e.where("kind = 'semantic_node'").join(held(nodes.select(F.col("id").alias("locator"), "digest")), ["locator", "digest"], "left_semi")
     c = commits.select(F.explode(F.array("commit_id", F.concat(F.lit("git:"), "commit_id"))).alias("locator"), F.concat(F.lit("sha256:"), F.sha2(F.col("commit_id").cast("binary"), 256)).alias("digest"))
-    c = e.where("kind = 'commit'").join(c, ["locator", "digest"], "left_semi")
+    c = e.where("kind = 'commit'").join(held(c), ["locator", "digest"], "left_semi")
     f = files.select(F.col("rel_path").alias("locator"), F.concat(F.lit("sha256:"), F.sha2(F.col("content").cast("binary"), 256)).alias("digest"))
-    f = e.where("kind in ('document_span', 'test_result')").join(f, ["locator", "digest"], "left_semi")
+    f = e.where("kind in ('document_span', 'test_result')").join(held(f), ["locator", "digest"], "left_semi")
     return h.select("digest").unionByName(n.select("digest")).unionByName(c.select("digest")).unionByName(f.select("digest")).distinct()

@@ -84,3 +84,11 @@ def test_patches_and_wiring(spark, rows):
     assert rows(authored.apply_patches(c, p, ("serves",))) == [("c", ["b", "x"]), ("d", [])]
     e = spark.createDataFrame([("implements_capability", "f", "cap"), ("implements_capability", "g", "cap"), ("constrained_by", "f", "i")], "kind string, from_id string, to_id string")
     assert rows(authored.capability_wiring(e, spark.createDataFrame([("f", "bc1"), ("g", None)], "id string, bounded_context string"))) == [("cap", ["i"], ["bc1"])]
+
+
+def test_digests_are_not_broadcast(spark, rows):
+    e = spark.createDataFrame([("commit", "git:c", "sha256:" + hashlib.sha256(b"c").hexdigest()), ("semantic_node", "n", "x"), ("test_result", "f", "y"), ("observed_diff_hunk", "", "h")], "kind string, locator string, digest string")
+    one = lambda *v, of: spark.createDataFrame([v], of)
+    got = verified_digests(e.selectExpr("array(struct(kind, locator, digest)) as evidence"), one("h", of="identity string"), one("n", "x", of="id string, digest string"), one("c", of="commit_id string"), one("f", "t", of="rel_path string, content string"))
+    assert rows(got) == sorted([("h",), ("x",), ("sha256:" + hashlib.sha256(b"c").hexdigest(),)], key=repr)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
