@@ -64,3 +64,15 @@ def test_many_tasks_have_their_own_packs(spark, graph, rows):
 def test_hypotheses_in_order(spark, rows):
     t = spark.createDataFrame([("a", "bugfix", ["c"], ["i"], ["r"]), ("b", "feature", ["c"], ["i"], []), ("d", "feature", [], [], [])], "task_id string, mode string, capabilities array<string>, invariants array<string>, risks array<string>")
     assert rows(hypotheses(t), "task_id", "pos", "confidence") == [("a", 0, 0.5), ("a", 1, 0.4), ("b", 0, 0.5)]
+
+
+def test_entry_points_are_searched_once_for_all_tasks(spark, rows, monkeypatch):
+    from ripplegraph.operators import context
+
+    seeds, bfs = [], context.bfs
+    monkeypatch.setattr(context, "bfs", lambda nodes, edges, s, depth: seeds.append(s) or bfs(nodes, edges, s, depth))
+    n = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    e = spark.createDataFrame([("calls", "a", "b"), ("imports", "b", "c")], "kind string, from_id string, to_id string")
+    entry = spark.createDataFrame([(f"t{k}", i) for k in range(9) for i in "ab"], "task_id string, id string")
+    assert rows(context.hops_by_start(entry, n, e)) == [("a", "a", 0), ("a", "b", 1), ("b", "a", 1), ("b", "b", 0)]
+    assert seeds[0].count() == 2
