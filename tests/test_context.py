@@ -76,3 +76,13 @@ def test_entry_points_are_searched_once_for_all_tasks(spark, rows, monkeypatch):
     entry = spark.createDataFrame([(f"t{k}", i) for k in range(9) for i in "ab"], "task_id string, id string")
     assert rows(context.hops_by_start(entry, n, e)) == [("a", "a", 0), ("a", "b", 1), ("b", "a", 1), ("b", "b", 0)]
     assert seeds[0].count() == 2
+
+
+def test_hops_of_a_task_without_pairs_of_ids_and_entry_points(spark, rows):
+    from ripplegraph.operators import context
+
+    entry = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "b")], "task_id string, id string")
+    hops = spark.createDataFrame([("a", "a", 0), ("a", "x", 1), ("b", "b", 0), ("b", "x", 3), ("b", "y", 2)], "start string, id string, hop int")
+    ids = spark.createDataFrame([("t", "a"), ("t", "x"), ("u", "x"), ("u", "y"), ("u", "a"), ("v", "x")], "task_id string, id string")
+    got = context.least_hops(ids, entry, hops)
+    assert rows(got, "task_id", "id", "hop") == sorted([("t", "a", 0), ("t", "x", 1), ("u", "x", 3), ("u", "y", 2), ("u", "a", None), ("v", "x", None)], key=repr)
