@@ -86,3 +86,15 @@ def test_hops_of_a_task_without_pairs_of_ids_and_entry_points(spark, rows):
     ids = spark.createDataFrame([("t", "a"), ("t", "x"), ("u", "x"), ("u", "y"), ("u", "a"), ("v", "x")], "task_id string, id string")
     got = context.least_hops(ids, entry, hops)
     assert rows(got, "task_id", "id", "hop") == sorted([("t", "a", 0), ("t", "x", 1), ("u", "x", 3), ("u", "y", 2), ("u", "a", None), ("v", "x", None)], key=repr)
+
+
+def test_a_task_goes_no_further_than_its_nearest_need(spark, rows):
+    from ripplegraph.operators import context
+
+    entry = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "b")], "task_id string, id string")
+    near = [("a", "a", 0), ("a", "p", 1), ("a", "q", 1), ("a", "r", 2), ("b", "b", 0), ("b", "q", 2), ("b", "r", 1), ("b", "s", 4)]
+    near = spark.createDataFrame(near, "start string, id string, hop int")
+    shown = spark.createDataFrame([("t", "a"), ("t", "b"), ("t", "p"), ("u", "b")], "task_id string, id string")
+    got = context.nearest_others(entry, near, shown, 2)
+    assert rows(got, "task_id", "id", "hop") == [("t", "q", 1), ("t", "r", 1), ("u", "q", 2), ("u", "r", 1)]  # none goes on to s
+    assert rows(context.nearest_others(entry, near, shown, 3), "task_id", "id", "hop") == [("t", "q", 1), ("t", "r", 1), ("t", "s", 4), ("u", "q", 2), ("u", "r", 1), ("u", "s", 4)]
