@@ -98,3 +98,13 @@ def test_a_task_goes_no_further_than_its_nearest_need(spark, rows):
     got = context.nearest_others(entry, near, shown, 2)
     assert rows(got, "task_id", "id", "hop") == [("t", "q", 1), ("t", "r", 1), ("u", "q", 2), ("u", "r", 1)]  # none goes on to s
     assert rows(context.nearest_others(entry, near, shown, 3), "task_id", "id", "hop") == [("t", "q", 1), ("t", "r", 1), ("t", "s", 4), ("u", "q", 2), ("u", "r", 1), ("u", "s", 4)]
+
+
+def test_unknowns_rest_on_no_paths(spark, graph, rows, monkeypatch):
+    from ripplegraph.operators import context
+
+    monkeypatch.setattr(context, "simple_paths", lambda *_: pytest.fail("unknowns need no paths"))
+    n, e = graph
+    tasks = spark.createDataFrame([("a", "oversold", ["fly"])], "task_id string, text string, capabilities array<string>")
+    p = context_packs(tasks, n, e, build_claims(n, e), only={"unknowns"})
+    assert set(p) == {"unknowns"} and 'Capability "fly" referenced by the task was not found in the graph.' in {r.unknown for r in p["unknowns"].collect()}
